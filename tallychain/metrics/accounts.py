@@ -18,7 +18,7 @@ from tallychain.operators.aggregates import (
     with_total,
 )
 from tallychain.operators.filters import between, in_complete_buckets
-from tallychain.operators.joins import combine_one_row, full_outer_fill, join_aligned
+from tallychain.operators.joins import full_outer_fill, join_aligned
 from tallychain.operators.weeks import week_calendar, weekly_debuts
 from tallychain.operators.windows import cumulative, pct_change, prev, rolling_mean
 from tallychain.period import Period
@@ -115,18 +115,33 @@ def nat_series(src: Sources, period: Period) -> DataFrame:
     """New and active accounts side by side, for the buckets that have new accounts.
 
     New accounts exist only before the cutoff, so active accounts are read up to there.
+    Both come from the same distinct (chain, bucket, address) rows: active addresses are
+    their number per bucket, new ones have their lowest bucket there.  The plan reads
+    the tables once and reuses that exchange.
     """
+
+    def seen(df: DataFrame, label: str) -> DataFrame:
+        return df.select(F.lit(label).alias("type"), period.bucket(TS).alias("date"), "address")
+
+    native = explode_actors(in_complete_buckets(src.native_actors(), TS, period))
+    evm = senders(in_complete_buckets(src.evm_tx(), TS, period))
+    addresses = seen(native, NATIVE_LABEL).unionByName(seen(evm, EVM_LABEL)).distinct()
     active = (
-        _active_by_type(src, period, upper=period.cutoff)
-        .groupBy(F.col("day").alias("date"))
-        .agg(F.sum("active_users").alias("active_users"))
+        addresses.groupBy("date")
+        .agg(F.count("address").alias("active_users"))
         .withColumn("rolling_avg_active_users", rolling_mean("active_users", "date"))
     )
-    new = accounts_created_series(src, period).select(
-        F.col("day").alias("date"),
-        F.col("daily_new_accounts").alias("new_accounts"),
-        "rolling_avg_new_accounts",
-        "total_new_accounts",
+    new = (
+        addresses.groupBy("address")
+        .agg(F.min("date").alias("date"))
+        .groupBy("date")
+        .agg(F.count("address").alias("new_accounts"))
+        .select(
+            "date",
+            "new_accounts",
+            rolling_mean("new_accounts", "date").alias("rolling_avg_new_accounts"),
+            cumulative("new_accounts", "date").alias("total_new_accounts"),
+        )
     )
     return join_aligned(active, new).orderBy(F.desc("date"))
 

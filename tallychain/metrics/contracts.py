@@ -119,7 +119,7 @@ def weekly_contracts_by_type(
     """
     debut = F.col("debut")
     in_window = (debut >= F.lit(period.start)) & (debut < F.lit(period.this_week))
-    week = F.date_trunc("week", "debut").cast("timestamp_ntz").alias("week")
+    week = F.trunc("debut", "week").cast("timestamp_ntz").alias("week")
     native = (
         first_seen(
             between(src.native_events(), TS, upper=period.this_week), "event_contract", TS, "debut"

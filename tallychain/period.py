@@ -106,5 +106,14 @@ class Period:
         return start + timedelta(days=7)
 
     def bucket(self, ts: str | Column) -> Column:
-        """Bucket start of a timestamp, without a time zone."""
-        return F.date_trunc(self.grain, ts).cast("timestamp_ntz")
+        """Bucket start of a timestamp, without a time zone.
+
+        Whole days are counted from the local date, so no row pays for a time zone
+        conversion and no bucket depends on the session's zone.
+        """
+        local = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+        day = F.to_date(local)
+        if self.grain == "hour":
+            return day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(local))
+        start = day if self.grain == "day" else F.trunc(day, self.grain)
+        return start.cast("timestamp_ntz")

@@ -86,10 +86,10 @@ ORDER_VIEWS = {
     "native_actors": f"""
         SELECT CAST(o_orderkey AS VARCHAR) AS tx_id, {_BLOCK_TIME} AS block_timestamp,
                CASE WHEN o_orderkey % 50 = 1 THEN CAST([] AS VARCHAR[])
-                    ELSE list_concat(['0x' || o_custkey], s.suppliers) END AS actors
-        FROM orders
-        JOIN (SELECT l_orderkey, list_sort(list(DISTINCT '0xs' || l_suppkey)) AS suppliers
-              FROM lineitem GROUP BY l_orderkey) s ON s.l_orderkey = o_orderkey
+                    WHEN l_returnflag = 'R'
+                    THEN ['0x' || o_custkey, '0xs' || l_suppkey, '0x' || o_custkey]
+                    ELSE ['0x' || o_custkey, '0xs' || l_suppkey] END AS actors
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         WHERE o_orderkey % 3 <> 0""",
     "staking_actions": """
         SELECT l_shipdate AS block_timestamp,

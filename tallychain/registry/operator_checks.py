@@ -25,6 +25,7 @@ from tallychain.operators import aggregates as agg
 from tallychain.operators import deploys, joins, weeks, windows
 from tallychain.operators.accounts import explode_actors, senders
 from tallychain.operators.filters import (
+    PARTITION_DATE,
     between,
     completed,
     has_topic,
@@ -85,7 +86,7 @@ def _daily_stake(src: OrderSources, actions: tuple[str, ...], alias: str) -> Dat
     "SELECT tx_id, block_timestamp, array_to_string(authorizers, ',') AS authorizers FROM native_tx",
 )
 def scan_native_tx(src: OrderSources) -> DataFrame:
-    return src.native_tx().withColumn("authorizers", F.array_join("authorizers", ","))
+    return src.native_tx().select("tx_id", TS, F.array_join("authorizers", ",").alias("authorizers"))
 
 
 @check(
@@ -94,12 +95,12 @@ def scan_native_tx(src: OrderSources) -> DataFrame:
               origin_function_signature FROM evm_tx""",
 )
 def scan_evm_tx(src: OrderSources) -> DataFrame:
-    return src.evm_tx()
+    return src.evm_tx().drop(PARTITION_DATE)
 
 
 @check("scan_native_events", "SELECT * FROM native_events")
 def scan_native_events(src: OrderSources) -> DataFrame:
-    return src.native_events()
+    return src.native_events().drop(PARTITION_DATE)
 
 
 @check(
@@ -115,7 +116,7 @@ def scan_evm_logs(src: OrderSources) -> DataFrame:
     "SELECT tx_id, block_timestamp, array_to_string(actors, ',') AS actors FROM native_actors",
 )
 def scan_native_actors(src: OrderSources) -> DataFrame:
-    return src.native_actors().withColumn("actors", F.array_join("actors", ","))
+    return src.native_actors().select("tx_id", TS, F.array_join("actors", ",").alias("actors"))
 
 
 @check(

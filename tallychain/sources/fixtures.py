@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallychain.constants import COA_PREFIX, DEPLOY_TOPIC, FEE_CONTRACT
+from tallychain.operators.filters import PARTITION_DATE
 from tallychain.sources.tables import Sources
 
 # The day the order tables are looked at from, and the start of their history.
@@ -48,6 +49,9 @@ class OrderSources(Sources):
             self.table("orders")
             .where(~on_evm if native else on_evm)
             .withColumn("block_timestamp", F.col("o_orderdate") + hour)
+            # An order date is a midnight, so it is the day of the block time and takes
+            # the place of a day partition: bounds on it are pushed to the scan.
+            .withColumn(PARTITION_DATE, F.col("o_orderdate"))
         )
 
     @staticmethod
@@ -60,6 +64,7 @@ class OrderSources(Sources):
         return self._orders(native=True).select(
             F.col("o_orderkey").cast("string").alias("tx_id"),
             "block_timestamp",
+            PARTITION_DATE,
             self._unless_empty(F.array(customer)).alias("authorizers"),
         )
 
@@ -74,6 +79,7 @@ class OrderSources(Sources):
         return self._orders(native=False).select(
             F.concat(F.lit("0x"), F.col("o_orderkey")).alias("tx_hash"),
             "block_timestamp",
+            PARTITION_DATE,
             F.when(F.col("o_custkey") % 5 == 0, owned).otherwise(plain).alias("from_address"),
             _money("o_totalprice").alias("tx_fee"),
             signature.alias("origin_function_signature"),
@@ -83,7 +89,7 @@ class OrderSources(Sources):
         lines = self.table("lineitem").select(
             "l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_extendedprice"
         )
-        orders = self._orders(native=True).select("o_orderkey", "block_timestamp")
+        orders = self._orders(native=True).select("o_orderkey", "block_timestamp", PARTITION_DATE)
         flag = F.col("l_returnflag")
         amount = F.concat(
             F.lit('{"amount":"'), _money("l_extendedprice").cast("string"), F.lit('"}')
@@ -93,6 +99,7 @@ class OrderSources(Sources):
             (F.col("block_timestamp") + F.make_dt_interval(mins="l_linenumber")).alias(
                 "block_timestamp"
             ),
+            PARTITION_DATE,
             F.when(flag == "R", FEE_CONTRACT)
             .otherwise(F.concat(F.lit("A."), F.col("l_partkey")))
             .alias("event_contract"),
@@ -120,20 +127,18 @@ class OrderSources(Sources):
         )
 
     def native_actors(self) -> DataFrame:
-        # The suppliers of one order are a short list: it becomes one array value.
-        suppliers = (
-            self.table("lineitem")
-            .select("l_orderkey", F.concat(F.lit("0xs"), F.col("l_suppkey")).alias("supplier"))
-            .groupBy("l_orderkey")
-            .agg(F.sort_array(F.collect_set("supplier")).alias("suppliers"))
-        )
-        actors = F.concat(F.array(F.concat(F.lit("0x"), F.col("o_custkey"))), F.col("suppliers"))
+        # One row per line of a native order: its customer, its supplier, and the
+        # customer again where the line is a fee.
+        lines = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
+        customer = F.concat(F.lit("0x"), F.col("o_custkey"))
+        pair = F.array(customer, F.concat(F.lit("0xs"), F.col("l_suppkey")))
+        actors = F.when(F.col("l_returnflag") == "R", F.array_append(pair, customer)).otherwise(pair)
         return (
-            self._orders(native=True)
-            .join(suppliers, F.col("l_orderkey") == F.col("o_orderkey"))
+            lines.join(self._orders(native=True), F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 F.col("o_orderkey").cast("string").alias("tx_id"),
                 "block_timestamp",
+                PARTITION_DATE,
                 self._unless_empty(actors).alias("actors"),
             )
         )
