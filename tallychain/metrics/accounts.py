@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallychain.constants import BOTH_LABEL, EVM_LABEL, NATIVE_LABEL, WEEK_TABLE_WEEKS
@@ -18,7 +18,7 @@ from tallychain.operators.aggregates import (
     with_total,
 )
 from tallychain.operators.filters import between, in_complete_buckets
-from tallychain.operators.joins import full_outer_fill, join_aligned
+from tallychain.operators.joins import full_outer_fill
 from tallychain.operators.weeks import week_calendar, weekly_debuts
 from tallychain.operators.windows import cumulative, pct_change, prev, rolling_mean
 from tallychain.period import Period
@@ -115,9 +115,9 @@ def nat_series(src: Sources, period: Period) -> DataFrame:
     """New and active accounts side by side, for the buckets that have new accounts.
 
     New accounts exist only before the cutoff, so active accounts are read up to there.
-    Both come from the same distinct (chain, bucket, address) rows: active addresses are
-    their number per bucket, new ones have their lowest bucket there.  The plan reads
-    the tables once and reuses that exchange.
+    Both counts come from one set of distinct (chain, bucket, address) rows: all of them
+    are active, and the first one of each address is new.  An address has at most one
+    row per chain and bucket there, so numbering them sorts no long group.
     """
 
     def seen(df: DataFrame, label: str) -> DataFrame:
@@ -126,24 +126,26 @@ def nat_series(src: Sources, period: Period) -> DataFrame:
     native = explode_actors(in_complete_buckets(src.native_actors(), TS, period))
     evm = senders(in_complete_buckets(src.evm_tx(), TS, period))
     addresses = seen(native, NATIVE_LABEL).unionByName(seen(evm, EVM_LABEL)).distinct()
-    active = (
-        addresses.groupBy("date")
-        .agg(F.count("address").alias("active_users"))
-        .withColumn("rolling_avg_active_users", rolling_mean("active_users", "date"))
-    )
-    new = (
-        addresses.groupBy("address")
-        .agg(F.min("date").alias("date"))
+    position = F.row_number().over(Window.partitionBy("address").orderBy("date"))
+    is_first = F.col("position") == 1
+    per_bucket = (
+        addresses.withColumn("position", position)
         .groupBy("date")
-        .agg(F.count("address").alias("new_accounts"))
-        .select(
-            "date",
-            "new_accounts",
-            rolling_mean("new_accounts", "date").alias("rolling_avg_new_accounts"),
-            cumulative("new_accounts", "date").alias("total_new_accounts"),
+        .agg(
+            F.count("address").alias("active_users"),
+            F.count(F.when(is_first, F.col("address"))).alias("new_accounts"),
+            F.bool_or(is_first).alias("has_new"),
         )
+        .withColumn("rolling_avg_active_users", rolling_mean("active_users", "date"))
     )
-    return join_aligned(active, new).orderBy(F.desc("date"))
+    return per_bucket.where("has_new").select(
+        "date",
+        "active_users",
+        "rolling_avg_active_users",
+        "new_accounts",
+        rolling_mean("new_accounts", "date").alias("rolling_avg_new_accounts"),
+        cumulative("new_accounts", "date").alias("total_new_accounts"),
+    ).orderBy(F.desc("date"))
 
 
 def new_accounts_by_week(src: Sources, as_of: date, weeks: int = WEEK_TABLE_WEEKS) -> DataFrame:

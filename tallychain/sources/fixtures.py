@@ -27,6 +27,19 @@ STAKED_BASE = 1.0e6
 EVENTS_AS_OF = date(2024, 1, 31)
 EVENTS_EPOCH = date(2024, 1, 1)
 
+# Given schemas: reading a table then needs no pass over file footers.
+TABLE_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+    " value double, props string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
+}
+
 
 def _money(column: str) -> Column:
     return F.col(column).cast("decimal(18,2)")
@@ -40,7 +53,7 @@ class OrderSources(Sources):
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def _orders(self, native: bool) -> DataFrame:
         on_evm = F.col("o_orderkey") % 3 == 0
