@@ -195,7 +195,7 @@ def period_bounds(src: OrderSources) -> DataFrame:
 @check("csv_sink", tx_by_type_sql(ALL))
 def csv_sink(src: OrderSources) -> DataFrame:
     """A metric written as CSV and read back."""
-    path = f"{shared_folder(src.spark)}/tallychain/csv/tx_by_type/{src.folder.rsplit('/', 1)[-1]}"
+    path = f"{shared_folder(src.spark)}/csv/tx_by_type/{src.folder.rsplit('/', 1)[-1]}"
     rows = transactions.tx_by_type(src, ALL)
     write_csv(rows, path)
     return src.spark.read.schema(rows.schema).option("header", True).csv(path)
@@ -205,7 +205,7 @@ def csv_sink(src: OrderSources) -> DataFrame:
 def metric_store(src: OrderSources) -> DataFrame:
     """A metric computed into the store and read back."""
     name = src.folder.rsplit("/", 1)[-1]
-    store = MetricStore(f"{shared_folder(src.spark)}/tallychain/store/{name}")
+    store = MetricStore(f"{shared_folder(src.spark)}/store/{name}")
     return store.refresh("tx_by_type", src, QUARTER)
 
 

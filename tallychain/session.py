@@ -23,15 +23,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names for checkpoints.
+    """Folder of this application that every executor can reach.
 
-    A local session may lack the setting; only there a temporary folder serves.
+    It lies in the folder the cluster names for checkpoints.  A local session may lack
+    that setting; only there a temporary folder serves.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tallychain-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/tallychain/{spark.sparkContext.applicationId}"
