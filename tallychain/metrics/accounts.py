@@ -21,7 +21,7 @@ from tallychain.operators.filters import between, in_complete_buckets
 from tallychain.operators.joins import full_outer_fill
 from tallychain.operators.weeks import week_calendar, weekly_debuts
 from tallychain.operators.windows import cumulative, pct_change, prev, rolling_mean
-from tallychain.period import Period
+from tallychain.period import Period, monday_of
 from tallychain.sources.tables import Sources
 
 TS = "block_timestamp"
@@ -150,10 +150,13 @@ def nat_series(src: Sources, period: Period) -> DataFrame:
 
 def new_accounts_by_week(src: Sources, as_of: date, weeks: int = WEEK_TABLE_WEEKS) -> DataFrame:
     """Calendar weeks with the addresses whose first transaction ever falls in them."""
+    monday = monday_of(as_of)
     native = weekly_debuts(
-        explode_actors(src.native_actors()), "address", TS, as_of, weeks, "cadence_accounts"
+        src.first_seen("native_address", monday), "address", as_of, weeks, "cadence_accounts"
+    )
+    evm = weekly_debuts(
+        src.first_seen("evm_address", monday), "address", as_of, weeks, "evm_accounts"
     )
-    evm = weekly_debuts(senders(src.evm_tx()), "address", TS, as_of, weeks, "evm_accounts")
     counts = full_outer_fill(native, evm, "start_date")
     filled = (
         week_calendar(src.spark, as_of, weeks)

@@ -13,10 +13,9 @@ from tallychain.operators.aggregates import (
     count_distinct,
     debuts_per_bucket,
     distinct_per_bucket,
-    first_seen,
 )
 from tallychain.operators.deploys import deploy_contracts, deploy_ids, deploy_transactions
-from tallychain.operators.filters import between, in_complete_buckets, in_period, is_coa
+from tallychain.operators.filters import in_complete_buckets, in_period, is_coa
 from tallychain.operators.joins import combine_one_row, full_outer_fill
 from tallychain.operators.windows import cumulative, rolling_mean
 from tallychain.period import Period
@@ -114,16 +113,14 @@ def weekly_contracts_by_type(
 ) -> DataFrame:
     """Contracts per week by their first appearance ever, for full weeks of the period.
 
-    Native rows of the current week cannot move an older debut, so they are not read.
+    Native rows from the current week on cannot make an older debut, so they are not read.
     EVM rows are all read: any later row may show that the creator is native-owned.
     """
-    debut = F.col("debut")
+    debut = F.col("first_seen")
     in_window = (debut >= F.lit(period.start)) & (debut < F.lit(period.this_week))
-    week = F.trunc("debut", "week").cast("timestamp_ntz").alias("week")
+    week = F.trunc("first_seen", "week").cast("timestamp_ntz").alias("week")
     native = (
-        first_seen(
-            between(src.native_events(), TS, upper=period.this_week), "event_contract", TS, "debut"
-        )
+        src.first_seen("native_contract", period.this_week)
         .where(in_window)
         .groupBy(week)
         .agg(F.count(F.lit(1)).alias("cadence"))
@@ -132,7 +129,7 @@ def weekly_contracts_by_type(
     evm = (
         deploy_contracts(src)
         .groupBy("contract")
-        .agg(F.min(TS).alias("debut"), F.bool_or(by_coa).alias("is_coa"))
+        .agg(F.min(TS).alias("first_seen"), F.bool_or(by_coa).alias("is_coa"))
         .where(in_window)
         .groupBy(week)
         .agg(

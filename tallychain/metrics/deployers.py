@@ -9,7 +9,7 @@ from tallychain.constants import CONTRACT_ADDED_EVENT
 from tallychain.functions.scalars import first_element
 from tallychain.operators.aggregates import count_distinct
 from tallychain.operators.deploys import deploy_transactions
-from tallychain.operators.filters import in_complete_buckets, in_period
+from tallychain.operators.filters import in_complete_buckets, in_period, same_days
 from tallychain.operators.joins import full_outer_fill
 from tallychain.operators.windows import cumulative, rolling_mean
 from tallychain.period import Period
@@ -18,12 +18,12 @@ from tallychain.sources.tables import Sources
 TS = "block_timestamp"
 
 
-def _contract_added(src: Sources) -> DataFrame:
-    return src.native_events().where(F.col("event_type") == CONTRACT_ADDED_EVENT)
+def _contract_added(events: DataFrame) -> DataFrame:
+    return events.where(F.col("event_type") == CONTRACT_ADDED_EVENT)
 
 
-def _deployers(src: Sources) -> DataFrame:
-    return src.native_tx().select("tx_id", first_element("authorizers").alias("deployer"))
+def _deployers(transactions: DataFrame) -> DataFrame:
+    return transactions.select("tx_id", first_element("authorizers").alias("deployer"))
 
 
 def deployers_native_kpi(src: Sources, period: Period) -> DataFrame:
@@ -32,8 +32,10 @@ def deployers_native_kpi(src: Sources, period: Period) -> DataFrame:
     Only the existence of an event matters, so the events shrink to distinct
     transactions, already partitioned the way the semi join needs them.
     """
-    added = in_period(_contract_added(src), TS, period).select("tx_id").distinct()
-    deployers = _deployers(src).join(added, "tx_id", "left_semi")
+    events = in_period(src.native_events(), TS, period)
+    added = _contract_added(events).select("tx_id").distinct()
+    transactions = same_days(src.native_tx(), lower=period.start)
+    deployers = _deployers(transactions).join(added, "tx_id", "left_semi")
     return count_distinct(deployers, "deployer", "total_cadence_deployers")
 
 
@@ -43,12 +45,13 @@ def deployers_series(src: Sources, period: Period) -> DataFrame:
     A deployer counts in every bucket it deploys in.
     """
     added = (
-        in_complete_buckets(_contract_added(src), TS, period)
+        _contract_added(in_complete_buckets(src.native_events(), TS, period))
         .select("tx_id", period.bucket(TS).alias("day"))
         .distinct()
     )
+    transactions = same_days(src.native_tx(), period.start, period.cutoff)
     native = (
-        added.join(_deployers(src), "tx_id")
+        added.join(_deployers(transactions), "tx_id")
         .groupBy("day")
         .agg(F.countDistinct("deployer").alias("new_cadence_deployers"))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallychain.constants import FEE_CONTRACT, FEE_EVENT
 from tallychain.functions.scalars import json_decimal
-from tallychain.operators.filters import in_complete_buckets, in_period
+from tallychain.operators.filters import in_complete_buckets, in_period, same_days
 from tallychain.operators.windows import cumulative, rolling_mean
 from tallychain.period import Period
 from tallychain.sources.schemas import EVM_AMOUNT, NATIVE_AMOUNT
@@ -22,9 +22,9 @@ from tallychain.sources.tables import Sources
 TS = "block_timestamp"
 
 
-def fee_events(src: Sources, strict: bool = True) -> DataFrame:
-    """``tx_id, block_timestamp, amount`` of the native fee events."""
-    events = src.native_events().where(
+def fee_events(events: DataFrame, strict: bool = True) -> DataFrame:
+    """``tx_id, block_timestamp, amount`` of the fee events among native events."""
+    events = events.where(
         (F.col("event_contract") == FEE_CONTRACT) & (F.col("event_type") == FEE_EVENT)
     )
     amount = json_decimal(events, "event_data", "$.amount", NATIVE_AMOUNT, strict)
@@ -69,7 +69,8 @@ def fees_summary(src: Sources, period: Period) -> DataFrame:
     The native side is bounded by the time of the transaction, not of the event.
     """
     evm = _evm_fees(in_period(src.evm_tx(), TS, period))
-    native = _native_fees(fee_events(src), in_period(src.native_tx(), TS, period))
+    events = fee_events(same_days(src.native_events(), lower=period.start))
+    native = _native_fees(events, in_period(src.native_tx(), TS, period))
     return evm.unionByName(native).agg(
         F.sum("fees").alias("total_fees"), F.avg("avg_tx_fee").alias("avg_tx_fee")
     )
@@ -83,9 +84,9 @@ def fees_series(src: Sources, period: Period) -> DataFrame:
     """
     bucket = period.bucket(TS).alias("date")
     evm = _evm_fees(in_complete_buckets(src.evm_tx(), TS, period), bucket)
-    native = _native_fees(
-        in_complete_buckets(fee_events(src), TS, period), src.native_tx(), bucket
-    )
+    events = fee_events(in_complete_buckets(src.native_events(), TS, period))
+    transactions = same_days(src.native_tx(), period.start, period.cutoff)
+    native = _native_fees(events, transactions, bucket)
     per_bucket = (
         evm.unionByName(native)
         .distinct()

@@ -14,8 +14,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallychain.constants import DEPLOY_TOPIC, INIT_SIGNATURES
-from tallychain.operators.filters import between, has_topic
+from tallychain.constants import INIT_SIGNATURES
+from tallychain.operators.filters import between, has_topic, same_days
 from tallychain.sources.tables import Sources
 
 
@@ -23,14 +23,20 @@ def has_init_signature(signature: str = "origin_function_signature") -> Column:
     return F.col(signature).isin(*INIT_SIGNATURES)
 
 
-def topic_logs(src: Sources, topic: str = DEPLOY_TOPIC) -> DataFrame:
-    """``tx_hash, contract_address`` of the logs that carry the deploy topic."""
-    return src.evm_logs().where(has_topic("topics", topic)).select("tx_hash", "contract_address")
+def topic_logs(src: Sources, lower: date | None = None, upper: date | None = None) -> DataFrame:
+    """``tx_hash, contract_address`` of the logs that carry the deploy topic.
+
+    Logs have no time of their own; the bounds are those of their transactions.
+    """
+    logs = same_days(src.deploy_logs(), lower, upper)
+    return logs.select("tx_hash", "contract_address")
 
 
-def topic_transactions(src: Sources, topic: str = DEPLOY_TOPIC) -> DataFrame:
+def topic_transactions(
+    src: Sources, lower: date | None = None, upper: date | None = None
+) -> DataFrame:
     """Distinct ``tx_hash`` of the topic logs."""
-    return topic_logs(src, topic).select("tx_hash").distinct()
+    return topic_logs(src, lower, upper).select("tx_hash").distinct()
 
 
 def _transactions(src: Sources, lower: date | None, upper: date | None) -> DataFrame:
@@ -47,7 +53,7 @@ def deploy_transactions(
         F.col("from_address").alias("creator"),
         has_init_signature().alias("by_signature"),
     )
-    by_topic = topic_transactions(src).withColumn("by_topic", F.lit(True))
+    by_topic = topic_transactions(src, lower, upper).withColumn("by_topic", F.lit(True))
     return (
         tx.join(by_topic, "tx_hash", "left")
         .where(F.col("by_topic") | F.col("by_signature"))
@@ -64,14 +70,14 @@ def deploy_contracts(
     an init signature and no topic log stands for its contract by its own hash.
     """
     tx = _transactions(src, lower, upper)
-    by_topic = tx.join(topic_logs(src), "tx_hash").select(
+    by_topic = tx.join(topic_logs(src, lower, upper), "tx_hash").select(
         "block_timestamp",
         F.col("from_address").alias("creator"),
         F.col("contract_address").alias("contract"),
     )
     by_signature = (
         tx.where(has_init_signature() & F.col("tx_hash").isNotNull())
-        .join(topic_transactions(src), "tx_hash", "left_anti")
+        .join(topic_transactions(src, lower, upper), "tx_hash", "left_anti")
         .select(
             "block_timestamp",
             F.col("from_address").alias("creator"),
@@ -89,11 +95,11 @@ def deploy_ids(src: Sources, lower: date | None = None, upper: date | None = Non
     transaction with a topic log and another log gives two ids.
     """
     tx = _transactions(src, lower, upper)
-    by_topic = tx.join(topic_logs(src), "tx_hash").select(
+    by_topic = tx.join(topic_logs(src, lower, upper), "tx_hash").select(
         "block_timestamp", F.col("contract_address").alias("contract")
     )
     only_topic = (
-        src.evm_logs()
+        same_days(src.evm_logs(), lower, upper)
         .groupBy("tx_hash")
         .agg(F.bool_and(F.coalesce(has_topic("topics"), F.lit(False))).alias("all_topic"))
         .where("all_topic")

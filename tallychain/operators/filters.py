@@ -25,17 +25,31 @@ def between(
     The bounds are midnights, so they also bound the day folders of a table that is
     split by day; the second predicate prunes those folders before the scan.
     """
-    by_day = PARTITION_DATE in df.columns
+    return _bounded(same_days(df, lower, upper, include_upper), ts, lower, upper, include_upper)
+
+
+def same_days(
+    df: DataFrame, lower: date | None = None, upper: date | None = None, include_upper: bool = False
+) -> DataFrame:
+    """Skip the day folders outside the bounds, if the table is split by day.
+
+    For a table that is reached through its transactions: all rows of a transaction lie
+    in the folder of its block's day, so the bounds of one side of the join hold for the
+    other.  A table that is not split by day is left whole.
+    """
+    if PARTITION_DATE not in df.columns:
+        return df
+    return _bounded(df, PARTITION_DATE, lower, upper, include_upper)
+
+
+def _bounded(
+    df: DataFrame, column: str, lower: date | None, upper: date | None, include_upper: bool
+) -> DataFrame:
+    value = F.col(column)
     if lower is not None:
-        df = df.where(F.col(ts) >= F.lit(lower))
-        if by_day:
-            df = df.where(F.col(PARTITION_DATE) >= F.lit(lower))
+        df = df.where(value >= F.lit(lower))
     if upper is not None:
-        column = F.col(ts)
-        df = df.where(column <= F.lit(upper) if include_upper else column < F.lit(upper))
-        if by_day:
-            day = F.col(PARTITION_DATE)
-            df = df.where(day <= F.lit(upper) if include_upper else day < F.lit(upper))
+        df = df.where(value <= F.lit(upper) if include_upper else value < F.lit(upper))
     return df
 
 

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tallychain.constants import WEEK_TABLE_WEEKS
 from tallychain.functions.scalars import date_range_label, monday, trunc_date
-from tallychain.operators.filters import between
-from tallychain.operators.aggregates import first_seen
 from tallychain.period import monday_of
 
 
@@ -28,20 +26,17 @@ def week_calendar(spark: SparkSession, as_of: date, weeks: int = WEEK_TABLE_WEEK
     )
 
 
-def weekly_debuts(
-    df: DataFrame, key: str, ts: str, as_of: date, weeks: int, alias: str
-) -> DataFrame:
-    """Keys per week (``start_date``) whose first row ever falls in that week.
+def weekly_debuts(firsts: DataFrame, key: str, as_of: date, weeks: int, alias: str) -> DataFrame:
+    """Keys per full week (``start_date``) by their ``first_seen`` time.
 
-    Weeks are aligned and disjoint, so truncating the first timestamp replaces a range
-    join.  Rows of the current week cannot make a key older, hence the upper bound on
-    the scan; the whole history before it is needed.
+    Weeks are aligned and disjoint, so truncating the time replaces a range join.
     """
     this_monday = monday_of(as_of)
-    oldest = this_monday - timedelta(days=7 * weeks)
-    firsts = first_seen(between(df, ts, upper=this_monday), key, ts)
+    seen = F.col("first_seen")
     return (
-        firsts.where(F.col("first_seen") >= F.lit(oldest))
+        firsts.where(
+            (seen >= F.lit(this_monday - timedelta(days=7 * weeks))) & (seen < F.lit(this_monday))
+        )
         .groupBy(trunc_date("first_seen", "week").alias("start_date"))
         .agg(F.count(key).alias(alias))
     )

@@ -33,7 +33,7 @@ from tallychain.operators.filters import (
     in_period,
     is_coa,
 )
-from tallychain.period import PERIOD_KEYS, Period
+from tallychain.period import PERIOD_KEYS, Period, monday_of
 from tallychain.registry.base import check
 from tallychain.registry.metric_checks import ROLL, SIGNATURES, TOPIC_MATCH, _day
 from tallychain.registry.metric_checks import tx_by_type as tx_by_type_sql
@@ -412,9 +412,9 @@ def join_full_fill(src: OrderSources) -> DataFrame:
     GROUP BY ALL""",
 )
 def join_range_weeks(src: OrderSources) -> DataFrame:
+    firsts = src.first_seen("native_address", monday_of(fx.EARLY_AS_OF))
     counts = weeks.weekly_debuts(
-        explode_actors(src.native_actors()), "address", TS, fx.EARLY_AS_OF,
-        WEEK_TABLE_WEEKS, "new_accounts",
+        firsts, "address", fx.EARLY_AS_OF, WEEK_TABLE_WEEKS, "new_accounts"
     )
     calendar = weeks.week_calendar(src.spark, fx.EARLY_AS_OF).select("weeks_ago", "start_date")
     return calendar.join(counts, "start_date", "left").fillna(0, subset=["new_accounts"])

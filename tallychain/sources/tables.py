@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallychain.operators.accounts import explode_actors, senders
+from tallychain.operators.aggregates import first_seen
+from tallychain.operators.filters import PARTITION_DATE, between, has_topic
 from tallychain.sources.schemas import SCHEMAS
 
+# Kinds of keys whose first appearance is tracked, and the column that holds them.
+FIRST_SEEN_KEYS = {
+    "native_address": "address",
+    "evm_address": "address",
+    "native_contract": "event_contract",
+}
+
 
 class Sources(ABC):
     """The source relations; subclasses say where they come from."""
@@ -27,6 +38,27 @@ class Sources(ABC):
     @abstractmethod
     def evm_logs(self) -> DataFrame: ...
 
+    def deploy_logs(self) -> DataFrame:
+        """The EVM logs that carry the deploy topic."""
+        return self.evm_logs().where(has_topic("topics"))
+
+    def dated_keys(self, name: str, lower: date | None, upper: date | None) -> DataFrame:
+        """``<key>, block_timestamp`` of the rows in which a kind of key appears."""
+        ts = "block_timestamp"
+        match name:
+            case "native_address":
+                return explode_actors(between(self.native_actors(), ts, lower, upper))
+            case "evm_address":
+                return senders(between(self.evm_tx(), ts, lower, upper))
+            case "native_contract":
+                return between(self.native_events(), ts, lower, upper).select("event_contract", ts)
+        raise ValueError(f"unknown kind of key {name!r}; expected one of {tuple(FIRST_SEEN_KEYS)}")
+
+    def first_seen(self, name: str, upper: date) -> DataFrame:
+        """``<key>, first_seen`` of every key that appears before ``upper``."""
+        rows = self.dated_keys(name, None, upper)
+        return first_seen(rows, FIRST_SEEN_KEYS[name], "block_timestamp")
+
     @abstractmethod
     def native_actors(self) -> DataFrame: ...
 
@@ -43,7 +75,12 @@ class Sources(ABC):
 
 
 class ParquetSources(Sources):
-    """Tables under one root folder: ``<root>/<table>`` and ``<root>/<payload>`` (JSON files)."""
+    """Tables under one root folder: ``<root>/<table>`` and ``<root>/<payload>`` (JSON files).
+
+    Tables split by ``block_date`` are pruned to the days of a period.  All rows of a
+    transaction must lie in the folder of its block's day, and the hash of a transaction
+    is never NULL.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
@@ -83,15 +120,15 @@ class ParquetSources(Sources):
 
 
 def land_table(df: DataFrame, root: str, name: str) -> None:
-    """Write a source table, split by ``block_date`` where it has a block timestamp.
+    """Write a source table, split by ``block_date`` (given, or that of the block time).
 
     The rebalance hint groups rows by day and splits the days that are too big for
     one task, so a busy day neither makes one huge file nor one slow task.
     """
-    path = f"{root.rstrip('/')}/{name}"
-    if "block_timestamp" in df.columns:
-        dated = df.withColumn("block_date", F.to_date("block_timestamp"))
-        writer = dated.hint("rebalance", F.col("block_date")).write.partitionBy("block_date")
+    if PARTITION_DATE not in df.columns and "block_timestamp" in df.columns:
+        df = df.withColumn(PARTITION_DATE, F.to_date("block_timestamp"))
+    if PARTITION_DATE in df.columns:
+        writer = df.hint("rebalance", F.col(PARTITION_DATE)).write.partitionBy(PARTITION_DATE)
     else:
         writer = df.write
-    writer.mode("overwrite").parquet(path)
+    writer.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")

@@ -240,8 +240,8 @@ def test_equal_rows_of_both_chains_count_once(spark):
 def test_amount_that_is_no_number(spark):
     src = InlineSources(spark, native_events=[fee_event("a", "2024-06-10", "lots")])
     with pytest.raises(PySparkException):
-        fees.fee_events(src).collect()
-    assert fees.fee_events(src, strict=False).collect()[0].amount is None
+        fees.fee_events(src.native_events()).collect()
+    assert fees.fee_events(src.native_events(), strict=False).collect()[0].amount is None
 
 
 def _log(tx_hash: str, contract: str, *topics: str) -> tuple:

@@ -5,10 +5,13 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from inline import InlineSources, actors, event, evm_tx, fee_event, native_tx, stake
+from inline import InlineSources, actors, event, evm_tx, fee_event, native_tx, rows, stake
+from pyspark.sql import functions as F
 
+from tallychain.constants import DEPLOY_TOPIC
 from tallychain.metrics import METRICS
 from tallychain.period import Period
+from tallychain.sinks.prepared import PreparedSources
 from tallychain.sources.tables import ParquetSources, land_table
 
 DAY = Period("last_month", date(2024, 6, 13))
@@ -28,13 +31,19 @@ def stored(spark, tmp_path_factory):
             *[fee_event(f"n{i}", t, "0.25") for i, t in enumerate(texts)],
             *[event(f"n{i}", t, f"c{i}", "AccountContractAdded") for i, t in enumerate(texts)],
         ],
-        evm_logs=[(f"e{i}", f"c{i}", ["0xddf252ad"]) for i in range(len(texts))],
+        evm_logs=[
+            (f"e{i}", f"c{i}", [DEPLOY_TOPIC if i % 3 else "0xddf252ad"]) for i in range(len(texts))
+        ],
         native_actors=[actors(f"n{i}", t, f"u{i % 5}", "w") for i, t in enumerate(texts)],
         staking_actions=[stake(t, "TokensCommitted", "10") for t in texts],
     )
     root = tmp_path_factory.mktemp("tables")
     for name in TABLES:
-        land_table(getattr(source, name)(), str(root), name)
+        table = getattr(source, name)()
+        if name == "evm_logs":
+            number = F.substring("tx_hash", 2, 10).cast("int")
+            table = table.withColumn("block_date", F.date_add(F.lit(days[0].date()), number))
+        land_table(table, str(root), name)
     ms = [int((d - datetime(1970, 1, 1)).total_seconds()) for d in days]
     points = ",".join(f"[{s}000,2.0]" for s in ms)
     (root / "market_payload").mkdir()
@@ -88,6 +97,8 @@ def test_start_reaches_the_scan(stored, metric):
     text = plan(METRICS[metric](stored, DAY))
     assert "GreaterThanOrEqual(block_timestamp,2024-05-13T00:00)" in text
     assert re.search(r"PartitionFilters: \[.*block_date#\d+ >= 2024-05-13", text)
+    # Every table of the metric is pruned by day, also those without a time filter.
+    assert len(re.findall(r"PartitionFilters: \[.+\]", text)) == text.count("ReadSchema")
 
 
 @pytest.mark.parametrize(
@@ -120,3 +131,34 @@ def test_exclusion_reuses_the_distinct_shuffle(stored, settings):
     text = plan(METRICS["contracts_by_chain"](stored, ALL), "simple")
     # The distinct topic transactions and the transactions: one shuffle by hash each.
     assert len(re.findall(r"Exchange hashpartitioning\(tx_hash#\d+, ", text)) == 2
+
+
+@pytest.fixture(scope="module")
+def prepared(stored, tmp_path_factory):
+    """Nothing kept, some days kept, and more days kept than the period needs."""
+    empty = PreparedSources(stored, str(tmp_path_factory.mktemp("prepared")))
+    early = empty.advance(date(2024, 5, 24))
+    late = early.advance(date(2024, 6, 3)).advance(date(2024, 6, 9))
+    return empty, early, late
+
+
+@pytest.mark.parametrize(
+    "metric",
+    ["new_accounts_week_table", "contracts_kpis", "contracts_series", "contracts_by_type",
+     "deployers_series", "weekly_contracts_by_type"],
+)
+def test_prepared_sources_give_the_same_rows(stored, prepared, metric):
+    period = Period("last_3_months", date(2024, 6, 5))
+    want = rows(METRICS[metric](stored, period))
+    for sources in prepared:
+        assert rows(METRICS[metric](sources, period)) == want
+
+
+def test_prepared_sources_read_new_days_only(stored, tmp_path):
+    prepared = PreparedSources(stored, str(tmp_path)).advance(date(2024, 6, 3))
+    text = plan(prepared.first_seen("native_contract", date(2024, 6, 10)))
+    assert re.search(r"PartitionFilters: \[.*block_date#\d+ >= 2024-06-03", text)
+    with pytest.raises(ValueError, match="already"):
+        prepared.advance(date(2024, 6, 3))
+    with pytest.raises(ValueError, match="unknown kind"):
+        stored.first_seen("nothing", date(2024, 6, 10))

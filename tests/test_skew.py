@@ -92,7 +92,7 @@ def test_hot_events_are_one_row_per_task_before_the_shuffle(src, settings, spark
     """The fee aggregate shuffles at most one row per transaction and map task."""
     settings("spark.sql.adaptive.enabled", "false")
     settings("spark.sql.autoBroadcastJoinThreshold", "-1")
-    hot = fees.fee_events(src).where(F.col("tx_id") == "hot")
+    hot = fees.fee_events(src.native_events()).where(F.col("tx_id") == "hot")
     per_tx = hot.groupBy("tx_id").agg(F.sum("amount").alias("s"))
     per_tx.collect()
     text = per_tx._jdf.queryExecution().executedPlan().toString()
