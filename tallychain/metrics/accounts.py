@@ -120,12 +120,13 @@ def nat_series(src: Sources, period: Period) -> DataFrame:
     row per chain and bucket there, so numbering them sorts no long group.
     """
 
-    def seen(df: DataFrame, label: str) -> DataFrame:
-        return df.select(F.lit(label).alias("type"), period.bucket(TS).alias("date"), "address")
+    def seen(df: DataFrame, on_native: bool) -> DataFrame:
+        chain = F.lit(on_native).alias("on_native")
+        return df.select(chain, period.bucket(TS).alias("date"), "address")
 
     native = explode_actors(in_complete_buckets(src.native_actors(), TS, period))
     evm = senders(in_complete_buckets(src.evm_tx(), TS, period))
-    addresses = seen(native, NATIVE_LABEL).unionByName(seen(evm, EVM_LABEL)).distinct()
+    addresses = seen(native, True).unionByName(seen(evm, False)).distinct()
     position = F.row_number().over(Window.partitionBy("address").orderBy("date"))
     is_first = F.col("position") == 1
     per_bucket = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,10 @@ def between(
     The bounds are midnights, so they also bound the day folders of a table that is
     split by day; the second predicate prunes those folders before the scan.
     """
-    return _bounded(same_days(df, lower, upper, include_upper), ts, lower, upper, include_upper)
+    tests = _bounds(ts, lower, upper, include_upper)
+    if PARTITION_DATE in df.columns:
+        tests += _bounds(PARTITION_DATE, lower, upper, include_upper)
+    return _where_all(df, tests)
 
 
 def same_days(
@@ -39,18 +43,23 @@ def same_days(
     """
     if PARTITION_DATE not in df.columns:
         return df
-    return _bounded(df, PARTITION_DATE, lower, upper, include_upper)
+    return _where_all(df, _bounds(PARTITION_DATE, lower, upper, include_upper))
 
 
-def _bounded(
-    df: DataFrame, column: str, lower: date | None, upper: date | None, include_upper: bool
-) -> DataFrame:
+def _bounds(
+    column: str, lower: date | None, upper: date | None, include_upper: bool
+) -> list[Column]:
     value = F.col(column)
+    tests = []
     if lower is not None:
-        df = df.where(value >= F.lit(lower))
+        tests.append(value >= F.lit(lower))
     if upper is not None:
-        df = df.where(value <= F.lit(upper) if include_upper else value < F.lit(upper))
-    return df
+        tests.append(value <= F.lit(upper) if include_upper else value < F.lit(upper))
+    return tests
+
+
+def _where_all(df: DataFrame, tests: list[Column]) -> DataFrame:
+    return df.where(reduce(Column.__and__, tests)) if tests else df
 
 
 def in_period(df: DataFrame, ts: str, period: Period) -> DataFrame:

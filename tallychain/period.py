@@ -114,6 +114,6 @@ class Period:
         local = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
         day = F.to_date(local)
         if self.grain == "hour":
-            return day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(local))
+            return day.cast("timestamp_ntz") + F.expr("INTERVAL '1' HOUR") * F.hour(local)
         start = day if self.grain == "day" else F.trunc(day, self.grain)
         return start.cast("timestamp_ntz")

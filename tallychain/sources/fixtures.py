@@ -57,7 +57,7 @@ class OrderSources(Sources):
 
     def _orders(self, native: bool) -> DataFrame:
         on_evm = F.col("o_orderkey") % 3 == 0
-        hour = F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+        hour = F.expr("INTERVAL '1' HOUR") * (F.col("o_orderkey") % 24).cast("int")
         return (
             self.table("orders")
             .where(~on_evm if native else on_evm)
@@ -109,7 +109,7 @@ class OrderSources(Sources):
         )
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("l_orderkey").cast("string").alias("tx_id"),
-            (F.col("block_timestamp") + F.make_dt_interval(mins="l_linenumber")).alias(
+            (F.col("block_timestamp") + F.expr("INTERVAL '1' MINUTE") * F.col("l_linenumber")).alias(
                 "block_timestamp"
             ),
             PARTITION_DATE,
