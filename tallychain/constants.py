@@ -38,3 +38,13 @@ LIQUID_SUPPLY = 0.0
 # Weeks shown in the new-address table, and rows of a rolling mean.
 WEEK_TABLE_WEEKS = 12
 ROLLING_ROWS = 4
+
+# Row labels of the new-address table, by measure.
+WEEK_TABLE_ROWS = {
+    "cadence_accounts": "# transacting wallets on Cadence",
+    "cadence_pct": "Cadence % Change",
+    "evm_accounts": "# transacting wallets on EVM",
+    "evm_pct": "EVM % Change",
+    "total_accounts": "# total transacting wallets",
+    "total_pct": "Total % Change",
+}

@@ -7,7 +7,13 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallychain.constants import BOTH_LABEL, EVM_LABEL, NATIVE_LABEL, WEEK_TABLE_WEEKS
+from tallychain.constants import (
+    BOTH_LABEL,
+    EVM_LABEL,
+    NATIVE_LABEL,
+    WEEK_TABLE_ROWS,
+    WEEK_TABLE_WEEKS,
+)
 from tallychain.functions.scalars import first_element
 from tallychain.operators.accounts import explode_actors, senders
 from tallychain.operators.aggregates import (
@@ -185,14 +191,4 @@ def new_accounts_week_table(src: Sources, period: Period) -> DataFrame:
         "total_accounts",
         change("total_accounts").alias("total_pct"),
     )
-    return week_pivot(
-        with_change,
-        {
-            "cadence_accounts": "# transacting wallets on Cadence",
-            "cadence_pct": "Cadence % Change",
-            "evm_accounts": "# transacting wallets on EVM",
-            "evm_pct": "EVM % Change",
-            "total_accounts": "# total transacting wallets",
-            "total_pct": "Total % Change",
-        },
-    )
+    return week_pivot(with_change, WEEK_TABLE_ROWS)

@@ -36,6 +36,12 @@ class MetricStore:
         METRICS[metric](src, period).write.mode("overwrite").parquet(path)
         return src.spark.read.parquet(path)
 
+    def refresh_all(self, src: Sources, periods: list[Period]) -> None:
+        """Compute and store every metric at every period."""
+        for period in periods:
+            for metric in METRICS:
+                self.refresh(metric, src, period)
+
     def get(self, metric: str, src: Sources, period: Period) -> DataFrame:
         """The stored rows, computed first if there are none."""
         try:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallychain.constants import CONTRACT_ADDED_EVENT, DEPLOY_TOPIC, FEE_CONTRACT, FEE_EVENT
 from tallychain.metrics import accounts, contracts, deployers, fees, transactions
+from tallychain.operators.deploys import deploy_contracts
 from tallychain.period import Period
 from tallychain.sources.schemas import SCHEMAS
 from tallychain.sources.tables import Sources
@@ -88,12 +89,24 @@ def test_fees_of_the_hot_transaction(src, settings):
     assert float(total) == KEYS + 0.5 * N / 2
 
 
-def test_hot_events_are_one_row_per_task_before_the_shuffle(src, settings, spark):
+def test_fees_are_partially_summed_before_the_shuffle(src, settings):
     """The fee aggregate shuffles at most one row per transaction and map task."""
     settings("spark.sql.adaptive.enabled", "false")
     settings("spark.sql.autoBroadcastJoinThreshold", "-1")
-    hot = fees.fee_events(src.native_events()).where(F.col("tx_id") == "hot")
-    per_tx = hot.groupBy("tx_id").agg(F.sum("amount").alias("s"))
-    per_tx.collect()
-    text = per_tx._jdf.queryExecution().executedPlan().toString()
-    assert text.index("partial_sum") > text.index("Exchange hashpartitioning(tx_id")
+    text = fees.fees_summary(src, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    lines = text.splitlines()
+    shuffles = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(tx_id" in line]
+    assert len(shuffles) == 2
+    below = [next(line for line in lines[i:] if "Aggregate(key" in line) for i in shuffles]
+    assert "partial_sum(" in below[0] and "partial_count(" in below[1]
+
+
+def test_a_hot_transaction_is_split_over_tasks(src, settings):
+    """The join that carries contract addresses may be split where one hash is hot."""
+    settings("spark.sql.autoBroadcastJoinThreshold", "-1")
+    settings("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64KB")
+    settings("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.2")
+    settings("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    deploys = deploy_contracts(src).groupBy("contract").count()
+    assert len(deploys.collect()) == N
+    assert "skew=true" in deploys._jdf.queryExecution().executedPlan().toString()

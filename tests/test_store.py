@@ -62,6 +62,14 @@ def test_every_metric_can_be_stored(spark, tmp_path, metric):
     assert stored.columns == METRICS[metric](src, WEEK).columns
 
 
+def test_everything_can_be_refreshed(spark, tmp_path):
+    store = MetricStore(str(tmp_path))
+    src = sources(spark, "10")
+    store.refresh_all(src, [WEEK])
+    assert {p.name for p in tmp_path.iterdir()} == set(METRICS)
+    assert store.get("tx_kpis", src, WEEK).collect()[0].cadence == 1
+
+
 def test_store_of_an_unknown_metric(spark, tmp_path):
     with pytest.raises(KeyError):
         MetricStore(str(tmp_path)).get("nothing", sources(spark), WEEK)
