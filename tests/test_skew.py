@@ -1,5 +1,6 @@
 """One key holds a third of all rows: results stay whole, and no task gets it all."""
 
+import re
 from datetime import date, datetime
 
 import pytest
@@ -95,7 +96,8 @@ def test_fees_are_partially_summed_before_the_shuffle(src, settings):
     settings("spark.sql.autoBroadcastJoinThreshold", "-1")
     text = fees.fees_summary(src, AS_OF)._jdf.queryExecution().executedPlan().toString()
     lines = text.splitlines()
-    shuffles = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(tx_id" in line]
+    by_tx = re.compile(r"Exchange hashpartitioning\(tx_id#\d+, \d+\)")
+    shuffles = [i for i, line in enumerate(lines) if by_tx.search(line)]
     assert len(shuffles) == 2
     below = [next(line for line in lines[i:] if "Aggregate(key" in line) for i in shuffles]
     assert "partial_sum(" in below[0] and "partial_count(" in below[1]
