@@ -46,7 +46,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
+                "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
             }
         )
     )
