@@ -1,11 +1,21 @@
 """Operators of a training-data pipeline; nothing else in the library imports this package."""
 
-from tallychain.llm import decontaminate, quality_rules, secret_scan
+from tallychain.llm import (
+    decontaminate,
+    packing,
+    quality_rules,
+    secret_scan,
+    token_files,
+    url_filter,
+)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_packing": packing.op2_packing,
+    "op3_token_files": token_files.op3_token_files,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_url_filter": url_filter.op9_url_filter,
 }
 ORACLES = {
     "op6_decontaminate": decontaminate.SQL,
