@@ -3,6 +3,7 @@
 from tallychain.llm import (
     decontaminate,
     packing,
+    quality_model,
     quality_rules,
     secret_scan,
     token_files,
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_token_files": token_files.op3_token_files,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_quality_model": quality_model.op7_quality_model,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_url_filter": url_filter.op9_url_filter,
 }
