@@ -217,8 +217,8 @@ def pieces(
         task, counts = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(*map(values, batch.columns), strict=True):
-                ids = documents_ids(text, vocabulary, keeps_spaces=False)
+            texts = zip(*map(values, batch.columns), strict=True)
+            for doc_id, ids in documents_ids(texts, vocabulary, keeps_spaces=False):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     data = little_endian(ids[start : start + capacity])
                     n = len(data) // 4

@@ -95,8 +95,8 @@ def _chunks(vocabulary: str, bits: bool, target: pa.Schema):
             return batch_of([row], target)
 
         for batch in batches:
-            for key, text in zip(*map(values, batch.columns), strict=True):
-                x = documents_ids(text, vocabulary, keeps_spaces=True)
+            rows = zip(*map(values, batch.columns), strict=True)
+            for key, x in documents_ids(rows, vocabulary, keeps_spaces=True):
                 if size and size + len(x) > CHUNK_IDS:
                     yield full()
                 keys.append(key)

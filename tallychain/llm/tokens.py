@@ -2,25 +2,43 @@
 
 Both vocabularies cut a text at white space before any merge, so the ids of a text are the ids of
 its words in a row, and words repeat.  Each distinct word goes through the library once per
-process; a text whose white space could make a cut inexact goes through it whole.  A test holds
-the ids against plain calls.
+process: words of Latin letters, a mark behind them or not, through its merge model alone, all
+others through the whole tokenizer.  A text whose white space could make a cut inexact is encoded
+whole.  A test holds the ids against plain calls.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 END = 0
 #: Words that a process remembers; the memory starts anew beyond it.
-MOST_WORDS = 300_000
+MOST_WORDS = 600_000
+#: Texts that are encoded together are at most this many characters, or a single one.
+TOGETHER = 2_000_000
 
 #: White space other than the four that every vocabulary here treats alike.
 ODD_SPACE = re.compile(r"[^\S \n\r\t]")
 #: For vocabularies that keep white space: anything but single blanks and single line breaks.
 ODD_RUNS = re.compile(r"[^\S \n]")
+#: Marks that are words of their own behind letters.
+MARKS = frozenset(".,;:!?")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte -> the printable character that stands for it in byte-level vocabularies."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+LETTERS = byte_letters()
 
 
 class _Words(dict):
@@ -43,14 +61,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.keeps_spaces = keeps_spaces
+        self.marks = {m: self.library.encode(m, add_special_tokens=False).ids for m in MARKS}
         self._forget()
 
     def _forget(self) -> None:
         self.words = _Words()
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.starts = np.zeros(1024, np.int64)
+        self.lengths = np.zeros(1024, np.int64)
+        self.flat = np.zeros(4096, np.uint32)
+        self.known = self.used = 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -65,38 +86,42 @@ class Encoder:
         # Each word keeps the white space before it; a blank stands for itself in the key.
         return (" " + text.replace("\n", " \n")).split(" ")[1:]
 
+    def _letters(self, word: str) -> list[int] | None:
+        """Ids of a word of Latin letters, which is one unit for the merges; else None."""
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
+            return None
+        if self.keeps_spaces:
+            word = " " + word
+        else:
+            word = word.lower()
+        unit = word.encode().decode("latin-1").translate(LETTERS)
+        return [t.id for t in self.model.tokenize(unit)]
+
+    def _word(self, word: str) -> list[int]:
+        ids = self._letters(word)
+        if ids is None and word[-1] in MARKS:
+            ids = self._letters(word[:-1])
+            ids = ids and ids + self.marks[word[-1]]
+        if ids is None:
+            # A key without a line break in front stands behind a blank.
+            text = " " + word if self.keeps_spaces and word[0] != "\n" else word
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        return ids
+
     def _learn(self) -> None:
         fresh, self.words.fresh = self.words.fresh, []
         if not fresh:
             return
-        if self.keeps_spaces:  # keys without a line break in front stand behind a blank
-            fresh = [w if w[0] == "\n" else " " + w for w in fresh]
-        ids = []
-        for at in range(0, len(fresh), 5000):
-            batch = self.library.encode_batch(fresh[at : at + 5000], add_special_tokens=False)
-            ids += [e.ids for e in batch]
+        ids = list(map(self._word, fresh))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        base = len(self.flat)
-        self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of the text as unsigned 32-bit numbers, without an end id."""
-        words = self._split(text)
-        if words is None:
-            return self.whole(text)
-        if not words:
-            return np.zeros(0, np.uint32)
-        if len(self.words) > MOST_WORDS:
-            self._forget()
-        head = None
-        if self.keeps_spaces:  # the first word has no blank before it
-            head, words = self.whole(words[0]), words[1:]
-        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        self._learn()
-        ids = self._gather(numbers)
-        return ids if head is None else np.concatenate([head, ids])
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        known, used = self.known + len(ids), self.used + len(flat)
+        self.starts, self.lengths = (_room(x, known) for x in (self.starts, self.lengths))
+        self.flat = _room(self.flat, used)
+        self.starts[self.known : known] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.known : known] = lengths
+        self.flat[self.used : used] = flat
+        self.known, self.used = known, used
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         lengths = self.lengths[numbers]
@@ -106,17 +131,47 @@ class Encoder:
         shift = np.repeat(self.starts[numbers] - (ends - lengths), lengths)
         return self.flat[shift + np.arange(ends[-1])]
 
-    def encode_documents(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text with the end id."""
-        return [np.append(self.encode(t), np.uint32(END)) for t in texts]
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of the text as unsigned 32-bit numbers, without an end id."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text; what is new in any of them is looked up at once."""
+        if len(self.words) > MOST_WORDS:
+            self._forget()
+        pending = []
+        for text in texts:
+            words = self._split(text)
+            if words is None:
+                pending.append((self.whole(text), None))
+                continue
+            head = None
+            if self.keeps_spaces:  # the first word has no blank before it
+                head, words = self.whole(words[0]), words[1:]
+            numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            pending.append((head, numbers))
+        self._learn()
+        for head, numbers in pending:
+            if numbers is None:
+                yield head
+            else:
+                ids = self._gather(numbers)
+                yield ids if head is None else np.concatenate([head, ids])
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a copy with room for ``size`` and as much again."""
+    if size <= len(array):
+        return array
+    larger = np.zeros(2 * size, array.dtype)
+    larger[: len(array)] = array
+    return larger
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, keeps_spaces: bool) -> Encoder:
-    """One encoder per process and vocabulary."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    """One encoder per process and vocabulary; Spark's tasks are the only parallelism."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path, keeps_spaces)
 
 
@@ -126,9 +181,27 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def documents_ids(text: str | None, path: str, keeps_spaces: bool) -> np.ndarray:
-    """Ids of one document, the end id included; NULL reads as empty."""
-    return np.append(encoder(path, keeps_spaces).encode(text or ""), np.uint32(END))
+def documents_ids(
+    rows: Iterable[tuple[object, str | None]], path: str, keeps_spaces: bool
+) -> Iterator[tuple[object, np.ndarray]]:
+    """(key, ids with the end id) of (key, text) rows in their order; NULL reads as empty."""
+    coder = encoder(path, keeps_spaces)
+    keys, texts, size = [], [], 0
+
+    def done() -> Iterator[tuple[object, np.ndarray]]:
+        for key, ids in zip(keys, coder.encode_all(texts), strict=True):
+            yield key, np.append(ids, np.uint32(END))
+
+    for key, text in rows:
+        text = text or ""
+        if texts and size + len(text) > TOGETHER:
+            yield from done()
+            keys, texts, size = [], [], 0
+        keys.append(key)
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield from done()
 
 
 def little_endian(ids: np.ndarray) -> bytes:
