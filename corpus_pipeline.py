@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallychain.llm import decontaminate, quality_rules, secret_scan
+from tallychain.llm import decontaminate, jaccard_join, packing, quality_rules, secret_scan
 from tallychain.llm.common import table, written
 
 
@@ -19,6 +19,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by Jaccard similarity, one stays."""
+    return jaccard_join.one_of_each(docs)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a word inside a benchmark window go."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -29,10 +34,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redacted(docs)
 
 
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place there."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
     ("benchmark_decontamination", benchmark),
     ("secret_scan", secrets),
+    ("best_fit_packing", sequences),
 ]
 ORACLE_SQL = None
 

@@ -123,3 +123,11 @@ def window_codes(codes: np.ndarray, width: int) -> np.ndarray:
     for k in range(1, width):
         out = mixed(out ^ codes[k : k + n])
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are no longer in use."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

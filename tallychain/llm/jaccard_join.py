@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallychain.llm.common import (
@@ -325,9 +325,13 @@ def candidates(sets: DataFrame, buckets: int) -> DataFrame:
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buckets(batches):
             stars, parts, seen = set(), [], set()
-            codes, ids, _ = _joined_pairs(rows)
+            codes, ids, many = _joined_pairs(rows)
             first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            if not len(codes):
+                continue
             ends = np.concatenate([first[1:], [len(codes)]])
+            shared = (ends - first > 1) | np.logical_or.reduceat(many, first)
+            first, ends = first[shared], ends[shared]
             smallest = dict(zip(codes[first].tolist(), ids[first].tolist(), strict=True))
             wide = {}
             for _, _, value, docs in (r for r in rows if r[0] == GROUP):
@@ -335,8 +339,6 @@ def candidates(sets: DataFrame, buckets: int) -> DataFrame:
                 wide.setdefault(v, []).append(docs)
             for v, a, b in zip(codes[first].tolist(), first.tolist(), ends.tolist(), strict=True):
                 inner = wide.get(v, [])
-                if b - a == 1 and not inner:
-                    continue
                 members = np.unique(np.concatenate([ids[a:b], *(np.frombuffer(d, "<i8") for d in inner)]))
                 if len(members) < 2:
                     continue
@@ -509,12 +511,16 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE)
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of every class, that of its smallest key, with its columns unchanged.
 
-    Of rows that share the smallest key of their class, one stays.  Rows without a key stay.
+    Of rows that share this key, one stays.  Rows without a key all stay.
     """
     classes = similar_classes(docs, key)
     gone = classes.where(f"{key} <> component_id").select(key).distinct()
-    kept = docs.join(gone, key, "left_anti")
-    return kept
+    keyed = docs.where(F.col(key).isNotNull()).join(gone, key, "left_anti")
+    # The join has dealt and sorted the rows by key already.
+    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    name = "place" + "_" * max(map(len, docs.columns))
+    kept = keyed.withColumn(name, place).where(F.col(name) == 1).select(*docs.columns)
+    return kept.unionByName(docs.where(F.col(key).isNull()))
 
 
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
