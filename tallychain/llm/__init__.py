@@ -8,6 +8,7 @@ from tallychain.llm import (
     quality_model,
     quality_rules,
     secret_scan,
+    suffix_dedup,
     token_files,
     url_filter,
 )
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_packing": packing.op2_packing,
     "op3_token_files": token_files.op3_token_files,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_chat_tree": chat.op5_chat_tree,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_model": quality_model.op7_quality_model,

@@ -189,8 +189,14 @@ ANCHORS, KNOWN = 0, 1
 #: Kinds of rows that meet a document: it is a copy; repeated anchors or spans; its text.
 COPY, FOUND, TEXT = 0, 1, 2
 MEET = "doc long, kind int, data binary"
-PACK = zstandard.ZstdCompressor(level=1)
-UNPACK = zstandard.ZstdDecompressor()
+
+
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _bytes(*arrays: np.ndarray) -> bytes:
@@ -352,7 +358,7 @@ def _packed_pieces(pieces: dict[bytes, list[tuple[int, int]]], codes: dict[bytes
             starts = np.array([kept[k][2] for k in at], "<i8")
             sizes = np.array([len(kept[k][0]) for k in at], "<u4")
             text = np.frombuffer(b"".join(kept[k][0] for k in at), np.uint8)
-            data = PACK.compress(_bytes(docs, starts, sizes, _short(code[at]), text))
+            data = _packed(_bytes(docs, starts, sizes, _short(code[at]), text))
             yield bucket, TEXT, data
     yield from ((-1, FOUND, x) for x in _packed_spans(gone))
 
@@ -510,7 +516,7 @@ def resolve(pieces: DataFrame, buckets: int, limit_bytes: int, limit_chars: int)
                 if bucket != last:
                     yield from finish()
                     last, pieces, codes, size, over = bucket, {}, {}, 0, False
-                docs, starts, sizes, short, text = _arrays(UNPACK.decompress(data), "<i8", "<i8", "<u4", "<u4", np.uint8)
+                docs, starts, sizes, short, text = _arrays(_unpacked(data), "<i8", "<i8", "<u4", "<u4", np.uint8)
                 whole, ends = text.tobytes(), np.cumsum(sizes)
                 for d, a, n, end, c in zip(*(x.tolist() for x in (docs, starts, sizes, ends, short)), strict=True):
                     piece = whole[end - n : end]
