@@ -71,11 +71,11 @@ class Block:
             for i in range(n - width + 1):
                 at = i * step
                 self.windows.setdefault(data[at : at + width * step], set()).add(item_id)
-        firsts = [self._key(np.frombuffer(w, self.kind).astype(np.int64)) for w in self.windows]
-        self.starts = np.unique(np.array(firsts, np.int64).reshape(-1))
+        heads = [np.frombuffer(w, self.kind)[: self.depth].astype(np.int64) for w in self.windows]
+        self.starts = np.unique([int(self._key(h)[0]) for h in heads]).astype(np.int64)
 
     def _key(self, ids: np.ndarray) -> np.ndarray:
-        """The first ``depth`` words at each place as one number; at the start if one window."""
+        """The first ``depth`` words at each place as one number."""
         n, base = len(ids) - self.depth + 1, len(self.ids) + 1
         key = np.zeros(max(n, 0), np.int64)
         for k in range(self.depth):
