@@ -78,28 +78,48 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def lower_words(text: str) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` of the text with A-Z in lower case, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def _byte_values() -> np.ndarray:
+    from hashlib import blake2b
 
+    digests = [blake2b(bytes([b]), digest_size=8).digest() for b in range(256)]
+    out = np.array([int.from_bytes(d, "little") for d in digests], np.uint64)
+    out[list(b" \t\n\r\x0b\x0c")] = 0
+    return out
 
-class WordCodes(dict):
-    """Word -> 64-bit code, equal in every process; filled on demand, emptied when large."""
-
-    def __init__(self, most: int = 400_000) -> None:
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        from hashlib import blake2b
+class WordCodes:
+    """64-bit codes of the words `[^\\x20\\x09-\\x0D]+` of a text, A-Z in lower case.
 
-        if len(self) >= self.most:
-            self.clear()
-        code = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return code
+    A word's code is a polynomial over random values of its bytes, equal wherever it stands; all
+    words of a text are computed at once from running sums.
+    """
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.value = _byte_values()
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        size = max(2 * len(self.powers), n + 1)
+        step = np.full(size, self.BASE, np.uint64)
+        back = np.full(size, pow(self.BASE, -1, 1 << 64), np.uint64)
+        step[0] = back[0] = 1
+        self.powers, self.inverse = np.cumprod(step), np.cumprod(back)
+
+    def of(self, text: str) -> np.ndarray:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+        n = len(data)
+        if n >= len(self.powers):
+            self._grow(n)
+        value = self.value[data]
+        inside = np.zeros(n + 2, np.int8)
+        inside[1:-1] = value != 0
+        edge = np.diff(inside)
+        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(value * self.powers[:n], out=total[1:])
+        return mixed((total[stop] - total[start]) * self.inverse[start])
 
 
 #: Odd multipliers of the mixing steps below (fixed values).

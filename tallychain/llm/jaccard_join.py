@@ -8,17 +8,19 @@ Two documents link when the Jaccard similarity of their shingle sets reaches 3/4
    only are counted; a document with more than n/4 of them has no partner, which is certain.
    A hash that collides only hides such a shingle and never excludes a document wrongly.
 3. *Signatures.*  Sets fall into size bands of ratio 4/3, so partners are in the same or the next
-   band.  In instance i, the sets of bands i-1 and i differ in at most k = 2r/7 shingles if they
-   link (r the largest size).  The shingle domain is cut into n1 parts of `SUBPARTS` subparts;
-   if n1 (`DIFFERENT` + 1) > k, some part differs in at most `DIFFERENT` subparts, and leaving out
-   each choice of that many subparts yields a signature that both sets share.  Empty signatures are not
-   used: parts with too few shingles do not count, and a set left with too few parts also emits
-   each single shingle (two such sets that link share one).
+   band; instance i holds those of bands i-1 and i.  Sets of a and b shingles that link differ
+   in at most (a + b) / 7.  The shingle domain is cut into parts of `SUBPARTS` subparts; if one set
+   has more than k / (`DIFFERENT` + 1) parts that count, some part of it differs in at most
+   `DIFFERENT` subparts, and leaving out each choice of that many subparts yields a signature that
+   both sets share.  Empty signatures are not used: a part counts if more than `DIFFERENT` of its
+   subparts hold shingles, and a set left with too few such parts also emits each single shingle
+   (if neither set has enough, they share one of these).
 4. *Candidates.*  Signatures travel as 32-bit values in packed blocks; equal ones form a
-   group.  A group links each member to its smallest one; a group whose members end up in
-   different components is compared block by block.  Size and a count sketch (64 counters, whose
-   distance is never more than that of the sets) discard pairs that cannot link.
-5. *Exact check* of every remaining pair on the whole sets, then components.
+   group, and each member is paired with the smallest one.
+5. *Exact check* on the whole sets: of each set's pairs the one with the smallest partner first, which
+   connects nearly all.  Then only what still crosses components: the other pairs, and within each
+   group that has several components all members, block by block.  Size and a count sketch (64
+   counters, whose distance is never more than that of the sets) discard pairs that cannot link.
 
 No group is ever held by one task: blocks merge equal values before they travel, and groups are cut
 into blocks of bounded size.
@@ -43,10 +45,10 @@ from tallychain.llm.common import (
     WordCodes,
     arrow_schema,
     batch_of,
-    lower_words,
     map_rows,
     mixed,
     partitions_of,
+    release,
     table,
     values,
     window_codes,
@@ -57,7 +59,7 @@ from tallychain.llm.links import components
 SHINGLE = 5
 #: Similarity NUMERATOR / DENOMINATOR; the band arithmetic below belongs to 3/4.
 NUMERATOR, DENOMINATOR = 3, 4
-SUBPARTS, DIFFERENT = 3, 1
+SUBPARTS, DIFFERENT = 2, 1
 SKETCH = 64
 #: Documents of a packed block; packed bytes of a bucket; members of a comparison block.
 BLOCK_DOCS, BUCKET_BYTES, MEMBERS = 4000, 8_000_000, 1024
@@ -70,7 +72,7 @@ COUNTED_SHARES = 5
 
 def shingles(text: str | None, codes: WordCodes, width: int = SHINGLE) -> np.ndarray:
     """Distinct shingle codes of a whole text, ascending."""
-    words = codes.of(lower_words(text or ""))
+    words = codes.of(text or "")
     if not len(words):
         return words
     return np.unique(window_codes(words, min(width, len(words))) ^ np.uint64(min(width, len(words))))
@@ -89,11 +91,12 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def sketch(codes: np.ndarray) -> np.ndarray:
     """Counts by hash class; the L1 distance of two sketches is at most that of the sets."""
-    return np.bincount((codes >> np.uint64(50)) % np.uint64(SKETCH), minlength=SKETCH)
+    counts = np.bincount(((codes >> np.uint64(50)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8)
 
 
 def sketches(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), "<u4").reshape(-1, SKETCH).astype(np.int64)
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, SKETCH).astype(np.int16)
 
 
 # --- signatures ----------------------------------------------------------------------------
@@ -126,16 +129,22 @@ def signatures(codes: np.ndarray) -> np.ndarray:
 
 
 def _instance(codes: np.ndarray, index: int) -> np.ndarray:
-    k = 2 * band_top(index) // 7
+    top, n = band_top(index), len(codes)
+    # Shingles in which this set and a partner in the instance may differ.
+    k = (n + min(top, DENOMINATOR * n // NUMERATOR)) // 7
     needed = k // (DIFFERENT + 1) + 1  # parts that must count
-    parts = needed + needed // 8 + 2
+    parts = 7 * top // 40 + 2
     salt = _salt(index)
     h = mixed(codes ^ salt)
-    cell = (h >> np.uint64(20)) % np.uint64(parts * SUBPARTS)
+    cell = ((h >> np.uint64(20)) % np.uint64(parts * SUBPARTS)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
     sums = np.zeros(parts * SUBPARTS, np.uint64)
-    np.add.at(sums, cell, mixed(h))
-    sums, full = sums.reshape(parts, SUBPARTS), np.bincount(cell, minlength=parts * SUBPARTS) > 0
-    full = full.reshape(parts, SUBPARTS)
+    sums[cell[first]] = np.add.reduceat(mixed(h[order]), first)
+    full = np.zeros(parts * SUBPARTS, bool)
+    full[cell[first]] = True
+    sums, full = sums.reshape(parts, SUBPARTS), full.reshape(parts, SUBPARTS)
     part = np.arange(parts, dtype=np.uint64)
     out = []
     for left_out in range(SUBPARTS):
@@ -302,7 +311,7 @@ def features(docs: DataFrame, nodes: DataFrame, key: str, width: int) -> DataFra
 
     def per_row(doc, text) -> tuple:
         s = shingles(text, codes, width)
-        return doc, len(s), s.astype("<u8").tobytes(), sketch(s).astype("<u4").tobytes()
+        return doc, len(s), s.astype("<u8").tobytes(), sketch(s).tobytes()
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), "text")
     rows = rows.join(nodes.select("doc"), "doc", "left_semi")
@@ -337,22 +346,24 @@ def candidates(sets: DataFrame, buckets: int) -> DataFrame:
             for _, _, value, docs in (r for r in rows if r[0] == GROUP):
                 v = int.from_bytes(value, "little") & 0xFFFFFFFF
                 wide.setdefault(v, []).append(docs)
+            # Two entries of one document each: a pair, without more ado.
+            two = (ends - first == 2) & ~np.logical_or.reduceat(np.append(many, False), first)
+            low, high = ids[first[two]], ids[first[two] + 1]
+            apart = low != high
+            stars.update(zip(low[apart].tolist(), high[apart].tolist(), strict=True))
+            first, ends = first[~two], ends[~two]
             for v, a, b in zip(codes[first].tolist(), first.tolist(), ends.tolist(), strict=True):
-                inner = wide.get(v, [])
+                inner = wide.get(v, ())
                 members = np.unique(np.concatenate([ids[a:b], *(np.frombuffer(d, "<i8") for d in inner)]))
-                if len(members) < 2:
-                    continue
-                digest = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
-                if digest in seen:
+                digest = members.tobytes()
+                if len(members) < 2 or digest in seen:
                     continue
                 seen.add(digest)
                 stars.update((smallest[v], d) for d in members.tolist() if d != smallest[v])
                 if len(members) > 2:
+                    name = hashlib.blake2b(digest, digest_size=16).digest()
                     for at in range(0, len(members), MEMBERS):
-                        parts.append((None, None, digest, members[at : at + MEMBERS].tolist()))
-                if len(stars) > 50_000:
-                    yield batch_of([(a, b, None, None) for a, b in sorted(stars)], out)
-                    stars = set()
+                        parts.append((None, None, name, members[at : at + MEMBERS].tolist()))
                 if len(parts) > 2000:
                     yield batch_of(parts, out)
                     parts = []
@@ -364,7 +375,7 @@ def candidates(sets: DataFrame, buckets: int) -> DataFrame:
 
 def possible(n: np.ndarray, s: np.ndarray, i: int) -> np.ndarray:
     """Which of the sets could link with set ``i``, by sizes and sketches."""
-    distance = np.abs(s - s[i]).sum(axis=1)
+    distance = np.abs(s - s[i]).sum(axis=1, dtype=np.int64)
     large, small = np.maximum(n, n[i]), np.minimum(n, n[i])
     return (DENOMINATOR * small >= NUMERATOR * large) & (7 * distance <= n + n[i])
 
@@ -423,12 +434,21 @@ def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 continue
             a, b, na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             near = np.abs(sketches(batch.column(4).to_pylist()) - sketches(batch.column(5).to_pylist()))
-            keep = 7 * near.sum(axis=1) <= na + nb
+            keep = 7 * near.sum(axis=1, dtype=np.int64) <= na + nb
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], schema=target)
 
     return each.mapInArrow(run, "a long, b long").distinct()
 
 
+def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    each = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return each.where(
+        F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+    ).select("a", "b")
+
+
 def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of one group whose members are in different components so far.
 
@@ -477,8 +497,8 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE)
     tasks = partitions_of(docs)
 
     def buckets(packed_bytes: int) -> int:
-        """Enough that a bucket fits a task, and several for each task."""
-        return max(4 * tasks, packed_bytes // BUCKET_BYTES + 1)
+        """Enough that a bucket fits a task."""
+        return max(tasks, packed_bytes // BUCKET_BYTES + 1)
 
     alone = unique_counts(docs, key, width, buckets(total * COUNTED_SHARES // 2))
     filled = sets.where("n > 0 and doc is not null")
@@ -486,17 +506,26 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE)
     open_ = filled.join(alone, "doc", "left").where("4 * coalesce(alone, 0) <= n")
     chosen = open_.groupBy("digest").agg(F.min("doc").alias("rep"))
     chosen = written(chosen, "nodes")
+    release(docs.sparkSession)
     nodes = chosen.select(F.col("rep").alias("doc")).distinct()
     found = written(features(docs, nodes, key, width), "features")
+    release(docs.sparkSession)
     size = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    groups = written(candidates(found, buckets(size * 10)), "groups")
+    groups = written(candidates(found, buckets(size * 8)), "groups")
+    release(docs.sparkSession)
     stars = groups.where("a is not null").select("a", "b").distinct()
     stars = written(_plausible(stars, found), "pairs")
-    links = written(verified(stars, found), "verified")
-    first = components(links)
-    rest = written(_across(groups.where("value is not null").select("value", "docs"), first, found), "pairs")
+    first = written(verified(stars.groupBy("b").agg(F.min("a").alias("a")), found), "verified")
+    release(docs.sparkSession)
+    labels = components(first)
+    rest = _crossing(stars, labels).unionByName(
+        _across(groups.where("value is not null").select("value", "docs"), labels, found)
+    )
+    rest = written(rest.distinct(), "pairs")
+    links = first
     if not rest.isEmpty():
         links = links.unionByName(written(verified(rest, found), "verified"))
+        release(docs.sparkSession)
     # Equal sets, and rows that share a key, link as well.
     same = open_.join(chosen, "digest").where("doc <> rep").select(
         F.col("rep").alias("a"), F.col("doc").alias("b")
