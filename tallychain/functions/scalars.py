@@ -56,14 +56,38 @@ def json_decimal(
 ) -> Column:
     """A number inside JSON text or a variant.
 
-    Strict reading raises on a value that is not a number; otherwise it gives NULL.
+    Strict reading raises on a value that is not a number, does not fit ``kind`` or has more
+    decimals than it, whatever the session's settings; otherwise it gives NULL or rounds.
     JSON text is scanned for the one path, not parsed into a full variant.
     """
     if isinstance(df.schema[column].dataType, T.VariantType):
-        read = F.variant_get if strict else F.try_variant_get
-        return read(F.col(column), path, kind.simpleString())
-    text = F.get_json_object(column, path)
-    return text.cast(kind) if strict else text.try_cast(kind)
+        text = F.try_variant_get(F.col(column), path, "string")
+    else:
+        text = F.get_json_object(column, path)
+    number = text.try_cast(kind)
+    if not strict:
+        return number
+    # More decimals than the type holds would be rounded; trailing zeros are no decimals.
+    rounded = text.rlike(rf"\.\d{{{kind.scale}}}\d*[1-9]") | text.rlike(r"[eE]-")
+    bad = text.isNotNull() & (number.isNull() | rounded)
+    return _or_raise(number, bad, F.concat(F.lit(f"not a {kind.simpleString()}: "), text))
+
+
+def _or_raise(value: Column, bad: Column, message: Column) -> Column:
+    return F.when(bad, F.raise_error(message)).otherwise(value)
+
+
+def strict_cast(value: Column, kind: T.DecimalType) -> Column:
+    """``value`` as ``kind``; raises if it does not fit, whatever the session's settings."""
+    number = value.try_cast(kind)
+    bad = value.isNotNull() & number.isNull()
+    return _or_raise(number, bad, F.lit(f"a sum does not fit {kind.simpleString()}"))
+
+
+def strict_sum(value: str | Column) -> Column:
+    """Sum of decimals; raises where an overflow would give NULL."""
+    total = F.try_sum(value)
+    return _or_raise(total, (F.count(value) > 0) & total.isNull(), F.lit("a sum overflows"))
 
 
 def first_element(array: str | Column) -> Column:

@@ -127,9 +127,9 @@ def weekly_contracts_by_type(
     )
     by_coa = F.coalesce(is_coa("creator", coa_prefix), F.lit(False))
     evm = (
-        deploy_contracts(src)
+        src.first_seen("evm_deploy", None)
         .groupBy("contract")
-        .agg(F.min(TS).alias("first_seen"), F.bool_or(by_coa).alias("is_coa"))
+        .agg(F.min("first_seen").alias("first_seen"), F.bool_or(by_coa).alias("is_coa"))
         .where(in_window)
         .groupBy(week)
         .agg(

@@ -44,14 +44,17 @@ def deployers_series(src: Sources, period: Period) -> DataFrame:
 
     A deployer counts in every bucket it deploys in.
     """
+    # One row per transaction, with its buckets (no more than the period has): the aggregate
+    # and the join share one shuffle by transaction.
     added = (
         _contract_added(in_complete_buckets(src.native_events(), TS, period))
-        .select("tx_id", period.bucket(TS).alias("day"))
-        .distinct()
+        .groupBy("tx_id")
+        .agg(F.collect_set(period.bucket(TS)).alias("days"))
     )
     transactions = same_days(src.native_tx(), period.start, period.cutoff)
     native = (
         added.join(_deployers(transactions), "tx_id")
+        .select(F.explode("days").alias("day"), "deployer")
         .groupBy("day")
         .agg(F.countDistinct("deployer").alias("new_cadence_deployers"))
     )

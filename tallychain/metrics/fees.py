@@ -1,18 +1,21 @@
 """Transaction fees of both chains.
 
 A native fee is an amount inside an event; it counts once per row of its transaction.
-Both sides of that join are aggregated by transaction first.  The aggregates and the
-join share one partitioning by ``tx_id``, so each side is shuffled once, and a
-transaction with very many events or rows is one row by the time it is joined.
+Both sides of that join are aggregated by transaction first, so a transaction with very many
+events or rows is one row by the time it is joined.  In the summary the aggregates and the join
+share one partitioning by ``tx_id``, and each side is shuffled once.  In the series the events
+are summed by transaction and bucket and shuffled once more for the join; there they are at most
+one row per transaction and bucket.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallychain.constants import FEE_CONTRACT, FEE_EVENT
-from tallychain.functions.scalars import json_decimal
+from tallychain.functions.scalars import json_decimal, strict_cast, strict_sum
 from tallychain.operators.filters import in_complete_buckets, in_period, same_days
 from tallychain.operators.windows import cumulative, rolling_mean
 from tallychain.period import Period
@@ -20,6 +23,7 @@ from tallychain.sources.schemas import EVM_AMOUNT, NATIVE_AMOUNT
 from tallychain.sources.tables import Sources
 
 TS = "block_timestamp"
+PER_TX, COPIES = T.DecimalType(29, 12), T.DecimalType(8, 0)
 
 
 def fee_events(events: DataFrame, strict: bool = True) -> DataFrame:
@@ -38,17 +42,17 @@ def _mean(total: str, count: str) -> Column:
 def _native_fees(events: DataFrame, transactions: DataFrame, *by: Column) -> DataFrame:
     """Fee sum and count of events joined to the rows of their transaction, per ``by``."""
     per_tx = events.groupBy("tx_id", *by).agg(
-        F.sum("amount").alias("amount"), F.count("amount").alias("n")
+        strict_sum("amount").alias("amount"), F.count("amount").alias("n")
     )
     copies = transactions.groupBy("tx_id").agg(F.count(F.lit(1)).alias("copies"))
     keys = [c for c in per_tx.columns if c not in ("tx_id", "amount", "n")]
-    # decimal(28,8) x decimal(9,0) is exact in decimal(38,8); anything larger raises.
-    fees = F.col("amount").cast("decimal(28,8)") * F.col("copies").cast("decimal(9,0)")
+    # decimal(29,12) x decimal(8,0) is exact in decimal(38,12); anything larger raises.
+    fees = strict_cast(F.col("amount"), PER_TX) * strict_cast(F.col("copies"), COPIES)
     return (
         per_tx.join(copies, "tx_id")
         .groupBy(*keys)
         .agg(
-            F.sum(fees).cast(EVM_AMOUNT).alias("fees"),
+            strict_cast(strict_sum(fees), EVM_AMOUNT).alias("fees"),
             F.sum(F.col("n") * F.col("copies")).alias("fee_count"),
         )
         .select(*keys, "fees", _mean("fees", "fee_count").alias("avg_tx_fee"))
@@ -57,7 +61,8 @@ def _native_fees(events: DataFrame, transactions: DataFrame, *by: Column) -> Dat
 
 def _evm_fees(transactions: DataFrame, *by: Column) -> DataFrame:
     sums = transactions.groupBy(*by).agg(
-        F.sum("tx_fee").cast(EVM_AMOUNT).alias("fees"), F.count("tx_fee").alias("fee_count")
+        strict_cast(strict_sum("tx_fee"), EVM_AMOUNT).alias("fees"),
+        F.count("tx_fee").alias("fee_count"),
     )
     keys = [c for c in sums.columns if c not in ("fees", "fee_count")]
     return sums.select(*keys, "fees", _mean("fees", "fee_count").alias("avg_tx_fee"))
@@ -72,7 +77,7 @@ def fees_summary(src: Sources, period: Period) -> DataFrame:
     events = fee_events(same_days(src.native_events(), lower=period.start))
     native = _native_fees(events, in_period(src.native_tx(), TS, period))
     return evm.unionByName(native).agg(
-        F.sum("fees").alias("total_fees"), F.avg("avg_tx_fee").alias("avg_tx_fee")
+        strict_sum("fees").alias("total_fees"), F.avg("avg_tx_fee").alias("avg_tx_fee")
     )
 
 
@@ -91,7 +96,7 @@ def fees_series(src: Sources, period: Period) -> DataFrame:
         evm.unionByName(native)
         .distinct()
         .groupBy("date")
-        .agg(F.sum("fees").alias("fees"), F.avg("avg_tx_fee").alias("avg_tx_fee"))
+        .agg(strict_sum("fees").alias("fees"), F.avg("avg_tx_fee").alias("avg_tx_fee"))
     )
     return per_bucket.select(
         "date",

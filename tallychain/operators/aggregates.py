@@ -32,9 +32,12 @@ def distinct_per_bucket(
     return df.groupBy(period.bucket(ts).alias(bucket), *by).agg(F.countDistinct(column).alias(alias))
 
 
-def first_seen(df: DataFrame, key: str, ts: str, alias: str = "first_seen") -> DataFrame:
+def first_seen(
+    df: DataFrame, key: str | tuple[str, ...], ts: str, alias: str = "first_seen"
+) -> DataFrame:
     """Earliest timestamp per key; a NULL key is a group of its own."""
-    return df.groupBy(key).agg(F.min(ts).alias(alias))
+    keys = (key,) if isinstance(key, str) else key
+    return df.groupBy(*keys).agg(F.min(ts).alias(alias))
 
 
 def first_bucket(df: DataFrame, key: str, ts: str, period: Period, alias: str) -> DataFrame:

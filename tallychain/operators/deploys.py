@@ -46,19 +46,15 @@ def _transactions(src: Sources, lower: date | None, upper: date | None) -> DataF
 def deploy_transactions(
     src: Sources, lower: date | None = None, upper: date | None = None
 ) -> DataFrame:
-    """Transactions that deploy something: ``tx_hash, block_timestamp, creator``."""
-    tx = _transactions(src, lower, upper).select(
-        "tx_hash",
-        "block_timestamp",
-        F.col("from_address").alias("creator"),
-        has_init_signature().alias("by_signature"),
-    )
-    by_topic = topic_transactions(src, lower, upper).withColumn("by_topic", F.lit(True))
-    return (
-        tx.join(by_topic, "tx_hash", "left")
-        .where(F.col("by_topic") | F.col("by_signature"))
-        .drop("by_topic", "by_signature")
-    )
+    """Transactions that deploy something: ``tx_hash, block_timestamp, creator``.
+
+    One with an init signature and a topic log appears twice; count distinct values.  The
+    signature is a pushed filter without a join, and the semi join can be filtered at run time.
+    """
+    tx = _transactions(src, lower, upper)
+    by_topic = tx.join(topic_transactions(src, lower, upper), "tx_hash", "left_semi")
+    both = tx.where(has_init_signature()).unionByName(by_topic)
+    return both.select("tx_hash", "block_timestamp", F.col("from_address").alias("creator"))
 
 
 def deploy_contracts(
@@ -98,16 +94,22 @@ def deploy_ids(src: Sources, lower: date | None = None, upper: date | None = Non
     by_topic = tx.join(topic_logs(src, lower, upper), "tx_hash").select(
         "block_timestamp", F.col("contract_address").alias("contract")
     )
+    # Only a transaction with a signature and a topic log can be left out: the aggregate sees
+    # the logs of these few.
+    signed = tx.where(has_init_signature())
+    few = signed.select("tx_hash").distinct().join(
+        topic_transactions(src, lower, upper), "tx_hash", "left_semi"
+    )
     only_topic = (
         same_days(src.evm_logs(), lower, upper)
+        .join(few, "tx_hash", "left_semi")
         .groupBy("tx_hash")
         .agg(F.bool_and(F.coalesce(has_topic("topics"), F.lit(False))).alias("all_topic"))
         .where("all_topic")
         .select("tx_hash")
     )
     by_signature = (
-        tx.where(has_init_signature())
-        .join(only_topic, "tx_hash", "left_anti")
+        signed.join(only_topic, "tx_hash", "left_anti")
         .select("block_timestamp", F.col("tx_hash").alias("contract"))
     )
     return by_topic.unionByName(by_signature)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,9 @@ from tallychain.constants import COA_PREFIX, DEPLOY_TOPIC
 from tallychain.period import Period
 
 PARTITION_DATE = "block_date"
+#: Days that a row's own time may lie from the day folder it is in (that of its transaction's
+#: block); landing a table checks it.
+SLACK = timedelta(days=1)
 
 
 def between(
@@ -23,12 +26,14 @@ def between(
 ) -> DataFrame:
     """Rows with ``lower <= ts < upper`` (or ``<= upper`` midnight).
 
-    The bounds are midnights, so they also bound the day folders of a table that is
-    split by day; the second predicate prunes those folders before the scan.
+    The second predicate prunes the day folders of a table that is split by day.  A row lies
+    in the folder of its transaction's day, at most `SLACK` from its own, so the folders are
+    bounded more widely than the times.
     """
     tests = _bounds(ts, lower, upper, include_upper)
     if PARTITION_DATE in df.columns:
-        tests += _bounds(PARTITION_DATE, lower, upper, include_upper)
+        first, last = lower and lower - SLACK, upper and upper + SLACK
+        tests += _bounds(PARTITION_DATE, first, last, include_upper)
     return _where_all(df, tests)
 
 
@@ -37,13 +42,15 @@ def same_days(
 ) -> DataFrame:
     """Skip the day folders outside the bounds, if the table is split by day.
 
-    For a table that is reached through its transactions: all rows of a transaction lie
-    in the folder of its block's day, so the bounds of one side of the join hold for the
-    other.  A table that is not split by day is left whole.
+    For a table that is reached by a join over the transaction, where the other side has the
+    bounds.  All rows of a transaction lie in the folder of its block's day, at most `SLACK`
+    from the time of the row that the bounds are about; so no partner is skipped.  A table
+    that is not split by day is left whole.
     """
     if PARTITION_DATE not in df.columns:
         return df
-    return _where_all(df, _bounds(PARTITION_DATE, lower, upper, include_upper))
+    first, last = lower and lower - SLACK, upper and upper + SLACK
+    return _where_all(df, _bounds(PARTITION_DATE, first, last, include_upper))
 
 
 def _bounds(

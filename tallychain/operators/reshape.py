@@ -43,8 +43,10 @@ def total_by_type(df: DataFrame, kind: str, measure: str) -> DataFrame:
 
 def latest_bucket_share(df: DataFrame, bucket: str, kind: str, measure: str) -> DataFrame:
     """Sum per type in the newest bucket."""
-    newest = df.agg(F.max(bucket).alias(bucket))
-    return total_by_type(df.join(newest, bucket), kind, measure)
+    sums = df.groupBy(bucket, kind).agg(F.sum(measure).alias(measure))
+    newest = F.max(bucket).over(Window.partitionBy())  # over one row per bucket and type
+    latest = sums.withColumn("_newest", newest).where(F.col(bucket) == F.col("_newest"))
+    return latest.select(kind, measure)
 
 
 def sum_by_bucket_series(df: DataFrame, bucket: str, series: str, value: str) -> DataFrame:

@@ -480,7 +480,13 @@ for _metric in METRICS:
     _register(_metric, _metric, fixture_period(_metric, "all_time"))
 for _metric in EVERY_PERIOD:
     for _key in PERIOD_KEYS[1:]:
-        _register(f"{_metric}__{_key}", _metric, fixture_period(_metric, _key))
+        _period = fixture_period(_metric, _key)
+        if (_metric, _key) == ("active_accounts_series", "last_24h"):
+            # Days of the current week are left out, so yesterday shows on a Monday only.
+            _period = Period(_key, fx.MONDAY, fx.EPOCH_START)
+        _register(f"{_metric}__{_key}", _metric, _period)
+for _metric in sorted(EARLY):
+    _register(f"{_metric}__late", _metric, Period("all_time", fx.AS_OF, fx.EPOCH_START))
 for _metric in ("tx_over_time", "active_accounts_series", "accounts_created_series", "nat_series"):
     _register(
         f"{_metric}__hours",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,21 +49,19 @@ TS = "block_timestamp"
 ALL = Period("all_time", fx.AS_OF, fx.EPOCH_START)
 YEAR = Period("last_year", fx.AS_OF, fx.EPOCH_START)
 MONTH = Period("last_month", fx.AS_OF, fx.EPOCH_START)
-QUARTER = Period("last_3_months", fx.AS_OF, fx.EPOCH_START)
 HOURS = Period("last_24h", fx.EVENTS_AS_OF, fx.EVENTS_EPOCH)
 PERIODS = tuple(Period(key, fx.AS_OF, fx.EPOCH_START) for key in PERIOD_KEYS)
 FEE_TEST = f"event_contract = '{FEE_CONTRACT}' AND event_type = '{FEE_EVENT}'"
 
 
-def _weekly_tx(src: OrderSources, period: Period = YEAR) -> DataFrame:
-    """Native transactions per bucket: ``b, n``."""
-    rows = in_period(src.native_tx(), TS, period)
-    return agg.distinct_per_bucket(rows, TS, "tx_id", period, "n", "b")
+def _weekly_tx(src: OrderSources) -> DataFrame:
+    """Native transactions per week, all history: ``b, n``."""
+    return agg.distinct_per_bucket(src.native_tx(), TS, "tx_id", YEAR, "n", "b")
 
 
 WEEKLY_TX = f"""
     WITH t AS (SELECT date_trunc('week', block_timestamp) AS b, count(DISTINCT tx_id) AS n
-               FROM native_tx WHERE block_timestamp >= {_day(YEAR.start)} GROUP BY 1)"""
+               FROM native_tx GROUP BY 1)"""
 
 DAILY_STAKE = """
     SELECT CAST(block_timestamp AS DATE) AS date, CAST(sum(amount) AS DOUBLE) AS v
@@ -155,8 +154,10 @@ def tvl(src: OrderSources) -> DataFrame:
     GROUP BY ALL""",
 )
 def week_calendar(src: OrderSources) -> DataFrame:
-    """The calendar with the transactions of each week."""
-    per_week = src.native_tx().groupBy(fn.trunc_date(TS, "week").alias("start_date")).agg(
+    """The calendar with the transactions of each week; only its weeks are read."""
+    last = monday_of(fx.AS_OF)
+    rows = between(src.native_tx(), TS, last - timedelta(weeks=WEEK_TABLE_WEEKS), last)
+    per_week = rows.groupBy(fn.trunc_date(TS, "week").alias("start_date")).agg(
         F.count("tx_id").alias("transactions")
     )
     calendar = weeks.week_calendar(src.spark, fx.AS_OF)
@@ -195,18 +196,18 @@ def period_bounds(src: OrderSources) -> DataFrame:
 @check("csv_sink", tx_by_type_sql(ALL))
 def csv_sink(src: OrderSources) -> DataFrame:
     """A metric written as CSV and read back."""
-    path = f"{shared_folder(src.spark)}/csv/tx_by_type/{src.folder.rsplit('/', 1)[-1]}"
+    path = f"{shared_folder(src.spark, local_fallback=True)}/csv/tx_by_type"
     rows = transactions.tx_by_type(src, ALL)
     write_csv(rows, path)
     return src.spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
-@check("metric_store", tx_by_type_sql(QUARTER))
+@check("metric_store", tx_by_type_sql(ALL))
 def metric_store(src: OrderSources) -> DataFrame:
     """A metric computed into the store and read back."""
     name = src.folder.rsplit("/", 1)[-1]
-    store = MetricStore(f"{shared_folder(src.spark)}/store/{name}")
-    return store.refresh("tx_by_type", src, QUARTER)
+    store = MetricStore(f"{shared_folder(src.spark, local_fallback=True)}/store/{name}")
+    return store.refresh("tx_by_type", src, ALL)
 
 
 # ---- filters and projections ---------------------------------------------------------
@@ -398,28 +399,36 @@ def join_full_fill(src: OrderSources) -> DataFrame:
     )
 
 
-@check(
-    "join_range_weeks",
-    f"""
+def _range_weeks_sql(as_of: date) -> str:
+    return f"""
     WITH w AS (
       SELECT CAST(range AS INT) AS weeks_ago,
-             CAST(date_trunc('week', {_day(fx.EARLY_AS_OF)}) AS DATE) - 7 * CAST(range AS INT) AS hi
+             CAST(date_trunc('week', {_day(as_of)}) AS DATE) - 7 * CAST(range AS INT) AS hi
       FROM range({WEEK_TABLE_WEEKS})),
     f AS (SELECT actor, min(block_timestamp) AS t
           FROM (SELECT block_timestamp, unnest(actors) AS actor FROM native_actors) GROUP BY actor)
     SELECT w.weeks_ago, w.hi - 7 AS start_date, count(DISTINCT f.actor) AS new_accounts
     FROM w LEFT JOIN f ON f.t >= w.hi - 7 AND f.t < w.hi
-    GROUP BY ALL""",
-)
-def join_range_weeks(src: OrderSources) -> DataFrame:
-    firsts = src.first_seen("native_address", monday_of(fx.EARLY_AS_OF))
-    counts = weeks.weekly_debuts(
-        firsts, "address", fx.EARLY_AS_OF, WEEK_TABLE_WEEKS, "new_accounts"
-    )
-    calendar = weeks.week_calendar(src.spark, fx.EARLY_AS_OF).select("weeks_ago", "start_date")
+    GROUP BY ALL"""
+
+
+def _range_weeks(src: OrderSources, as_of: date) -> DataFrame:
+    firsts = src.first_seen("native_address", monday_of(as_of))
+    counts = weeks.weekly_debuts(firsts, "address", as_of, WEEK_TABLE_WEEKS, "new_accounts")
+    calendar = weeks.week_calendar(src.spark, as_of).select("weeks_ago", "start_date")
     return calendar.join(counts, "start_date", "left").fillna(0, subset=["new_accounts"])
 
 
+@check("join_range_weeks", _range_weeks_sql(fx.EARLY_AS_OF))
+def join_range_weeks(src: OrderSources) -> DataFrame:
+    return _range_weeks(src, fx.EARLY_AS_OF)
+
+
+@check("join_range_weeks__late", _range_weeks_sql(fx.AS_OF))
+def join_range_weeks_late(src: OrderSources) -> DataFrame:
+    return _range_weeks(src, fx.AS_OF)
+
+
 @check(
     "join_cross_kpi",
     """SELECT * FROM (SELECT count(DISTINCT tx_id) AS transactions FROM native_tx)
@@ -442,7 +451,8 @@ def join_cross_kpi(src: OrderSources) -> DataFrame:
           WHERE {TOPIC_MATCH.format("y")})""",
 )
 def join_anti_not_in(src: OrderSources) -> DataFrame:
-    by_signature = src.evm_tx().where(F.col("origin_function_signature").isin(*INIT_SIGNATURES))
+    signed = F.col("origin_function_signature").isin(*INIT_SIGNATURES)
+    by_signature = src.evm_tx().where(signed & F.col("tx_hash").isNotNull())
     return by_signature.join(deploys.topic_transactions(src), "tx_hash", "left_anti").select(
         "tx_hash", "from_address"
     )
@@ -483,11 +493,11 @@ def agg_distinct_global(src: OrderSources) -> DataFrame:
     "agg_distinct_bucket",
     f"""SELECT date_trunc('week', block_timestamp) AS time_stamp, origin_function_signature,
                count(DISTINCT from_address) AS senders
-        FROM evm_tx WHERE block_timestamp >= {_day(YEAR.start)} GROUP BY 1, 2""",
+        FROM evm_tx GROUP BY 1, 2""",
 )
 def agg_distinct_bucket(src: OrderSources) -> DataFrame:
     return agg.distinct_per_bucket(
-        in_period(src.evm_tx(), TS, YEAR), TS, "from_address", YEAR, "senders",
+        src.evm_tx(), TS, "from_address", YEAR, "senders",
         by=("origin_function_signature",),
     )
 
@@ -613,7 +623,7 @@ def agg_pivot_weeks(src: OrderSources) -> DataFrame:
     this_monday = ALL.this_week
     days_back = F.datediff(F.lit(this_monday), F.to_date(TS)) - 1
     per_week = (
-        between(src.evm_tx(), TS, upper=this_monday)
+        between(src.evm_tx(), TS, this_monday - timedelta(weeks=WEEK_TABLE_WEEKS), this_monday)
         .groupBy(F.floor(days_back / 7).cast("int").alias("weeks_ago"))
         .agg(
             F.count(F.lit(1)).alias("transactions"),

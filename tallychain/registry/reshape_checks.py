@@ -10,7 +10,7 @@ from tallychain.metrics import accounts, contracts, fees, supply, transactions
 from tallychain.operators import reshape
 from tallychain.registry import metric_checks as sql
 from tallychain.registry.base import check
-from tallychain.registry.operator_checks import ALL, QUARTER, YEAR
+from tallychain.registry.operator_checks import ALL
 from tallychain.sources import fixtures as fx
 from tallychain.sources.fixtures import OrderSources
 
@@ -23,7 +23,7 @@ def _over(view: str, body: str) -> str:
 
 
 def _bars(src: OrderSources) -> DataFrame:
-    return reshape.unpivot_measures(transactions.tx_over_time(src, YEAR), ["time_stamp"], BARS)
+    return reshape.unpivot_measures(transactions.tx_over_time(src, ALL), ["time_stamp"], BARS)
 
 
 BARS_SQL = """
@@ -52,7 +52,7 @@ def unpivot_measures(src: OrderSources) -> DataFrame:
 @check(
     "series_order",
     _over(
-        sql.tx_over_time(YEAR),
+        sql.tx_over_time(ALL),
         f"SELECT *, CASE series WHEN 'Rolling avg' THEN 1 ELSE 2 END AS series_order FROM ({BARS_SQL})",
     ),
 )
@@ -100,7 +100,7 @@ def total_by_type(src: OrderSources) -> DataFrame:
 @check(
     "sum_by_bucket_series",
     _over(
-        sql.tx_over_time(YEAR),
+        sql.tx_over_time(ALL),
         f"SELECT time_stamp, series, sum(value) AS value FROM ({BARS_SQL}) GROUP BY 1, 2",
     ),
 )
@@ -141,9 +141,9 @@ def drop_null_keys(src: OrderSources) -> DataFrame:
     return reshape.drop_null_keys(accounts.active_accounts_series(src, ALL), "day", "rolling_avg")
 
 
-@check("sort_by_time", _over(sql.fees_series(QUARTER), "SELECT * FROM m ORDER BY date"))
+@check("sort_by_time", _over(sql.fees_series(ALL), "SELECT * FROM m ORDER BY date"))
 def sort_by_time(src: OrderSources) -> DataFrame:
-    return reshape.sort_by_time(fees.fees_series(src, QUARTER), "date")
+    return reshape.sort_by_time(fees.fees_series(src, ALL), "date")
 
 
 @check(
@@ -173,10 +173,10 @@ def kpi_format(src: OrderSources) -> DataFrame:
 @check(
     "normalise_names",
     _over(
-        sql.tx_by_type(YEAR),
+        sql.tx_by_type(ALL),
         'SELECT period AS "TS", type AS "TYPE", transactions AS "TX" FROM m',
     ),
 )
 def normalise_names(src: OrderSources) -> DataFrame:
-    rows = transactions.tx_by_type(src, YEAR)
+    rows = transactions.tx_by_type(src, ALL)
     return reshape.normalise_names(rows, {"PERIOD": "TS", "TRANSACTIONS": "TX"})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,15 +23,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder of this application that every executor can reach.
+def shared_folder(spark: SparkSession, local_fallback: bool = False) -> str:
+    """A new folder that every executor can reach, another one at each call.
 
-    It lies in the folder the cluster names for checkpoints.  A local session may lack
-    that setting; only there a temporary folder serves.
+    It lies in the folder the cluster names for checkpoints.  Where that is not set, a local
+    session may use this machine's temporary folder, if the caller says so.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (local_fallback and spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.gettempdir()
-    return f"{folder.rstrip('/')}/tallychain/{spark.sparkContext.applicationId}"
+    run = uuid.uuid4().hex
+    return f"{folder.rstrip('/')}/tallychain/{spark.sparkContext.applicationId}/{run}"

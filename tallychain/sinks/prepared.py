@@ -4,7 +4,8 @@ Some metrics look at all history however short their period is.  Two small table
 them most of it:
 
 * the logs that carry the deploy topic, a thin slice of all logs;
-* the first time each key was seen, up to a day: later runs read only the days since.
+* the first time each key was seen, up to a day: later runs read only the days since, and each
+  advance writes only the keys that are new.
 
 The results are those of the base sources as long as no row arrives for a day that was
 already taken in.  After such a late arrival, start over with a new root.
@@ -13,11 +14,13 @@ already taken in.  After such a late arrival, start over with a new root.
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallychain.operators.filters import PARTITION_DATE, same_days
+from tallychain.operators.aggregates import first_seen
+from tallychain.operators.filters import PARTITION_DATE, between
 from tallychain.sources.tables import FIRST_SEEN_KEYS, Sources
 
 
@@ -63,24 +66,37 @@ class PreparedSources(Sources):
         if self.upto is not None and upto <= self.upto:
             raise ValueError(f"already advanced to {self.upto}")
         for name in FIRST_SEEN_KEYS:
-            path = self._first_seen_path(name, upto)
-            self.first_seen(name, upto).write.mode("overwrite").parquet(path)
+            path = f"{self._first_seen_root(name)}/taken={upto.isoformat()}"
+            self._new_keys(name, upto).write.mode("overwrite").parquet(path)
         self._write_deploy_logs(upto)
         return PreparedSources(self.base, self.root, upto)
 
-    def _first_seen_path(self, name: str, upto: date) -> str:
-        return f"{self.root}/first_seen/{name}/upto={upto.isoformat()}"
+    def _first_seen_root(self, name: str) -> str:
+        return f"{self.root}/first_seen/{name}"
 
-    def first_seen(self, name: str, upper: date) -> DataFrame:
+    def _known(self, name: str) -> DataFrame:
+        """``<key>, first_seen`` of all keys taken in up to the current bound."""
+        taken = self.spark.read.parquet(self._first_seen_root(name))
+        return taken.where(F.col("taken") <= F.lit(self.upto)).drop("taken")
+
+    def _new_keys(self, name: str, upper: date | None) -> DataFrame:
+        """Keys that appear from the current bound on and did not before."""
+        if self.upto is None:
+            return self.base.first_seen(name, upper)
+        keys = FIRST_SEEN_KEYS[name]
+        newer = first_seen(self.base.dated_keys(name, self.upto, upper), keys, "block_timestamp")
+        known = self._known(name)
+        # A NULL is a key like any other.
+        same = [newer[k].eqNullSafe(known[k]) for k in ((keys,) if isinstance(keys, str) else keys)]
+        return newer.join(known, reduce(Column.__and__, same), "left_anti")
+
+    def first_seen(self, name: str, upper: date | None) -> DataFrame:
         if self.upto is None:
             return self.base.first_seen(name, upper)
-        known = self.spark.read.parquet(self._first_seen_path(name, self.upto))
-        if upper <= self.upto:
+        known = self._known(name)
+        if upper is not None and upper <= self.upto:
             return known.where(F.col("first_seen") < F.lit(upper))
-        key = FIRST_SEEN_KEYS[name]
-        newer = self.base.dated_keys(name, self.upto, upper)
-        both = known.unionByName(newer.withColumnRenamed("block_timestamp", "first_seen"))
-        return both.groupBy(key).agg(F.min("first_seen").alias("first_seen"))
+        return known.unionByName(self._new_keys(name, upper))
 
     @property
     def _deploy_log_root(self) -> str:
@@ -90,7 +106,7 @@ class PreparedSources(Sources):
         logs = self.base.deploy_logs()
         if PARTITION_DATE not in logs.columns:
             return
-        days = same_days(logs, self.upto, upto)
+        days = between(logs, PARTITION_DATE, self.upto, upto)
         (
             days.hint("rebalance", F.col(PARTITION_DATE))
             .write.partitionBy(PARTITION_DATE)
@@ -107,8 +123,9 @@ class PreparedSources(Sources):
         logs = self.base.deploy_logs()
         if self.upto is None or PARTITION_DATE not in logs.columns:
             return logs
-        schema = logs.schema
-        kept = same_days(
-            self.spark.read.schema(schema).parquet(self._deploy_log_root), upper=self.upto
+        kept = between(
+            self.spark.read.schema(logs.schema).parquet(self._deploy_log_root),
+            PARTITION_DATE,
+            upper=self.upto,
         )
-        return kept.unionByName(same_days(logs, lower=self.upto))
+        return kept.unionByName(between(logs, PARTITION_DATE, lower=self.upto))

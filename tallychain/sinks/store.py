@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from urllib.parse import quote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallychain.metrics import METRICS
 from tallychain.period import Period
@@ -16,24 +21,38 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 class MetricStore:
-    """Computed metrics as Parquet, one folder per metric, period and day.
+    """Computed metrics as Parquet, one folder per whole key and run.
 
-    A result is a function of (metric, period, as_of), so a stored one stays valid
-    until it is refreshed.  Each refresh replaces just its own folder; an empty result
-    replaces the old one too.
+    A result is a function of the metric, the period (key, day, start of history) and the
+    metric's options; together they are its key, and a stored result stays valid until it is
+    refreshed.  A refresh writes a folder of its own and then names it as the current one, so a
+    write that breaks off leaves the result before it, or none, and readers are not disturbed.
     """
 
     def __init__(self, root: str) -> None:
         self.root = root.rstrip("/")
 
-    def path(self, metric: str, period: Period) -> str:
-        day = period.as_of.isoformat()
-        return f"{self.root}/{metric}/period_key={period.key}/as_of_day={day}"
+    def _key(self, period: Period, options: dict) -> str:
+        given = json.dumps(options, sort_keys=True, default=str) if options else "none"
+        return (
+            f"period_key={period.key}/as_of_day={period.as_of.isoformat()}"
+            f"/epoch_start={period.epoch_start.isoformat()}/options={quote(given, safe='')}"
+        )
+
+    def path(self, metric: str, period: Period, **options) -> str:
+        """Folder of all runs of one key."""
+        return f"{self.root}/{metric}/results/{self._key(period, options)}"
+
+    def _current(self, metric: str, period: Period, options: dict) -> str:
+        return f"{self.root}/{metric}/current/{self._key(period, options)}"
 
-    def refresh(self, metric: str, src: Sources, period: Period) -> DataFrame:
+    def refresh(self, metric: str, src: Sources, period: Period, **options) -> DataFrame:
         """Compute and store the metric, and return the stored rows."""
-        path = self.path(metric, period)
-        METRICS[metric](src, period).write.mode("overwrite").parquet(path)
+        run = f"run={uuid.uuid4().hex}"
+        path = f"{self.path(metric, period, **options)}/{run}"
+        METRICS[metric](src, period, **options).write.parquet(path)
+        mark = src.spark.range(1).select(F.lit(run.removeprefix("run=")).alias("run"))
+        mark.coalesce(1).write.mode("overwrite").parquet(self._current(metric, period, options))
         return src.spark.read.parquet(path)
 
     def refresh_all(self, src: Sources, periods: list[Period]) -> None:
@@ -42,15 +61,21 @@ class MetricStore:
             for metric in METRICS:
                 self.refresh(metric, src, period)
 
-    def get(self, metric: str, src: Sources, period: Period) -> DataFrame:
+    def get(self, metric: str, src: Sources, period: Period, **options) -> DataFrame:
         """The stored rows, computed first if there are none."""
         try:
-            return src.spark.read.parquet(self.path(metric, period))
+            mark = src.spark.read.parquet(self._current(metric, period, options)).first()
         except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
+            # No folder, or one whose write broke off.
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        return self.refresh(metric, src, period)
+            mark = None
+        if mark is None:
+            return self.refresh(metric, src, period, **options)
+        return src.spark.read.parquet(f"{self.path(metric, period, **options)}/run={mark.run}")
 
     def history(self, metric: str, src: Sources) -> DataFrame:
-        """Every stored result of a metric, with ``period_key`` and ``as_of_day``."""
-        return src.spark.read.parquet(f"{self.root}/{metric}")
+        """Every current result of a metric, with the columns of its key."""
+        root = f"{self.root}/{metric}"
+        marks = src.spark.read.parquet(f"{root}/current")
+        return src.spark.read.parquet(f"{root}/results").join(marks.select("run"), "run", "left_semi")

@@ -23,8 +23,11 @@ EPOCH_START = date(1995, 1, 1)
 EARLY_AS_OF = date(1995, 4, 5)
 STAKED_BASE = 1.0e6
 
-# The event table covers one month.
-EVENTS_AS_OF = date(2024, 1, 31)
+# A Monday: the day before it is not in the current week.
+MONDAY = date(2001, 7, 30)
+
+# The event table covers one month; this is a Monday.
+EVENTS_AS_OF = date(2024, 1, 29)
 EVENTS_EPOCH = date(2024, 1, 1)
 
 # Given schemas: reading a table then needs no pass over file footers.

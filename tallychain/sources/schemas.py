@@ -2,8 +2,9 @@
 
 from pyspark.sql import types as T
 
-# Native amounts have at most 8 decimals and 12 integer digits; EVM fees 18 decimals.
-NATIVE_AMOUNT = T.DecimalType(20, 8)
+# Native amounts: 16 integer digits and 12 decimals (more raises, see ``json_decimal``), which
+# leaves room for exact sums and products in 38 digits.  EVM fees have 18 decimals.
+NATIVE_AMOUNT = T.DecimalType(28, 12)
 EVM_AMOUNT = T.DecimalType(38, 18)
 
 _TS = T.TimestampNTZType()

@@ -5,12 +5,13 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallychain.operators.accounts import explode_actors, senders
 from tallychain.operators.aggregates import first_seen
-from tallychain.operators.filters import PARTITION_DATE, between, has_topic
+from tallychain.operators.filters import PARTITION_DATE, SLACK, between, has_topic
 from tallychain.sources.schemas import SCHEMAS
 
 # Kinds of keys whose first appearance is tracked, and the column that holds them.
@@ -18,6 +19,8 @@ FIRST_SEEN_KEYS = {
     "native_address": "address",
     "evm_address": "address",
     "native_contract": "event_contract",
+    # A deployed contract with its creator; whether any creator is native-owned is asked later.
+    "evm_deploy": ("contract", "creator"),
 }
 
 
@@ -44,6 +47,8 @@ class Sources(ABC):
 
     def dated_keys(self, name: str, lower: date | None, upper: date | None) -> DataFrame:
         """``<key>, block_timestamp`` of the rows in which a kind of key appears."""
+        from tallychain.operators.deploys import deploy_contracts
+
         ts = "block_timestamp"
         match name:
             case "native_address":
@@ -52,10 +57,12 @@ class Sources(ABC):
                 return senders(between(self.evm_tx(), ts, lower, upper))
             case "native_contract":
                 return between(self.native_events(), ts, lower, upper).select("event_contract", ts)
+            case "evm_deploy":
+                return deploy_contracts(self, lower, upper)
         raise ValueError(f"unknown kind of key {name!r}; expected one of {tuple(FIRST_SEEN_KEYS)}")
 
-    def first_seen(self, name: str, upper: date) -> DataFrame:
-        """``<key>, first_seen`` of every key that appears before ``upper``."""
+    def first_seen(self, name: str, upper: date | None) -> DataFrame:
+        """``<key>, first_seen`` of every key that appears before ``upper`` (or at all)."""
         rows = self.dated_keys(name, None, upper)
         return first_seen(rows, FIRST_SEEN_KEYS[name], "block_timestamp")
 
@@ -78,8 +85,7 @@ class ParquetSources(Sources):
     """Tables under one root folder: ``<root>/<table>`` and ``<root>/<payload>`` (JSON files).
 
     Tables split by ``block_date`` are pruned to the days of a period.  All rows of a
-    transaction must lie in the folder of its block's day, and the hash of a transaction
-    is never NULL.
+    transaction must lie in the folder of its block's day, as `land_table` writes them.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -102,6 +108,17 @@ class ParquetSources(Sources):
     def evm_logs(self) -> DataFrame:
         return self._table("evm_logs")
 
+    def deploy_logs(self) -> DataFrame:
+        """The topic logs, by the flag that landing has stored: the scan skips other row groups.
+
+        Files without the flag read as NULL; their logs are tested here.
+        """
+        schema = T.StructType([*SCHEMAS["evm_logs"], T.StructField(DEPLOY_FLAG, T.BooleanType())])
+        logs = self.spark.read.schema(schema).parquet(f"{self.root}/evm_logs")
+        flag = F.col(DEPLOY_FLAG)
+        maybe = logs.where(flag | flag.isNull())
+        return maybe.where(F.coalesce(flag, has_topic("topics"))).drop(DEPLOY_FLAG)
+
     def native_actors(self) -> DataFrame:
         return self._table("native_actors")
 
@@ -119,16 +136,68 @@ class ParquetSources(Sources):
         return self._documents("tvl_payload")
 
 
-def land_table(df: DataFrame, root: str, name: str) -> None:
-    """Write a source table, split by ``block_date`` (given, or that of the block time).
+# Tables whose rows belong to a transaction, and the column that names it.
+DEPENDENT = {"native_events": "tx_id", "native_actors": "tx_id", "evm_logs": "tx_hash"}
+DEPLOY_FLAG = "is_deploy"
+
+
+def land_table(
+    df: DataFrame, root: str, name: str, transactions: DataFrame | None = None
+) -> None:
+    """Write rows of a source table into the day folders of their blocks.
+
+    The days in ``df`` replace those days and no others, so a day can be landed after another
+    one, and landed again.  A table of ``DEPENDENT`` takes the day of each row's transaction
+    from ``transactions`` (its key and ``block_timestamp``), unless ``df`` has ``block_date``
+    already; a row whose own time lies more than a day from it is refused.  EVM logs also get
+    a flag for the deploy topic.
 
     The rebalance hint groups rows by day and splits the days that are too big for
     one task, so a busy day neither makes one huge file nor one slow task.
     """
-    if PARTITION_DATE not in df.columns and "block_timestamp" in df.columns:
-        df = df.withColumn(PARTITION_DATE, F.to_date("block_timestamp"))
-    if PARTITION_DATE in df.columns:
-        writer = df.hint("rebalance", F.col(PARTITION_DATE)).write.partitionBy(PARTITION_DATE)
-    else:
-        writer = df.write
-    writer.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+    if PARTITION_DATE not in df.columns:
+        if name in DEPENDENT:
+            if transactions is None:
+                raise ValueError(f"{name} needs its transactions, or a {PARTITION_DATE} column")
+            df = _with_transaction_day(df, transactions, DEPENDENT[name])
+        elif "block_timestamp" in df.columns:
+            df = df.withColumn(PARTITION_DATE, F.to_date("block_timestamp"))
+        else:
+            raise ValueError(f"{name} has neither {PARTITION_DATE} nor block_timestamp")
+    if "block_timestamp" in df.columns:
+        df = df.withColumn(PARTITION_DATE, _checked_day())
+    if name == "evm_logs":
+        df = df.withColumn(DEPLOY_FLAG, F.coalesce(has_topic("topics"), F.lit(False)))
+    (
+        df.hint("rebalance", F.col(PARTITION_DATE))
+        .write.partitionBy(PARTITION_DATE)
+        .option("partitionOverwriteMode", "dynamic")
+        .mode("overwrite")
+        .parquet(f"{root.rstrip('/')}/{name}")
+    )
+
+
+def _with_transaction_day(df: DataFrame, transactions: DataFrame, key: str) -> DataFrame:
+    """``df`` with the day of its transaction's block; without one, that of its own time.
+
+    Rows of copies of a transaction share its first day.
+    """
+    days = transactions.groupBy(F.col(key).alias("_key")).agg(
+        F.min(F.to_date("block_timestamp")).alias(PARTITION_DATE)
+    )
+    joined = df.join(days, F.col(key) == F.col("_key"), "left").drop("_key")
+    if "block_timestamp" not in df.columns:
+        return joined
+    day = F.coalesce(PARTITION_DATE, F.to_date("block_timestamp"))
+    return joined.withColumn(PARTITION_DATE, day)
+
+
+def _checked_day() -> Column:
+    """The day folder, or an error if the row's own time is too far from it."""
+    day = F.col(PARTITION_DATE).cast("date")
+    far = F.abs(F.datediff(F.to_date("block_timestamp"), day)) > SLACK.days
+    text = F.concat(
+        F.lit("block_date "), day.cast("string"), F.lit(" is more than a day from "),
+        F.col("block_timestamp").cast("string"),
+    )
+    return F.when(far, F.raise_error(text).cast("date")).otherwise(day)

@@ -6,7 +6,6 @@ from decimal import Decimal
 
 import pytest
 from inline import InlineSources, actors, event, evm_tx, fee_event, native_tx, rows, stake
-from pyspark.sql import functions as F
 
 from tallychain.constants import DEPLOY_TOPIC
 from tallychain.metrics import METRICS
@@ -39,11 +38,9 @@ def stored(spark, tmp_path_factory):
     )
     root = tmp_path_factory.mktemp("tables")
     for name in TABLES:
-        table = getattr(source, name)()
-        if name == "evm_logs":
-            number = F.substring("tx_hash", 2, 10).cast("int")
-            table = table.withColumn("block_date", F.date_add(F.lit(days[0].date()), number))
-        land_table(table, str(root), name)
+        parents = {"evm_logs": source.evm_tx(), "native_events": source.native_tx(),
+                   "native_actors": source.native_tx()}
+        land_table(getattr(source, name)(), str(root), name, parents.get(name))
     ms = [int((d - datetime(1970, 1, 1)).total_seconds()) for d in days]
     points = ",".join(f"[{s}000,2.0]" for s in ms)
     (root / "market_payload").mkdir()
@@ -96,7 +93,8 @@ WHOLE = {"new_accounts_week_table", "nat_total_accounts", "supply_series", "supp
 def test_start_reaches_the_scan(stored, metric):
     text = plan(METRICS[metric](stored, DAY))
     assert "GreaterThanOrEqual(block_timestamp,2024-05-13T00:00)" in text
-    assert re.search(r"PartitionFilters: \[.*block_date#\d+ >= 2024-05-13", text)
+    # Day folders are bounded one day more widely than the times.
+    assert re.search(r"PartitionFilters: \[.*block_date#\d+ >= 2024-05-12", text)
     # Every table of the metric is pruned by day, also those without a time filter.
     assert len(re.findall(r"PartitionFilters: \[.+\]", text)) == text.count("ReadSchema")
 
@@ -107,7 +105,7 @@ def test_start_reaches_the_scan(stored, metric):
 def test_cutoff_reaches_the_scan(stored, metric):
     text = plan(METRICS[metric](stored, DAY))
     assert "LessThan(block_timestamp,2024-06-13T00:00)" in text
-    assert re.search(r"PartitionFilters: \[.*block_date#\d+ < 2024-06-13", text)
+    assert re.search(r"PartitionFilters: \[.*block_date#\d+ < 2024-06-14", text)
 
 
 def test_only_needed_columns_are_read(stored):
@@ -126,11 +124,39 @@ def test_fee_join_shuffles_each_side_once(stored, settings):
     assert len(re.findall(r"Exchange hashpartitioning\(tx_id", text)) == 2
 
 
-def test_exclusion_reuses_the_distinct_shuffle(stored, settings):
+def test_deployer_join_shuffles_each_side_once(stored, settings):
     settings("spark.sql.autoBroadcastJoinThreshold", "-1")
-    text = plan(METRICS["contracts_by_chain"](stored, ALL), "simple")
-    # The distinct topic transactions and the transactions: one shuffle by hash each.
-    assert len(re.findall(r"Exchange hashpartitioning\(tx_hash#\d+, ", text)) == 2
+    text = plan(METRICS["deployers_series"](stored, ALL), "simple")
+    assert len(re.findall(r"Exchange hashpartitioning\(tx_id#", text)) == 2
+
+
+def test_fee_series_shuffles_the_sums_once_more(stored, settings):
+    """By transaction and bucket for the sums, then by transaction on both sides of the join."""
+    settings("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = plan(METRICS["fees_series"](stored, ALL), "simple")
+    assert len(re.findall(r"Exchange hashpartitioning\(tx_id#", text)) == 3
+
+
+@pytest.mark.parametrize("metric", ["contracts_by_chain", "deployers_series"])
+def test_transactions_meet_topic_logs_by_a_semi_join(stored, settings, metric):
+    settings("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = plan(METRICS[metric](stored, ALL))
+    assert "LeftSemi" in text and "LeftOuter" not in text
+    assert "In(origin_function_signature" in text
+
+
+def test_log_aggregate_stands_above_a_semi_join(stored, settings):
+    settings("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = plan(METRICS["contracts_series"](stored, ALL), "simple")
+    at = text.index("bool_and") if "bool_and" in text else text.index("min(coalesce")
+    assert "LeftSemi" in text[at:]
+
+
+def test_deploy_flag_is_pushed(stored):
+    text = plan(METRICS["contracts_kpis"](stored, DAY))
+    assert "EqualTo(is_deploy,true)" in text or "is_deploy" in re.findall(r"PushedFilters: \[.*\]", text)[0]
+    logs = re.findall(r"PartitionFilters: (\[.*\])\nPushedFilters: (\[.*is_deploy.*\])", text)
+    assert len(logs) == 2 and all(days != "[]" for days, _ in logs)
 
 
 @pytest.fixture(scope="module")
@@ -157,7 +183,7 @@ def test_prepared_sources_give_the_same_rows(stored, prepared, metric):
 def test_prepared_sources_read_new_days_only(stored, tmp_path):
     prepared = PreparedSources(stored, str(tmp_path)).advance(date(2024, 6, 3))
     text = plan(prepared.first_seen("native_contract", date(2024, 6, 10)))
-    assert re.search(r"PartitionFilters: \[.*block_date#\d+ >= 2024-06-03", text)
+    assert re.search(r"PartitionFilters: \[.*block_date#\d+ >= 2024-06-02", text)
     with pytest.raises(ValueError, match="already"):
         prepared.advance(date(2024, 6, 3))
     with pytest.raises(ValueError, match="unknown kind"):

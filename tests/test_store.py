@@ -85,10 +85,40 @@ class _Session:
 
 def test_shared_folder_is_the_one_the_session_names():
     named = _Session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://host/shared/"})
-    assert shared_folder(named) == "hdfs://host/shared/tallychain/app-1"
+    assert shared_folder(named).startswith("hdfs://host/shared/tallychain/app-1/")
+    assert shared_folder(named) != shared_folder(named)
+    for session in (_Session("spark://host:7077"), _Session("local[2]")):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(session)
     with pytest.raises(ValueError, match="checkpoint"):
-        shared_folder(_Session("spark://host:7077"))
-    assert shared_folder(_Session("local[2]")).endswith("/tallychain/app-1")
+        shared_folder(_Session("local-cluster[3,2,1000]"), local_fallback=True)
+    assert "/tallychain/app-1/" in shared_folder(_Session("local[2]"), local_fallback=True)
+
+
+def test_the_whole_key_counts(spark, tmp_path):
+    """Start of history and options are part of the key."""
+    store = MetricStore(str(tmp_path))
+    src = sources(spark, "09", "10", "11")
+    early = Period("all_time", date(2024, 6, 13), date(2024, 1, 1))
+    late = Period("all_time", date(2024, 6, 13), date(2024, 6, 11))
+    assert store.get("tx_kpis", src, early).collect()[0].cadence == 3
+    assert store.get("tx_kpis", src, late).collect()[0].cadence == 1
+    assert store.get("tx_kpis", src, early).collect()[0].cadence == 3
+    prefix = store.path("contracts_by_type", early, coa_prefix="0xaa")
+    store.get("contracts_by_type", src, early, coa_prefix="0xaa")
+    assert prefix != store.path("contracts_by_type", early)
+    assert store.history("tx_kpis", src).count() == 2
+
+
+def test_a_broken_write_is_computed_again(spark, tmp_path):
+    store = MetricStore(str(tmp_path))
+    src = sources(spark, "10")
+    # The folders of a run that broke off: no files at all, or results that no mark names.
+    for folder in ("results", "current"):
+        (tmp_path / "tx_by_type" / folder / store._key(WEEK, {}) / "run=x").mkdir(parents=True)
+    assert store.get("tx_by_type", src, WEEK).count() == 1
+    assert store.get("tx_by_type", sources(spark, "10", "11"), WEEK).count() == 1
+    assert store.history("tx_by_type", src).count() == 1
 
 
 def test_stored_rows_equal_the_metric(spark, tmp_path):
