@@ -16,11 +16,11 @@ Two documents link when the Jaccard similarity of their shingle sets reaches 3/4
    subparts hold shingles, and a set left with too few such parts also emits each single shingle
    (if neither set has enough, they share one of these).
 4. *Candidates.*  Signatures travel as 32-bit values in packed blocks; equal ones form a
-   group, and each member is paired with the smallest one.
-5. *Exact check* on the whole sets: of each set's pairs the one with the smallest partner first, which
-   connects nearly all.  Then only what still crosses components: the other pairs, and within each
-   group that has several components all members, block by block.  Size and a count sketch (64
-   counters, whose distance is never more than that of the sets) discard pairs that cannot link.
+   group, and each member is paired with the smallest and with the next one.  Size and a count
+   sketch, whose distance is never more than that of the sets, discard pairs that cannot link.
+5. *Exact check* on the whole sets: each set's closest pair first, in a few rounds, which connects
+   nearly all.  Then only what still crosses components: the other pairs, and within each group
+   that has several components all members, block by block, as far as the sketches allow.
 
 No group is ever held by one task: blocks merge equal values before they travel, and groups are cut
 into blocks of bounded size.
@@ -63,6 +63,8 @@ SUBPARTS, DIFFERENT = 2, 1
 SKETCH = 64
 #: Documents of a packed block; packed bytes of a bucket; members of a comparison block.
 BLOCK_DOCS, BUCKET_BYTES, MEMBERS = 4000, 8_000_000, 1024
+#: Rounds of closest pairs before all the others are checked.
+ROUNDS = 3
 #: Of 16 equal shares of the hash values, those whose unique shingles are counted.
 COUNTED_SHARES = 5
 
@@ -90,13 +92,31 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch(codes: np.ndarray) -> np.ndarray:
-    """Counts by hash class; the L1 distance of two sketches is at most that of the sets."""
-    counts = np.bincount(((codes >> np.uint64(50)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-    return np.minimum(counts, 255).astype(np.uint8)
+    """Counts by hash class; the L1 distance of two sketches is at most that of the sets.
+
+    There is a counter to every two shingles or fewer; the count of counters is a power of two,
+    so a longer sketch folds to the length of a shorter one.
+    """
+    size = SKETCH
+    while 2 * size < len(codes):
+        size *= 2
+    place = (codes >> np.uint64(32)) & np.uint64(size - 1)
+    return np.minimum(np.bincount(place.astype(np.int64), minlength=size), 255).astype(np.uint8)
+
+
+def folded(s: np.ndarray, size: int) -> np.ndarray:
+    """A sketch (or rows of sketches) with ``size`` counters."""
+    s = s.astype(np.int16)
+    while s.shape[-1] > size:
+        half = s.shape[-1] // 2
+        s = np.minimum(s[..., :half] + s[..., half:], 255)
+    return s
 
 
-def sketches(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+def distance(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return int(np.abs(folded(x, size) - folded(y, size)).sum(dtype=np.int64))
 
 
 # --- signatures ----------------------------------------------------------------------------
@@ -322,8 +342,8 @@ CANDIDATE = "a long, b long, value binary, docs array<long>"
 
 
 def candidates(sets: DataFrame, buckets: int) -> DataFrame:
-    """Groups of equal signatures: rows (a, b), stars around the smallest member, and rows
-    (value, docs), members in parts, of groups with three members or more."""
+    """Groups of equal signatures: rows (a, b), each member with the smallest one and with the
+    next one, and rows (value, docs), members in parts, of groups with three members or more."""
     target, out = arrow_schema(PACKED), arrow_schema(CANDIDATE)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +361,6 @@ def candidates(sets: DataFrame, buckets: int) -> DataFrame:
             ends = np.concatenate([first[1:], [len(codes)]])
             shared = (ends - first > 1) | np.logical_or.reduceat(many, first)
             first, ends = first[shared], ends[shared]
-            smallest = dict(zip(codes[first].tolist(), ids[first].tolist(), strict=True))
             wide = {}
             for _, _, value, docs in (r for r in rows if r[0] == GROUP):
                 v = int.from_bytes(value, "little") & 0xFFFFFFFF
@@ -359,7 +378,9 @@ def candidates(sets: DataFrame, buckets: int) -> DataFrame:
                 if len(members) < 2 or digest in seen:
                     continue
                 seen.add(digest)
-                stars.update((smallest[v], d) for d in members.tolist() if d != smallest[v])
+                listed = members.tolist()
+                stars.update((listed[0], d) for d in listed[1:])
+                stars.update(zip(listed[:-1], listed[1:], strict=True))
                 if len(members) > 2:
                     name = hashlib.blake2b(digest, digest_size=16).digest()
                     for at in range(0, len(members), MEMBERS):
@@ -373,11 +394,21 @@ def candidates(sets: DataFrame, buckets: int) -> DataFrame:
     return by_bucket(packed).mapInArrow(group, CANDIDATE)
 
 
-def possible(n: np.ndarray, s: np.ndarray, i: int) -> np.ndarray:
-    """Which of the sets could link with set ``i``, by sizes and sketches."""
-    distance = np.abs(s - s[i]).sum(axis=1, dtype=np.int64)
-    large, small = np.maximum(n, n[i]), np.minimum(n, n[i])
-    return (DENOMINATOR * small >= NUMERATOR * large) & (7 * distance <= n + n[i])
+def possible_pairs(n: np.ndarray, rows: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, places of the sets that could link with set i by sizes and sketches), each pair once."""
+    size = np.array([len(r) for r in rows])
+    for s in np.unique(size):
+        # Sets of this sketch size with each other, and with those of the next size.
+        near = np.flatnonzero((size == s) | (size == 2 * s))
+        sketches = np.stack([folded(np.frombuffer(rows[k], np.uint8), s) for k in near])
+        m = n[near]
+        for k, i in enumerate(near.tolist()):
+            if size[i] != s:
+                continue
+            fits = DENOMINATOR * np.minimum(m, n[i]) >= NUMERATOR * np.maximum(m, n[i])
+            at = np.flatnonzero(fits & ((size[near] > s) | (near > i)))
+            apart = np.abs(sketches[at] - sketches[k]).sum(axis=1, dtype=np.int64)
+            yield i, near[at[7 * apart <= m[at] + n[i]]]
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -420,24 +451,34 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that sizes and sketches do not exclude."""
-    narrow = sets.select("doc", "n", "sketch")
-    each = pairs.join(narrow.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    each = each.join(narrow.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    sizes = F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR
-    each = each.where(sizes).select("a", "b", "na", "nb", "sa", "sb")
-    target = arrow_schema("a long, b long")
+    """a, b, apart: the pairs that sizes and sketches do not exclude, with their distance there."""
+    sizes = sets.select("doc", "n").distinct()
+    each = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a")
+    each = each.join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
+    each = each.where(F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR)
+    for c in "ab":
+        own = sets.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        each = each.join(own, [c, f"n{c}"])
+    target = arrow_schema("a long, b long, apart long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            near = np.abs(sketches(batch.column(4).to_pylist()) - sketches(batch.column(5).to_pylist()))
-            keep = 7 * near.sum(axis=1, dtype=np.int64) <= na + nb
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], schema=target)
+            out = []
+            for a, b, na, nb, sa, sb in zip(*map(values, batch.columns), strict=True):
+                d = distance(sa, sb)
+                if 7 * d <= na + nb:
+                    out.append((a, b, d))
+            yield batch_of(out, target)
+
+    found = each.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, apart long")
+    return found.groupBy("a", "b").agg(F.min("apart").alias("apart"))
+
 
-    return each.mapInArrow(run, "a long, b long").distinct()
+def _closest(pairs: DataFrame) -> DataFrame:
+    """For every set, its pair with the smallest distance."""
+    best = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")
+    both = [pairs.groupBy(c).agg(best).select("p.a", "p.b") for c in "ab"]
+    return both[0].unionByName(both[1]).distinct()
 
 
 def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -446,7 +487,7 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     each = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return each.where(
         F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-    ).select("a", "b")
+    ).select(*pairs.columns)
 
 
 def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -458,6 +499,7 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     members = members.join(labels, members["doc"] == labels["node"], "left").select(
         "value", "doc", F.coalesce("component", "doc").alias("component")
     )
+    members = written(members, "members")
     several = members.groupBy("value").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
     )
@@ -473,16 +515,15 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 
     def compare(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         doc, comp, n = (part.column(c).to_numpy() for c in ("doc", "component", "n"))
-        s = sketches(part.column("sketch").to_pylist())
         late = np.array(part.column("late").to_pylist(), bool)
         alike = key[1].as_py() == key[2].as_py()
         a, b = [], []
-        for i in range(len(doc)):
-            if late[i] and not alike:
-                continue
-            may = possible(n, s, i) & (comp != comp[i]) & (late if not alike else doc > doc[i])
+        for i, may in possible_pairs(n, part.column("sketch").to_pylist()):
+            may = may[(comp[may] != comp[i]) & (doc[may] != doc[i])]
+            if not alike:  # pairs inside one of the two blocks are compared elsewhere
+                may = may[late[may] != late[i]]
             b += doc[may].tolist()
-            a += [int(doc[i])] * int(may.sum())
+            a += [int(doc[i])] * len(may)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return each.groupBy("value", "x", "y").applyInArrow(compare, "a long, b long").select(
@@ -515,14 +556,23 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE)
     release(docs.sparkSession)
     stars = groups.where("a is not null").select("a", "b").distinct()
     stars = written(_plausible(stars, found), "pairs")
-    first = written(verified(stars.groupBy("b").agg(F.min("a").alias("a")), found), "verified")
+    # Closest pairs first: they connect nearly all, and what is connected needs no more checks.
+    tested = written(_closest(stars), "tested")
+    links = written(verified(tested, found), "verified")
+    for _ in range(ROUNDS):
+        release(docs.sparkSession)
+        labels = written(components(links), "labels")
+        stars = written(_crossing(stars.join(tested, ["a", "b"], "left_anti"), labels), "pairs")
+        if stars.isEmpty():
+            break
+        tested = written(_closest(stars), "tested")
+        links = written(links.unionByName(verified(tested, found)), "verified")
+    # Whatever still crosses components: the other pairs, and all members of mixed groups.
     release(docs.sparkSession)
-    labels = components(first)
-    rest = _crossing(stars, labels).unionByName(
-        _across(groups.where("value is not null").select("value", "docs"), labels, found)
-    )
-    rest = written(rest.distinct(), "pairs")
-    links = first
+    labels = written(components(links), "labels")
+    stars = _crossing(stars.join(tested, ["a", "b"], "left_anti"), labels).select("a", "b")
+    mixed_groups = groups.where("value is not null").select("value", "docs")
+    rest = written(stars.unionByName(_across(mixed_groups, labels, found)).distinct(), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(written(verified(rest, found), "verified"))
         release(docs.sparkSession)

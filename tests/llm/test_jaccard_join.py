@@ -66,7 +66,7 @@ def test_against_brute_force(spark, small, small_limits):
     assert got == brute(rows)
 
 
-sizes = st.integers(1, 60)
+sizes = st.integers(1, 300)
 
 
 @settings(max_examples=300, deadline=None)
@@ -81,8 +81,18 @@ def test_linked_sets_share_a_signature(seed, common, left, right):
     assert j.linked(a, b) == (100 * same >= 75 * (len(a) + len(b) - same))
     if j.linked(a, b):
         assert len(np.intersect1d(j.signatures(a), j.signatures(b)))
-        n = np.array([len(a), len(b)])
-        assert j.possible(n, j.sketches([j.sketch(a).tobytes(), j.sketch(b).tobytes()]), 0)[1]
+        n, rows = np.array([len(a), len(b)]), [j.sketch(x).tobytes() for x in (a, b)]
+        assert sorted((i, k) for i, ks in j.possible_pairs(n, rows) for k in ks) in ([(0, 1)], [(1, 0)])
+    apart = len(a) + len(b) - 2 * same
+    assert j.distance(j.sketch(a).tobytes(), j.sketch(b).tobytes()) <= apart
+
+
+def test_sketches_fold():
+    r = np.random.default_rng(4)
+    long, short = (np.unique(r.integers(0, 2**63, k, dtype=np.uint64)) for k in (900, 120))
+    assert len(j.sketch(long)) == 512 and len(j.sketch(short)) == 64
+    assert j.folded(j.sketch(long), 64).sum() == 900
+    assert 700 <= j.distance(j.sketch(long).tobytes(), j.sketch(short).tobytes()) <= 1020
 
 
 def test_bands_hold_partners_side_by_side():
