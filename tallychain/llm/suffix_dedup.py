@@ -53,10 +53,13 @@ LENGTH = 50
 GRAM = 24
 #: Bytes of text that are searched for anchors together, and of pieces that are merged together.
 BLOCK_BYTES = 8_000_000
+CACHE_BYTES = 100_000
 #: Characters that are sorted together: three names of the cover must fit into 63 bits.
 SORT_CHARS = 1_900_000
+#: Characters of several anchors that are sorted together, for the sake of the cache.
+TOGETHER_CHARS = 300_000
 #: Packed bytes of a bucket, and those of text beyond which a bucket is dealt out by windows.
-BUCKET_BYTES, LIMIT_BYTES = 4_000_000, 96_000_000
+BUCKET_BYTES, LIMIT_BYTES = 16_000_000, 96_000_000
 
 
 # --- the difference cover ------------------------------------------------------------------
@@ -147,18 +150,33 @@ def repeated_windows(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH
     return out
 
 
+#: Odd numbers (fixed values).
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
 # --- anchors -------------------------------------------------------------------------------
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Pieces of the texts: text number, start, count of windows, hash of the anchor."""
+    parts, first, size = [], 0, 0
+    for k, text in enumerate(texts):  # in portions that stay in a processor's cache
+        size += len(text)
+        if size > CACHE_BYTES or k == len(texts) - 1:
+            number, *rest = _anchors(texts[first : k + 1])
+            parts.append((number + first, *rest))
+            first, size = k + 1, 0
+    return tuple(np.concatenate(p) for p in zip(*(parts or [_anchors([])]), strict=True))
+
+
+def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     empty = np.empty(0, np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
     if len(data) < LENGTH:
         return empty, empty, empty, empty.astype(np.uint64)
     for step in (1, 2, 4):  # eight bytes at each place as one number
         data = data[:-step] | data[step:] << np.uint64(8 * step)
-    h = mixed(data[:-16] ^ mixed(data[8:-8] ^ mixed(data[16:])))  # GRAM = 3 * 8
+    # GRAM = 3 * 8 bytes; odd factors keep the three apart before the scrambling.
+    h = mixed(data[:-16] * FACTORS[0] + data[8:-8] * FACTORS[1] + data[16:] * FACTORS[2])
     # The leftmost smallest hash of each window, by doubling.
     low, place = h, np.arange(len(h))
     span, grams = 1, LENGTH - GRAM + 1
@@ -192,7 +210,7 @@ MEET = "doc long, kind int, data binary"
 
 
 def _packed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _unpacked(data: bytes) -> bytes:
@@ -448,25 +466,26 @@ def _sorted_spans(pieces: dict[bytes, list[tuple[int, int]]], codes: dict[bytes,
         if len(batch) < 2:
             return
         flags = repeated_windows([p for p, _ in batch], np.array([d for _, d in batch], np.int64))
-        at = 0
-        for piece, d in batch:
-            hit = np.flatnonzero(flags[at : at + len(piece)])
-            at += len(piece) + 1
-            if len(hit):
-                cut = np.flatnonzero(np.diff(hit) > 1) + 1
-                for run in np.split(hit, cut):
-                    span = int(run[0]), int(run[-1]) + LENGTH
-                    gone.extend((d, a + span[0], a + span[1]) for o, a in pieces[piece] if o == d)
+        starts = np.cumsum([0] + [len(p) + 1 for p, _ in batch])
+        edges = np.diff(flags.astype(np.int8), prepend=0, append=0)
+        first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        owner = np.searchsorted(starts, first, side="right") - 1
+        for k, a, b in zip(owner.tolist(), (first - starts[owner]).tolist(),
+                           (last - starts[owner]).tolist(), strict=True):
+            piece, d = batch[k]
+            gone.extend((d, o + a, o + b - 1 + LENGTH) for own, o in pieces[piece] if own == d)
 
     while k < len(distinct):
         end, group = k, 0
         while end < len(distinct) and distinct[end][0] == distinct[k][0]:
             group += len(distinct[end][1]) + 1
             end += 1
-        if group > limit:  # too much for one sort
+        if len({d for _, _, d in distinct[k:end]}) < 2:
+            pass  # one text around the anchor, or one document: nothing to compare with
+        elif group > limit:  # too much for one sort
             left.update((p, pieces[p]) for _, p, _ in distinct[k:end])
         else:
-            if size + group > limit:
+            if size + group > min(limit, TOGETHER_CHARS):
                 settle()
                 batch, size = [], 0
             batch += [(p, d) for _, p, d in distinct[k:end]]
@@ -598,7 +617,7 @@ def remove_repeats(
     tasks = partitions_of(docs)
 
     def buckets(packed_bytes: int) -> int:
-        return max(4 * tasks, packed_bytes // BUCKET_BYTES + 1)
+        return max(tasks, packed_bytes // BUCKET_BYTES + 1)
 
     smallest = digests.groupBy("md5").agg(F.min("doc").alias("rep"))
     copies = digests.join(smallest, "md5").where("doc > rep").select("doc").distinct()
