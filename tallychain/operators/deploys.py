@@ -48,11 +48,12 @@ def deploy_transactions(
 ) -> DataFrame:
     """Transactions that deploy something: ``tx_hash, block_timestamp, creator``.
 
-    One with an init signature and a topic log appears twice; count distinct values.  The
-    signature is a pushed filter without a join, and the semi join can be filtered at run time.
+    The signature is a pushed filter without a join; the others meet the topic logs by a semi
+    join, which can be filtered at run time.
     """
     tx = _transactions(src, lower, upper)
-    by_topic = tx.join(topic_transactions(src, lower, upper), "tx_hash", "left_semi")
+    others = tx.where(~F.coalesce(has_init_signature(), F.lit(False)))
+    by_topic = others.join(topic_transactions(src, lower, upper), "tx_hash", "left_semi")
     both = tx.where(has_init_signature()).unionByName(by_topic)
     return both.select("tx_hash", "block_timestamp", F.col("from_address").alias("creator"))
 
