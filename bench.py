@@ -35,10 +35,12 @@ def main() -> None:
         CHECKS[name].run(spark, folder).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    seconds = {}
+    seconds, spread = {}, {}
     for name in names:
         run(name)
-        seconds[name] = round(statistics.median(run(name) for _ in range(repeats)), 3)
+        times = [run(name) for _ in range(repeats)]
+        seconds[name] = round(statistics.median(times), 3)
+        spread[name] = [round(min(times), 3), round(max(times), 3)]
     print(
         json.dumps(
             {
@@ -46,6 +48,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "spread": spread,
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
             }
         )
