@@ -64,7 +64,7 @@ SKETCH = 64
 #: Documents of a packed block; packed bytes of a bucket; members of a comparison block.
 BLOCK_DOCS, BUCKET_BYTES, MEMBERS = 4000, 8_000_000, 1024
 #: Rounds of closest pairs before all the others are checked.
-ROUNDS = 3
+ROUNDS = 1
 #: Of 16 equal shares of the hash values, those whose unique shingles are counted.
 COUNTED_SHARES = 5
 
