@@ -308,7 +308,8 @@ def unique_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFr
             found = [(d, mixed(s)) for d, s in found]
             yield batch_of(list(pack_block(found, buckets, groups=False)), target)
 
-    counted = arrow_schema("doc long, alone long")
+    tasks = partitions_of(docs)
+    part, counted = arrow_schema("part int, counts binary"), arrow_schema("doc long, alone long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buckets(batches):
@@ -317,12 +318,26 @@ def unique_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFr
             edge = np.array([False])
             alone = ~(np.concatenate([edge, same]) | np.concatenate([same, edge]) | many)
             doc, n = np.unique(ids[alone], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n)], schema=counted)
+            # Counts travel packed: a row for each task that sums them, not for each document.
+            to = (mixed(doc.astype(np.uint64)) % np.uint64(tasks)).astype(np.int64)
+            for k in np.unique(to).tolist():
+                pair = np.stack([doc[to == k], n[to == k]])
+                yield batch_of([(k, pair.astype("<i8").tobytes())], part)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = n = np.empty(0, np.int64)
+        for batch in batches:
+            pairs = [np.frombuffer(x, "<i8").reshape(2, -1) for x in values(batch.column(1))]
+            doc, at = np.unique(np.concatenate([doc, *(p[0] for p in pairs)]), return_inverse=True)
+            weights = np.concatenate([n, *(p[1] for p in pairs)])
+            n = np.bincount(at, weights, len(doc)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64())], schema=counted)
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), "text")
     packed = rows.mapInArrow(pack, PACKED)
-    each = by_bucket(packed).mapInArrow(count, "doc long, alone long")
-    return each.groupBy("doc").agg(F.sum("alone").alias("alone"))
+    each = by_bucket(packed).mapInArrow(count, "part int, counts binary")
+    sums = each.repartition("part").mapInArrow(total, "doc long, alone long")
+    return sums
 
 
 def features(docs: DataFrame, nodes: DataFrame, key: str, width: int) -> DataFrame:
@@ -501,34 +516,54 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     )
     members = written(members, "members")
     several = members.groupBy("value").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
-    )
-    several = several.where("low <> high").select("value", F.expr(f"size div {MEMBERS} + 1").alias("blocks"))
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.min("doc").alias("first"), F.count("*").alias("size"),
+    ).where("low <> high")
+    several = several.select("value", "first", F.expr(f"size div {MEMBERS} + 1").alias("blocks"))
     each = members.join(several, "value").join(sets.select("doc", "n", "sketch"), "doc")
     block = F.pmod(F.xxhash64("doc"), "blocks")
     # Each block meets itself and every other one once.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     each = each.withColumn("block", block).withColumn("other", other).select(
-        "value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-        (F.col("block") > F.col("other")).alias("late"), "doc", "component", "n", "sketch",
+        "first", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        "value", (F.col("block") > F.col("other")).alias("late"), "doc", "component", "n", "sketch",
     )
+    # Groups around one document come to one task (a large one in its blocks): they mostly hold the
+    # same pairs, which are then told once.
+    each = each.repartition("first", "x", "y").sortWithinPartitions("first", "x", "y", "value")
+    target = arrow_schema("a long, b long")
 
-    def compare(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        doc, comp, n = (part.column(c).to_numpy() for c in ("doc", "component", "n"))
-        late = np.array(part.column("late").to_pylist(), bool)
-        alike = key[1].as_py() == key[2].as_py()
-        a, b = [], []
-        for i, may in possible_pairs(n, part.column("sketch").to_pylist()):
-            may = may[(comp[may] != comp[i]) & (doc[may] != doc[i])]
-            if not alike:  # pairs inside one of the two blocks are compared elsewhere
-                may = may[late[may] != late[i]]
-            b += doc[may].tolist()
-            a += [int(doc[i])] * len(may)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return each.groupBy("value", "x", "y").applyInArrow(compare, "a long, b long").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+
+        def compared(rows: list[tuple], alike: bool) -> pa.RecordBatch:
+            late, doc, comp, n, sketch_ = zip(*rows, strict=True)
+            late, doc, comp, n = (np.array(v) for v in (late, doc, comp, n))
+            found = set()
+            for i, may in possible_pairs(n, sketch_):
+                may = may[(comp[may] != comp[i]) & (doc[may] != doc[i])]
+                if not alike:  # pairs inside one of the two blocks are compared elsewhere
+                    may = may[late[may] != late[i]]
+                own = int(doc[i])
+                found.update((min(own, d), max(own, d)) for d in doc[may].tolist())
+            fresh = found - told
+            if len(told) > 1_000_000:
+                told.clear()
+            told.update(fresh)
+            return batch_of(sorted(fresh), target)
+
+        at, rows = None, []
+        for batch in batches:
+            for first, x, y, value, *row in zip(*map(values, batch.columns), strict=True):
+                if (first, x, y, value) != at and rows:
+                    yield compared(rows, at[1] == at[2])
+                    rows = []
+                at = (first, x, y, value)
+                rows.append(row)
+        if rows:
+            yield compared(rows, at[1] == at[2])
+
+    return each.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE) -> DataFrame:

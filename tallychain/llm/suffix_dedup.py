@@ -281,7 +281,7 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
 
 def repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
     """doc, kind (`FOUND`), data: 32 bits of each anchor that several documents have."""
-    target, meet = arrow_schema(PACKED), arrow_schema(MEET)
+    target, meet, tasks = arrow_schema(PACKED), arrow_schema(MEET), partitions_of(texts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, block in _text_blocks(batches):
@@ -336,9 +336,33 @@ def repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
                 ids, c = docs[order][~local], codes[order][~local]
                 by_doc = np.argsort(ids, kind="stable")
                 out += [(d, FOUND, x) for d, x in _per_document(ids[by_doc], c[by_doc])] if len(ids) else []
-            yield batch_of(out, meet)
+            # Packed for the tasks that gather them: no row for each document and bucket.
+            to: dict[int, list[bytes]] = {}
+            for doc, _, data in out:
+                head = doc.to_bytes(8, "little", signed=True) + len(data).to_bytes(4, "little")
+                to.setdefault(doc % tasks, []).append(head + data)
+            rows = [(k, KNOWN, b"".join(parts)) for k, parts in to.items()]
+            yield batch_of(rows, target)
 
-    return _by_bucket(texts.mapInArrow(pack, PACKED)).mapInArrow(count, MEET)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[bytes]] = {}
+        size = 0
+        for batch in batches:
+            for data in values(batch.column(2)):
+                at = 0
+                while at < len(data):
+                    doc = int.from_bytes(data[at : at + 8], "little", signed=True)
+                    n = int.from_bytes(data[at + 8 : at + 12], "little")
+                    found.setdefault(doc, []).append(data[at + 12 : at + 12 + n])
+                    at += 12 + n
+                size += len(data)
+                if size > BLOCK_BYTES:
+                    yield batch_of([(d, FOUND, b"".join(p)) for d, p in found.items()], meet)
+                    found, size = {}, 0
+        yield batch_of([(d, FOUND, b"".join(p)) for d, p in found.items()], meet)
+
+    counted = _by_bucket(texts.mapInArrow(pack, PACKED)).mapInArrow(count, PACKED)
+    return counted.repartition("bucket").mapInArrow(gather, MEET)
 
 
 def _rows_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
