@@ -23,8 +23,8 @@ EPOCH_START = date(1995, 1, 1)
 EARLY_AS_OF = date(1995, 4, 5)
 STAKED_BASE = 1.0e6
 
-# A Monday: the day before it is not in the current week.
-MONDAY = date(2001, 7, 30)
+# A Monday after a Sunday with orders on both chains: that day is not in the current week.
+MONDAY = date(2001, 4, 16)
 
 # The event table covers one month; this is a Monday.
 EVENTS_AS_OF = date(2024, 1, 29)
