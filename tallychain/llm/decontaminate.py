@@ -2,10 +2,14 @@
 
 A shard is one Arrow batch of documents.  Its words become ids of the benchmark's vocabulary
 (0: a word that no item has), and a suffix array over the shard lists, in sorted order, every
-suffix that could hold a match.  Each suffix of each benchmark item is searched in it by
-bisection: the neighbours give its longest verbatim match, the range of suffixes that start
-with its window gives every occurrence.  Documents are whole inside a shard, so the result of a
-document never needs a second pass, a shuffle or another task.
+suffix that could hold a window.  Each window of the benchmark is searched in it by bisection:
+the range of suffixes that start with it gives every occurrence.  Documents are whole inside a
+shard, so the result of a document never needs a second pass, a shuffle or another task.
+
+The longest verbatim match of a document starts at an occurrence if it holds a window; the two
+neighbours of that place among the sorted suffixes of the items give its length.  Shorter ones
+are found word by word in the sorted sequences of the items.  Of equally long matches the first
+in the document counts, and of the items that have it the smallest as text.
 
 The benchmark is the stated query set.  It is sent to the tasks in blocks of at most
 `BLOCK_BYTES` of text; each block searches all shards.
@@ -46,11 +50,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(SPACED).split()
 
 
+NO_MATCH = (0, None, None)
+
+
 class Block:
     """Items of the benchmark, made ready for the search."""
 
     def __init__(self, items: list[tuple], window: int) -> None:
         self.ids: dict[bytes, int] = {}
+        self.window = window
         texts = [(item_id, words_of(text)) for item_id, text in items]
         coded = [
             (item_id, np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.int64))
@@ -71,9 +79,84 @@ class Block:
             for i in range(n - width + 1):
                 at = i * step
                 self.windows.setdefault(data[at : at + width * step], set()).add(item_id)
+        self._sort(coded)
         heads = [np.frombuffer(w, self.kind)[: self.depth].astype(np.int64) for w in self.windows]
         self.starts = np.unique([int(self._key(h)[0]) for h in heads]).astype(np.int64)
 
+    def _sort(self, coded: list[tuple]) -> None:
+        """Suffixes of the items in order, and the different sequences below a window."""
+        end = len(self.ids) + 1  # closes an item; no document has it
+        ids = np.concatenate([np.append(x, end) for _, x in coded] or [np.empty(0, np.int64)])
+        self.text = ids.astype(self.kind).tobytes()
+        self.names = sorted({str(item_id) for item_id, _ in coded})
+        at = {name: k for k, name in enumerate(self.names)}
+        sizes = np.array([len(x) + 1 for _, x in coded], np.int64)
+        name = np.repeat(np.array([at[str(i)] for i, _ in coded], np.int32), sizes)
+        # Prefix doubling; beyond the end of its item the order of a suffix is of no matter.
+        rank, width, most = ids, 1, max((len(x) for _, x in coded), default=0)
+        while True:
+            later = np.zeros_like(rank)
+            later[: max(len(rank) - width, 0)] = rank[width:] + 1 if width < len(rank) else 0
+            both = rank * (rank.max(initial=0) + 2) + later
+            rank = np.unique(both, return_inverse=True)[1]
+            width *= 2
+            if width > most:
+                break
+        self.order = np.argsort(rank, kind="stable").astype(np.int32)
+        self.name = name[self.order]
+        # Per length: sequences as (code of all words but the last, last word), and smallest name.
+        self.lengths: list[tuple[np.ndarray, np.ndarray]] = []
+        places, code = np.flatnonzero(ids != end), ids[ids != end]
+        for k in range(self.window - 1 if len(ids) else 0):
+            if k:
+                inside = ids[places + k] != end
+                places = places[inside]
+                code = code[inside] * (end + 1) + ids[places + k]
+            known, code = np.unique(code, return_inverse=True)
+            least = np.full(len(known), len(self.names), np.int32)
+            np.minimum.at(least, code, name[places])
+            self.lengths.append((known, least))
+            if not len(places):
+                break
+
+    def longest_at(self, text: bytes) -> int:
+        """Words of the longest beginning of ``text`` that an item has."""
+        step, size = self.step, KEY_WORDS
+        while True:
+            x = text[: size * step]
+            k = bisect_left(self.order, x, key=lambda q: self.text[q * step : q * step + len(x)])
+            near = [int(q) * step for q in self.order[max(0, k - 1) : k + 1]]
+            n = max(common_words(self.text[q : q + len(x)], x, step) for q in near)
+            if n < size or len(x) == len(text):
+                return n
+            size *= 2
+
+    def smallest_item(self, text: bytes) -> str:
+        """Of the items that have ``text``, the smallest."""
+        start = {"key": lambda q: self.text[q * self.step : q * self.step + len(text)]}
+        low, high = bisect_left(self.order, text, **start), bisect_right(self.order, text, **start)
+        return self.names[int(self.name[low:high].min())]
+
+    def short_matches(self, ids: np.ndarray, owner: np.ndarray, docs: int) -> list[tuple]:
+        """Per document (``owner`` of each place): its longest match below a window."""
+        best = [NO_MATCH] * docs
+        places, code = np.arange(len(ids)), ids
+        for k, (known, least) in enumerate(self.lengths):
+            if k:
+                places, code = places[places + k < len(ids)], code[places + k < len(ids)]
+                code = code * (len(self.ids) + 2) + ids[places + k]
+                inside = ids[places + k] > 0
+                places, code = places[inside], code[inside]
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            same = known[at] == code if len(known) else np.zeros(len(code), bool)
+            places, code = places[same], at[same]
+            of = owner[places]
+            for j in np.flatnonzero(np.diff(of, prepend=-1)).tolist():  # the first place of each
+                best[of[j]] = (k + 1, self.names[least[code[j]]], int(places[j]))
+            if not len(places):
+                break
+        return best
+
     def _key(self, ids: np.ndarray) -> np.ndarray:
         """The first ``depth`` words at each place as one number."""
         n, base = len(ids) - self.depth + 1, len(self.ids) + 1
@@ -132,23 +215,17 @@ def common_words(a: bytes, b: bytes, step: int) -> int:
     return low
 
 
-def search(docs: list[np.ndarray], block: Block) -> list[tuple]:
+def search(docs: list[np.ndarray], block: Block, longest: bool = True) -> list[tuple]:
     """Per document: covered spans, items, and its longest match (words, item, place)."""
     shard = Shard(docs, block)
     keys, places, step = shard.keys, shard.places, block.step
     runs: list[list] = [[] for _ in docs]
     items: list[set] = [set() for _ in docs]
-    longest: list[tuple] = [(0, None, None)] * len(docs)
 
     def prefixed(prefix: bytes, low: int) -> int:
         # 0xFF bytes are no id, so this bound lies behind all keys that start with `prefix`.
         return bisect_right(keys, prefix + b"\xff" * (step + 1), lo=low)
 
-    def note(k: int, n: int, item_id) -> None:
-        d = shard.document(places[k])
-        if n > longest[d][0]:
-            longest[d] = (n, str(item_id), places[k] - int(shard.first[d]))
-
     for window, owners in block.windows.items() if keys else ():
         low, width = bisect_left(keys, window[: KEY_WORDS * step]), len(window) // step
         for k in range(low, prefixed(window[: KEY_WORDS * step], low)):
@@ -157,19 +234,39 @@ def search(docs: list[np.ndarray], block: Block) -> list[tuple]:
                 d = shard.document(places[k])
                 runs[d].append((places[k] - int(shard.first[d]), width))
                 items[d] |= owners
-    for item_id, data in block.items if keys else ():
-        for i in range(0, len(data), step):
-            suffix = data[i : i + KEY_WORDS * step]
-            k = bisect_left(keys, suffix)
-            if k:
-                note(k - 1, common_words(keys[k - 1], suffix, step), item_id)
-            for j in range(k, max(prefixed(suffix, k), min(k + 1, len(keys)))):
-                n = common_words(keys[j], suffix, step)
-                if n == KEY_WORDS:
-                    at = places[j] * step
-                    n = common_words(shard.data[at : at + len(data) - i], data[i:], step)
-                note(j, n, item_id)
-    return [(merged(r), sorted(map(str, i)), x) for r, i, x in zip(runs, items, longest)]
+    spans = [merged(r) for r in runs]
+    best = longest_matches(docs, shard, block, runs, spans) if longest else [NO_MATCH] * len(docs)
+    return [(s, sorted(map(str, i)), x) for s, i, x in zip(spans, items, best, strict=True)]
+
+
+def longest_matches(docs, shard: Shard, block: Block, runs: list, spans: list) -> list[tuple]:
+    """Per document its longest match, at the first place that has it."""
+    step, owner = block.step, np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    ids = np.concatenate(docs)
+    short = block.short_matches(ids, owner, len(docs))
+    out = []
+    for d, (first, found, words) in enumerate(zip(shard.first.tolist(), short, docs, strict=True)):
+        n, item, at = found
+        at = None if at is None else at - first
+        data = shard.data[first * step : (first + len(words)) * step] if spans[d] else b""
+        starts = sorted({p for p, _ in runs[d]})
+        for low, high in spans[d]:
+            # All words of a match that holds a window are covered: none reaches beyond the span.
+            for p in starts[bisect_left(starts, low) : bisect_left(starts, high)]:
+                if high - p < n:
+                    break
+                m = block.longest_at(data[p * step : high * step])
+                if m > n or (m == n and p < at):
+                    n, at, item = m, p, None
+        if n and item is None:
+            item = block.smallest_item(data[at * step : (at + n) * step])
+        out.append((n, item, at))
+    return out
+
+
+def better(a: tuple, b: tuple) -> tuple:
+    """The longer match; of equal ones the first, then the smallest item."""
+    return min(a, b, key=lambda x: (-x[0], x[2] or 0, x[1] or ""))
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -247,7 +344,7 @@ def _finder(block: Block, target: pa.Schema, last: bool):
                     runs = [(x["start"], x["stop"] - x["start"]) for x in had[0]]
                     spans = merged(runs + [(a, b - a) for a, b in spans])
                     items = sorted({*had[1], *items})
-                    best = max(tuple(had[2:]), best, key=lambda x: x[0])
+                    best = better(tuple(had[2:]), best)
                 text = () if last else (batch.column(1)[i].as_py(),)
                 spans = [{"start": a, "stop": b} for a, b in spans]
                 rows.append((batch.column(0)[i].as_py(), *text, len(ids) - 1, spans, items, *best))
@@ -264,7 +361,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch, found in _shards(batches, at, block):
-                clean = [not spans for spans, _, _ in search(found, block)]
+                clean = [not spans for spans, _, _ in search(found, block, longest=False)]
                 yield pc.filter(batch, pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -63,6 +63,42 @@ def test_longest_match_runs_beyond_the_window(spark):
     assert by_id[3].spans == []
 
 
+def longest(text, items):
+    own, best = words(text), (0, None, None)
+    for item, t in sorted(items, key=lambda x: str(x[0])):
+        theirs, before = words(t), []
+        for p, w in enumerate(own):  # lengths of the matches that end here
+            row = [(before[q - 1] if q and before else 0) + 1 if w == x else 0 for q, x in enumerate(theirs)]
+            n = max(row, default=0)
+            if n and (-n, p - n + 1) < (-best[0], best[2] or 0):
+                best = (n, str(item), p - n + 1)
+            before = row
+    return best
+
+
+@pytest.mark.parametrize("block_bytes", [1, 10**6])
+def test_every_document_has_its_longest_match(spark, block_bytes, small_limits):
+    """Several documents of one shard with the same part, other parts, and parts below a window."""
+    item = prose(8, 150).split()
+    items = [(5, " ".join(item)), (12, " ".join(item[100:])), (6, prose(9, 40)), (7, "one two"), (8, "q q " * 90)]
+    parts = [(30, 50), (30, 50), (30, 50), (35, 60), (0, 150), (145, 150), (143, 150), (60, 64), (3, 4), (98, 150)]
+    docs = [(k, f"zz{k} yy " + " ".join(item[a:b]) + f" xx{k}") for k, (a, b) in enumerate(parts)]
+    docs += [(20, " ".join(item[2:16] + item[40:52] + item[101:120])), (21, "q " * 170), (22, "zz one two"),
+             (23, None), (24, "zz yy"), (25, " ".join(item[:11] + item[70:79] + item[71:80]))]
+    small_limits(d, KEY_WORDS=16)
+    d.blocks.__defaults__, before = (block_bytes,), d.blocks.__defaults__
+    try:
+        found = d.find_matches(
+            spark.createDataFrame(docs, "doc_id long, text string").coalesce(1),
+            spark.createDataFrame(items, "item_id long, text string"),
+        ).collect()
+    finally:
+        d.blocks.__defaults__ = before
+    got = {r.doc_id: (r.longest, r.longest_item, r.longest_at) for r in found}
+    assert got == {k: longest(t, items) for k, t in docs}
+    assert [got[k][0] for k in range(10)] == [b - a for a, b in parts]
+
+
 def test_affected_documents_go(spark, edges, nothing):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = d.decontaminated(edges, bench)
