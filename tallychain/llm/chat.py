@@ -2,8 +2,8 @@
 
 Every conversation is a path of turns.  A turn's key is a digest of all turns up to it, so equal
 beginnings have equal keys, and the different keys form a forest.  Sorted by path, conversations
-appear depth first: a turn is new exactly where a path parts from its predecessor.  Each new turn is
-emitted once, as token ids, with
+appear depth first, and a turn belongs to the first one that has it.  Each turn is emitted once, as
+token ids, with
 
 * ``start``, its place in the depth-first sequence of its shard,
 * ``position``, the ids that lie before it on its own path (its ids have this position id and up),
@@ -17,7 +17,8 @@ back is exact.  Header, text and footer are encoded apart, so the loss mask ends
 
 Defined results: NULL texts and roles are empty; turns with equal numbers are ordered by role and
 text; repeated rows are turns of their own; rows without conv_id form one conversation; an empty
-table gives an empty forest.  A conversation is read as a stream, never held in one group.
+table gives an empty forest.  A conversation is read as a stream, never held in one group or row; a
+row grows only with ``intervals``, one for each stretch of ancestors that is not contiguous.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ VOCABULARY = "byte_bpe_50k.json"
 TRAINED = "assistant"
 #: Bytes of a turn's key.
 KEY = 16
+#: Turns of a path, or names of such blocks, that one row holds at most.
+BLOCK = 256
 
 
 def escape(text: str) -> str:
@@ -88,43 +91,53 @@ def keyed(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "role", "text").mapInArrow(run, schema)
 
 
-def paths(turns: DataFrame) -> DataFrame:
-    """leaf, path (all keys, one after the other): one row per different conversation.
+def chosen_ones(turns: DataFrame) -> DataFrame:
+    """leaf, chosen, last: of each group of equal conversations one, and its last place."""
+    ends = turns.groupBy("conv_id").agg(F.max_by("key", "place").alias("leaf"), F.max("place").alias("last"))
+    return ends.groupBy("leaf").agg(F.min("conv_id").alias("chosen"), F.max("last").alias("last"))
 
-    Built from the deduplicated (leaf, place, key) rows; a path is one conversation's keys.
+
+def steps_of(turns: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``chosen``, block, place, key: a row for each turn of the chosen ones.
+
+    Joined by blocks of places, so a long conversation is no hot key.
     """
-    last = turns.groupBy("conv_id").agg(F.max_by("key", "place").alias("leaf"), F.max("place").alias("n"))
-    # One conversation stands for all equal ones.
-    chosen = last.groupBy("leaf").agg(F.min("conv_id").alias("chosen"), F.max("n").alias("n"))
-    keys = turns.select("conv_id", "place", "key")
-    rows = chosen.join(keys, F.col("chosen").eqNullSafe(F.col("conv_id")))
-    return rows.groupBy("leaf").agg(
-        F.array_sort(F.collect_list(F.struct("place", "key"))).alias("steps")
-    ).select("leaf", F.transform("steps", lambda s: s["key"]).alias("path"))
+    block = F.sequence(F.lit(0).cast("long"), F.expr(f"last div {BLOCK}"))
+    parts = chosen.select(*columns, "chosen", F.explode(block).alias("part"))
+    keys = turns.select("conv_id", "place", F.expr(f"place div {BLOCK}").alias("block"), "key")
+    same = F.col("chosen").eqNullSafe(F.col("conv_id")) & (F.col("part") == F.col("block"))
+    return parts.join(keys, same).select(*columns, "block", "place", "key")
 
 
 def branches(turns: DataFrame) -> DataFrame:
-    """shard, rank, leaf, path, shared: different conversations in depth-first order.
+    """shard, rank, leaf, chosen, last: different conversations in depth-first order.
 
-    ``shared`` counts the leading turns that the predecessor in the order has as well; across
-    the border of two shards it is the last path of the shard before that counts.
+    The order is that of the paths, the sequences of keys.  Blocks of `BLOCK` keys are sorted and
+    named by their places, then blocks of names in the same way, until a path is one block; so no
+    row grows with a conversation.
     """
-    ordered = paths(turns).withColumn("order", F.array_join(F.transform("path", F.hex), ""))
-    ordered = ordered.repartitionByRange("order").sortWithinPartitions("order")
-    ordered = written(ordered.withColumn("shard", F.spark_partition_id()), "paths")
-    ends = ordered.groupBy("shard").agg(F.max_by("path", "order").alias("end"))
-    # One row per shard.
-    ends = ends.select(
-        F.col("shard").alias("s"), F.lag("end").over(Window.orderBy("shard")).alias("end")
-    )
-    in_shard = Window.partitionBy("shard").orderBy("order")
-    rows = ordered.join(ends, F.col("shard") == F.col("s"), "left").select(
-        "shard", F.row_number().over(in_shard).alias("rank"), "leaf", "path",
-        F.coalesce(F.lag("path").over(in_shard), F.col("end"), F.array()).alias("before"),
-    )
-    same = F.zip_with("path", "before", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    # Keys digest whole beginnings: where one differs, all later ones do.
-    return rows.select("shard", "rank", "leaf", "path", F.size(F.filter(same, lambda x: x)).alias("shared"))
+    chosen = written(chosen_ones(turns), "chosen")
+
+    def block_texts(rows: DataFrame, block: str, at: str, text) -> DataFrame:
+        each = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), text.alias("text"))))
+        return rows.groupBy("leaf", F.expr(block).alias("block")).agg(
+            F.array_join(F.transform(each, lambda s: s["text"]), "").alias("order")
+        )
+
+    blocks = block_texts(steps_of(turns, chosen, "leaf"), "block", "place", F.hex("key"))
+    longest = (chosen.agg(F.max("last")).first()[0] or 0) // BLOCK
+    while longest:
+        blocks = written(blocks, "blocks")
+        names = blocks.select("order").distinct().repartitionByRange("order").sortWithinPartitions("order")
+        # Ids grow with the partition and inside it, so they are ordered like the blocks.
+        names = written(names.withColumn("name", F.monotonically_increasing_id()), "names")
+        text = F.lpad(F.hex("name"), 16, "0")
+        blocks = block_texts(blocks.join(names, "order"), f"block div {BLOCK}", "block", text)
+        longest //= BLOCK
+    ordered = blocks.select("leaf", "order").repartitionByRange("order").sortWithinPartitions("order")
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("int")
+    ordered = ordered.select("leaf", F.spark_partition_id().alias("shard"), (row + 1).alias("rank"))
+    return written(ordered, "order").join(chosen, "leaf")
 
 
 NODE = (
@@ -151,10 +164,10 @@ def build(conversations: DataFrame, vocabulary: str | None = None) -> tuple[Data
     """
     vocabulary = vocabulary or public_path(VOCABULARY)
     turns = written(keyed(conversations), "turns")
-    order = written(branches(turns), "branches")
-    # Each key is emitted by the first branch in which it is new.
-    new = order.select("shard", "rank", F.posexplode("path").alias("place", "key"), "shared")
-    new = new.where(F.col("place") >= F.col("shared")).select("shard", "rank", "key")
+    steps = written(steps_of(turns, branches(turns), "shard", "rank").drop("block"), "steps")
+    # Conversations with a turn in common follow each other: the first of them emits it.
+    new = steps.groupBy("key").agg(F.min(F.struct("shard", "rank")).alias("first"))
+    new = new.select("key", "first.shard", "first.rank")
     # Equal keys have equal turns: one copy of the text is enough, taken before the shuffle.
     copy = turns.groupBy("key").agg(
         F.min_by(F.struct("place", "parent", "role", "text"), F.struct("role", "text")).alias("t")
@@ -170,17 +183,23 @@ def build(conversations: DataFrame, vocabulary: str | None = None) -> tuple[Data
                        F.coalesce(F.sum(F.size("ids")).over(in_order), F.lit(0)).alias("start")),
         "placed",
     )
-    # Ancestors outside the branch: the places of the turns that it shares with its predecessor.
-    steps = order.select(
-        "shard", "rank", F.posexplode(F.slice("path", F.lit(1), F.col("shared"))).alias("place", "key")
+    # Ancestors outside the branch: the places of the turns that an earlier branch emitted.
+    spans = placed.select("key", F.col("shard").alias("s"), F.col("rank").alias("r"), "start",
+                          (F.col("start") + F.col("n")).alias("stop"))
+    outside = steps.join(spans, "key").where("shard <> s or rank <> r")
+    # Neighbouring spans of one shard are one, joined before any row holds them together.
+    along = Window.partitionBy("shard", "rank").orderBy("place")
+    follows = (F.lag("s").over(along) == F.col("s")) & (F.lag("stop").over(along) == F.col("start"))
+    outside = outside.withColumn("new", F.when(follows, 0).otherwise(1).cast("long"))
+    outside = outside.withColumn("stretch", F.sum("new").over(along))
+    outside = outside.groupBy("shard", "rank", "stretch").agg(
+        F.min("s").alias("s"), F.min("start").alias("start"), F.max("stop").alias("stop")
     )
-    span = F.struct("shard", "start", (F.col("start") + F.col("n")).alias("stop"))
-    spans = placed.select("key", span.alias("span"))
+    span = F.struct(F.col("s").alias("shard"), "start", "stop")
     above = (
-        steps.join(spans, "key")
-        .groupBy("shard", "rank")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "span"))).alias("all"))
-        .select("shard", "rank", _joined(F.transform("all", lambda x: x["span"])).alias("above"))
+        outside.groupBy("shard", "rank")
+        .agg(F.array_sort(F.collect_list(F.struct("stretch", span.alias("span")))).alias("all"))
+        .select("shard", "rank", F.transform("all", lambda x: x["span"]).alias("above"))
     )
     begins = placed.groupBy("shard", "rank").agg(F.min("start").alias("begin"))
     own = F.array(F.struct("shard", F.col("begin").alias("start"), F.col("start").alias("stop")))
@@ -204,19 +223,6 @@ def _no_spans():
     return F.array().cast("array<struct<shard: int, start: bigint, stop: bigint>>")
 
 
-def _joined(spans):
-    """Neighbouring spans of one shard as one."""
-
-    def step(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        follows = (last["shard"] == x["shard"]) & (last["stop"] == x["start"])
-        wider = F.struct(x["shard"].alias("shard"), last["start"].alias("start"), x["stop"].alias("stop"))
-        kept = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(follows, F.concat(kept, F.array(wider))).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(spans, _no_spans(), step)
-
-
 #: Ids to a stretch of a shard when the turns inside an interval are looked up.
 STRETCH = 4096
 

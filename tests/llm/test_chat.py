@@ -4,6 +4,7 @@ import pytest
 from edge_rows import prose
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallychain.llm import chat as c
 
@@ -90,6 +91,33 @@ def test_intervals_hold_exactly_the_ancestors(tree):
         assert text == "".join("".join(c.parts_of(*t)) for t in want[row.conv_id])
 
 
+def test_no_row_grows_with_a_conversation(spark, monkeypatch):
+    """Two long conversations part late; what is written on the way stays short in every row."""
+    said = [(k, n, "user", f"t{n}" if n < 380 + 9 * k else f"t{n} {k}") for k in range(2) for n in range(400)]
+    said += [(None, n, "user", f"t{n}") for n in range(395)] + [(9, 0, "user", "t0")]
+    widest, written = [], c.written
+
+    def measured(df, name):
+        out = written(df, name)
+        for field in out.schema:
+            kind = field.dataType.simpleString()
+            if kind.startswith("array") or kind in ("string", "binary"):
+                size = F.size(field.name) if kind.startswith("array") else F.length(field.name)
+                widest.append((out.agg(F.max(size)).first()[0] or 0, name, field.name))
+        return out
+
+    monkeypatch.setattr(c, "written", measured)
+    monkeypatch.setattr(c, "BLOCK", 6, raising=False)  # four levels
+    given = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    nodes, leaves = c.build(given)
+    assert max(widest)[0] <= 6 * 32, max(widest)
+    rows = nodes.collect()
+    assert len(rows) == len({r.key for r in rows}) == 395 + 20 + 11
+    assert all(len(r.intervals) <= 4 for r in rows)
+    got = {r.conv_id: r.n_turns for r in c.formatted(given).collect()}
+    assert got == {0: 400, 1: 400, None: 395, 9: 1}
+
+
 def test_empty_table(spark):
     nothing = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert c.formatted(nothing).count() == 0
