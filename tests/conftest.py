@@ -6,11 +6,10 @@ import pytest
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
 
 from compare import duck  # noqa: E402
+from paths import SMALL  # noqa: E402
 
 from tallychain.session import local_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -1,8 +1,8 @@
 """Relations between metrics that hold for any data."""
 
 import pytest
-from conftest import SMALL
 from inline import rows
+from paths import SMALL
 
 from tallychain.metrics import METRICS
 from tallychain.operators.reshape import share_of_bucket

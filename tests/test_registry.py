@@ -2,7 +2,7 @@
 
 import pytest
 from compare import differences, duck_rows
-from conftest import SMALL
+from paths import SMALL
 
 import __spark_entry__ as contract
 from tallychain.metrics import METRICS
