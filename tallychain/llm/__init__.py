@@ -3,11 +3,14 @@
 from tallychain.llm import (
     chat,
     decontaminate,
+    divergence,
+    filter_audit,
     jaccard_join,
     packing,
     quality_model,
     quality_rules,
     secret_scan,
+    sharding,
     suffix_dedup,
     token_files,
     url_filter,
@@ -24,9 +27,14 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_sharding": sharding.op13_sharding,
 }
 ORACLES = {
     "op6_decontaminate": decontaminate.SQL,
     "op8_quality_rules": quality_rules.SQL,
     "op10_jaccard_join": jaccard_join.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }

@@ -17,7 +17,7 @@ def test_query_equals_its_sql(spark, key):
 
 def test_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in llm.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(llm.QUERIES) | {"pipeline"} <= set(contract.queries())
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == len(set(names)) == 5
