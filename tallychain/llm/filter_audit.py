@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallychain.llm.common import arrow_schema, map_rows, table
+from tallychain.llm.common import arrow_schema, map_rows, table, written
 
 FILTERS = "ABCDE"
 STATES = 1 << len(FILTERS)
@@ -77,6 +77,8 @@ def cells(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     # Repeated rows are one row from here on, and different texts of one key are spread.
     rows = judged.groupBy("k", "text", "part", "mask").agg(F.count(F.lit(1)).alias("copies"))
+    # Read several times below: as a table, or the texts would be read and judged as often.
+    rows = written(rows, "filter-rows")
     marks = labels.groupBy(F.col(key).alias("k")).agg(
         F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"),
         F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"),
