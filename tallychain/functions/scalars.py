@@ -51,26 +51,70 @@ def floor_at_zero(value: Column) -> Column:
     return F.when(value.isNotNull(), F.greatest(value, F.lit(0).cast("double")))
 
 
-def json_decimal(
-    df: DataFrame, column: str, path: str, kind: T.DecimalType, strict: bool = True
-) -> Column:
-    """A number inside JSON text or a variant.
+#: Any decimal of so many digits is told exactly by the double next to it.
+DOUBLE_DIGITS = 15
+#: Digits before and after the point and the exponent of a JSON number (or of a string of one).
+NUMBER = r"^\s*[-+]?(\d*)\.?(\d*)(?:[eE]([-+]?\d{1,4}))?\s*$"
+
+
+def json_text(df: DataFrame, column: str, path: str) -> Column:
+    """The text of a scalar inside JSON text or a variant, with all its digits.
 
-    Strict reading raises on a value that is not a number, does not fit ``kind`` or has more
-    decimals than it, whatever the session's settings; otherwise it gives NULL or rounds.
-    JSON text is scanned for the one path, not parsed into a full variant.
+    JSON text is scanned for the one path.  That scan reads numbers as doubles, so a document with
+    a long run of digits is read as a variant, which keeps 38 digits.  Where even that has only a
+    double (long numbers with an exponent), the text is ``inexact:`` and the double.  A number
+    nearer to 0 than any double reads as 0.
     """
     if isinstance(df.schema[column].dataType, T.VariantType):
-        text = F.try_variant_get(F.col(column), path, "string")
-    else:
-        text = F.get_json_object(column, path)
-    number = text.try_cast(kind)
-    if not strict:
-        return number
-    # More decimals than the type holds would be rounded; trailing zeros are no decimals.
-    rounded = text.rlike(rf"\.\d{{{kind.scale}}}\d*[1-9]") | text.rlike(r"[eE]-")
-    bad = text.isNotNull() & (number.isNull() | rounded)
-    return _or_raise(number, bad, F.concat(F.lit(f"not a {kind.simpleString()}: "), text))
+        return _variant_text(F.col(column), path)
+    text = F.get_json_object(column, path)
+    exact = _variant_text(F.try_parse_json(column), path)
+    broken = F.concat(F.lit("inexact: "), text)
+    short = ~F.col(column).rlike(rf"[0-9.]{{{DOUBLE_DIGITS + 1},}}")
+    return F.when(short, text).when(text.isNotNull(), F.coalesce(exact, broken))
+
+
+def _variant_text(variant: Column, path: str) -> Column:
+    text = F.try_variant_get(variant, path, "string")
+    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+    long = F.length(F.regexp_replace(text, "[eE].*|[^0-9]", "")) > DOUBLE_DIGITS
+    return F.when((kind == "DOUBLE") & long, F.concat(F.lit("inexact: "), text)).otherwise(text)
+
+
+def unreadable(text: Column, kind: T.DecimalType) -> Column:
+    """Whether a text is no number, does not fit ``kind`` or has more decimals than it.
+
+    Decided by value: ``1e-8``, ``2.50E-2`` and ``0.10000000000000000`` are a few decimals each.
+    """
+    whole = kind.precision - kind.scale
+    plain = text.rlike(rf"^-?\d{{1,{whole}}}(\.\d{{1,{kind.scale}}})?$")
+    digits = F.concat(F.regexp_extract(text, NUMBER, 1), F.regexp_extract(text, NUMBER, 2))
+    used = F.rtrim(digits, F.lit("0"))
+    exponent = F.coalesce(F.regexp_extract(text, NUMBER, 3).try_cast("int"), F.lit(0))
+    decimals = (
+        F.length(F.regexp_extract(text, NUMBER, 2)) - (F.length(digits) - F.length(used)) - exponent
+    )
+    rounded = (F.length(used) > 0) & (decimals > kind.scale)
+    odd = ~text.rlike(NUMBER) | rounded | text.try_cast(kind).isNull()
+    return F.when(text.isNull() | plain, F.lit(False)).otherwise(odd)
+
+
+def exact_decimal(text: Column, kind: T.DecimalType, strict: bool = True) -> Column:
+    """A number as text to ``kind``; what is `unreadable` raises, or is NULL if not ``strict``.
+
+    Both whatever the session's settings.
+    """
+    bad = unreadable(text, kind)
+    if strict:
+        return _or_raise(text.try_cast(kind), bad, F.concat(F.lit(f"not a {kind.simpleString()}: "), text))
+    return F.when(~bad, text.try_cast(kind))
+
+
+def json_decimal(
+    df: DataFrame, column: str, path: str, kind: T.DecimalType, strict: bool = True
+) -> Column:
+    """A number inside JSON text or a variant, exactly: see `json_text` and `exact_decimal`."""
+    return exact_decimal(json_text(df, column, path), kind, strict)
 
 
 def _or_raise(value: Column, bad: Column, message: Column) -> Column:

@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallychain.constants import FEE_CONTRACT, FEE_EVENT
-from tallychain.functions.scalars import json_decimal, strict_cast, strict_sum
+from tallychain.functions.rejects import Rejects
+from tallychain.functions.scalars import (
+    exact_decimal,
+    json_text,
+    strict_cast,
+    strict_sum,
+    unreadable,
+)
 from tallychain.operators.filters import in_complete_buckets, in_period, same_days
 from tallychain.operators.windows import cumulative, rolling_mean
 from tallychain.period import Period
@@ -26,13 +33,22 @@ TS = "block_timestamp"
 PER_TX, COPIES = T.DecimalType(29, 12), T.DecimalType(8, 0)
 
 
-def fee_events(events: DataFrame, strict: bool = True) -> DataFrame:
-    """``tx_id, block_timestamp, amount`` of the fee events among native events."""
+def fee_events(
+    events: DataFrame, strict: bool = True, rejects: Rejects | None = None
+) -> DataFrame:
+    """``tx_id, block_timestamp, amount`` of the fee events among native events.
+
+    An amount that cannot be read exactly raises; if not ``strict`` it is NULL and counts in
+    ``rejects``, if given.
+    """
     events = events.where(
         (F.col("event_contract") == FEE_CONTRACT) & (F.col("event_type") == FEE_EVENT)
     )
-    amount = json_decimal(events, "event_data", "$.amount", NATIVE_AMOUNT, strict)
-    return events.select("tx_id", TS, amount.alias("amount"))
+    texts = events.select("tx_id", TS, json_text(events, "event_data", "$.amount").alias("text"))
+    text = F.col("text")
+    if rejects is not None:
+        texts = rejects.watch(texts, text, unreadable(text, NATIVE_AMOUNT))
+    return texts.select("tx_id", TS, exact_decimal(text, NATIVE_AMOUNT, strict).alias("amount"))
 
 
 def _mean(total: str, count: str) -> Column:
@@ -68,28 +84,36 @@ def _evm_fees(transactions: DataFrame, *by: Column) -> DataFrame:
     return sums.select(*keys, "fees", _mean("fees", "fee_count").alias("avg_tx_fee"))
 
 
-def fees_summary(src: Sources, period: Period) -> DataFrame:
+def fees_summary(
+    src: Sources, period: Period, strict: bool = True, rejects: Rejects | None = None
+) -> DataFrame:
     """Fees since the period start, and the unweighted mean of the two chains' mean fees.
 
-    The native side is bounded by the time of the transaction, not of the event.
+    The native side is bounded by the time of the transaction, not of the event.  With
+    ``strict=False`` events whose amount cannot be read count as none; ``rejects`` tells them, among
+    all fee events that the period's days hold.
     """
     evm = _evm_fees(in_period(src.evm_tx(), TS, period))
-    events = fee_events(same_days(src.native_events(), lower=period.start))
+    events = same_days(src.native_events(), lower=period.start)
+    events = fee_events(events, strict and rejects is None, rejects)
     native = _native_fees(events, in_period(src.native_tx(), TS, period))
     return evm.unionByName(native).agg(
         strict_sum("fees").alias("total_fees"), F.avg("avg_tx_fee").alias("avg_tx_fee")
     )
 
 
-def fees_series(src: Sources, period: Period) -> DataFrame:
+def fees_series(
+    src: Sources, period: Period, strict: bool = True, rejects: Rejects | None = None
+) -> DataFrame:
     """Fees per complete bucket, bounded by the time of the event.
 
     The chains are merged as a set: if both have the same sum and mean in a bucket,
-    that bucket counts it once.
+    that bucket counts it once.  ``strict`` and ``rejects`` are as for `fees_summary`.
     """
     bucket = period.bucket(TS).alias("date")
     evm = _evm_fees(in_complete_buckets(src.evm_tx(), TS, period), bucket)
-    events = fee_events(in_complete_buckets(src.native_events(), TS, period))
+    events = in_complete_buckets(src.native_events(), TS, period)
+    events = fee_events(events, strict and rejects is None, rejects)
     transactions = same_days(src.native_tx(), period.start, period.cutoff)
     native = _native_fees(events, transactions, bucket)
     per_bucket = (

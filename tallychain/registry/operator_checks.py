@@ -1029,3 +1029,41 @@ def fn_json_path(src: OrderSources) -> DataFrame:
         fn.json_decimal(events, "event_data", "$.amount", NATIVE_AMOUNT).alias("from_text"),
         fn.json_decimal(events, "parsed", "$.amount", NATIVE_AMOUNT).alias("from_variant"),
     )
+
+
+def _spelled_amounts(src: OrderSources) -> DataFrame:
+    """Amounts of all lines in the spellings that JSON has; lines 5 to 7 cannot be read."""
+    line = F.col("l_linenumber")
+    money = F.col("l_extendedprice").cast("decimal(18,2)")
+    cents = (money * 100).cast("long").cast("string")
+    spelled = (
+        F.when(line == 1, F.concat(F.lit('"'), money.cast("string"), F.lit('"')))
+        .when(line == 2, money.cast("string"))
+        .when(line == 3, F.concat(cents, F.lit("e-2")))
+        .when(line == 4, F.concat(F.lit('" '), money.cast("string"), F.lit("0000000000000000E+0 \"")))
+        .when(line == 5, F.concat(money.cast("string"), F.lit("000000000000001")))
+        .when(line == 6, F.concat(F.lit('"'), money.cast("string"), F.lit(' FLOW"')))
+        .otherwise(F.concat(cents, F.lit("e-20")))
+    )
+    amount = F.concat(F.lit('{"amount":'), spelled, F.lit("}"))
+    return src.table("lineitem").select("l_returnflag", amount.alias("event_data"))
+
+
+@check(
+    "fn_json_rejects",
+    """SELECT l_returnflag, count(*) AS amounts,
+              count(*) FILTER (l_linenumber > 4) AS rejected,
+              CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) FILTER (l_linenumber <= 4) AS DOUBLE)
+                AS total
+       FROM lineitem GROUP BY 1""",
+)
+def fn_json_rejects(src: OrderSources) -> DataFrame:
+    """Amounts in any spelling: what can be read is summed, what cannot is counted."""
+    events = _spelled_amounts(src)
+    texts = events.select("l_returnflag", fn.json_text(events, "event_data", "$.amount").alias("text"))
+    text = F.col("text")
+    return texts.groupBy("l_returnflag").agg(
+        F.count("text").alias("amounts"),
+        F.count_if(fn.unreadable(text, NATIVE_AMOUNT)).alias("rejected"),
+        F.sum(fn.exact_decimal(text, NATIVE_AMOUNT, strict=False)).alias("total"),
+    )
