@@ -16,15 +16,10 @@ from tallychain.constants import (
 )
 from tallychain.functions.scalars import first_element
 from tallychain.operators.accounts import explode_actors, senders
-from tallychain.operators.aggregates import (
-    count_distinct,
-    debuts_per_bucket,
-    distinct_per_bucket,
-    week_pivot,
-    with_total,
-)
+from tallychain.operators.aggregates import count_distinct, week_pivot, with_total
 from tallychain.operators.filters import between, in_complete_buckets
 from tallychain.operators.joins import full_outer_fill
+from tallychain.operators.sketches import approx_distinct
 from tallychain.operators.weeks import week_calendar, weekly_debuts
 from tallychain.operators.windows import cumulative, pct_change, prev, rolling_mean
 from tallychain.period import Period, monday_of
@@ -33,17 +28,24 @@ from tallychain.sources.tables import Sources
 TS = "block_timestamp"
 
 
-def active_accounts_total(src: Sources, period: Period) -> DataFrame:
+def active_accounts_total(src: Sources, period: Period, approximate: bool = False) -> DataFrame:
     """Distinct *first* actors of native transactions in ``[start, as_of)``.
 
-    Only the native chain counts here, and only transactions that have an actor.
+    Only the native chain counts here, and only transactions that have an actor.  ``approximate``
+    counts from daily sketches (see ``operators/sketches.py``).
     """
+    if approximate:
+        daily = src.daily_sketches("native_first_actor", period.start, period.as_of)
+        return approx_distinct(daily, "total_active_addresses")
     rows = between(src.native_actors(), TS, period.start, period.as_of)
     return count_distinct(rows, first_element("actors"), "total_active_addresses")
 
 
-def active_accounts_evm(src: Sources, period: Period) -> DataFrame:
-    """Distinct EVM senders in ``[start, as_of)``."""
+def active_accounts_evm(src: Sources, period: Period, approximate: bool = False) -> DataFrame:
+    """Distinct EVM senders in ``[start, as_of)``; ``approximate`` as above."""
+    if approximate:
+        daily = src.daily_sketches("evm_active", period.start, period.as_of)
+        return approx_distinct(daily, "total_active_addresses")
     rows = between(src.evm_tx(), TS, period.start, period.as_of)
     return count_distinct(rows, "from_address", "total_active_addresses")
 
@@ -51,13 +53,14 @@ def active_accounts_evm(src: Sources, period: Period) -> DataFrame:
 def _active_by_type(src: Sources, period: Period, upper: date) -> DataFrame:
     """Distinct active addresses per bucket and chain, from the period start to ``upper``."""
 
-    def per_bucket(df: DataFrame, label: str) -> DataFrame:
-        counts = distinct_per_bucket(df, TS, "address", period, "active_users", "day")
-        return counts.select("day", F.lit(label).alias("type"), "active_users")
+    def per_bucket(name: str, label: str) -> DataFrame:
+        counts = src.bucket_counts(name, period, period.start, upper)
+        return counts.select(
+            F.col("bucket").alias("day"), F.lit(label).alias("type"), F.col("n").alias("active_users")
+        )
 
-    native = explode_actors(between(src.native_actors(), TS, period.start, upper))
-    evm = senders(between(src.evm_tx(), TS, period.start, upper))
-    return per_bucket(native, NATIVE_LABEL).unionByName(per_bucket(evm, EVM_LABEL))
+    native = per_bucket("native_active", NATIVE_LABEL)
+    return native.unionByName(per_bucket("evm_active", EVM_LABEL))
 
 
 def active_accounts_series(src: Sources, period: Period) -> DataFrame:
@@ -78,21 +81,16 @@ def active_accounts_series(src: Sources, period: Period) -> DataFrame:
     )
 
 
-def _addresses_of_both(src: Sources, period: Period) -> DataFrame:
-    native = explode_actors(in_complete_buckets(src.native_actors(), TS, period))
-    evm = senders(in_complete_buckets(src.evm_tx(), TS, period))
-    return native.unionByName(evm)
-
-
 def accounts_created_total(src: Sources, period: Period) -> DataFrame:
     """Addresses seen in the complete buckets of the period; one on both chains counts once."""
-    return count_distinct(_addresses_of_both(src, period), "address", "total_new_accounts")
+    both = src.dated_keys("account", period.start, period.cutoff)
+    return count_distinct(both, "address", "total_new_accounts")
 
 
 def accounts_created_series(src: Sources, period: Period) -> DataFrame:
     """Addresses per bucket that are seen there for the first time *in the period*."""
-    new = debuts_per_bucket(
-        _addresses_of_both(src, period), "address", TS, period, "daily_new_accounts"
+    new = src.debuts("account", period).select(
+        F.col("bucket").alias("day"), F.col("n").alias("daily_new_accounts")
     )
     return new.select(
         "day",

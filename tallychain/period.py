@@ -41,6 +41,37 @@ def monday_of(day: date) -> date:
     return day - timedelta(days=day.weekday())
 
 
+def grain_floor(grain: str, day: date) -> date:
+    """Start of the bucket that holds midnight of ``day``."""
+    if grain == "month":
+        return day.replace(day=1)
+    if grain == "week":
+        return monday_of(day)
+    return day
+
+
+def grain_ceiling(grain: str, day: date) -> date:
+    """Smallest bucket start that is not before ``day``."""
+    start = grain_floor(grain, day)
+    if start == day:
+        return day
+    return months_back(start, -1) if grain == "month" else start + timedelta(days=7)
+
+
+def grain_bucket(grain: str, ts: str | Column) -> Column:
+    """Bucket start of a timestamp, without a time zone.
+
+    Whole days are counted from the local date, so no row pays for a time zone
+    conversion and no bucket depends on the session's zone.
+    """
+    local = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    day = F.to_date(local)
+    if grain == "hour":
+        return day.cast("timestamp_ntz") + F.expr("INTERVAL '1' HOUR") * F.hour(local)
+    start = day if grain == "day" else F.trunc(day, grain)
+    return start.cast("timestamp_ntz")
+
+
 @dataclass(frozen=True)
 class Period:
     """A period key seen from the day ``as_of`` (that day itself is not over yet)."""
@@ -86,11 +117,7 @@ class Period:
 
     def floor(self, day: date) -> date:
         """Start of the bucket that holds midnight of ``day``."""
-        if self.grain == "month":
-            return day.replace(day=1)
-        if self.grain == "week":
-            return monday_of(day)
-        return day
+        return grain_floor(self.grain, day)
 
     def ceiling(self, day: date) -> date:
         """Smallest bucket start that is not before ``day``.
@@ -98,22 +125,8 @@ class Period:
         ``bucket(ts) < day`` is the same as ``ts < ceiling(day)``; only the second
         form can be pushed to the scan.
         """
-        start = self.floor(day)
-        if start == day:
-            return day
-        if self.grain == "month":
-            return months_back(start, -1)
-        return start + timedelta(days=7)
+        return grain_ceiling(self.grain, day)
 
     def bucket(self, ts: str | Column) -> Column:
-        """Bucket start of a timestamp, without a time zone.
-
-        Whole days are counted from the local date, so no row pays for a time zone
-        conversion and no bucket depends on the session's zone.
-        """
-        local = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
-        day = F.to_date(local)
-        if self.grain == "hour":
-            return day.cast("timestamp_ntz") + F.expr("INTERVAL '1' HOUR") * F.hour(local)
-        start = day if self.grain == "day" else F.trunc(day, self.grain)
-        return start.cast("timestamp_ntz")
+        """Bucket start of a timestamp, without a time zone."""
+        return grain_bucket(self.grain, ts)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from abc import ABC, abstractmethod
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallychain.functions.scalars import first_element
 from tallychain.operators.accounts import explode_actors, senders
-from tallychain.operators.aggregates import first_seen
+from tallychain.operators.aggregates import debuts_per_bucket, first_seen
 from tallychain.operators.filters import PARTITION_DATE, SLACK, between, has_topic
+from tallychain.operators.sketches import sketches_per_day
+from tallychain.period import Period, grain_bucket
 from tallychain.sources.schemas import SCHEMAS
 
 # Kinds of keys whose first appearance is tracked, and the column that holds them.
@@ -21,7 +26,12 @@ FIRST_SEEN_KEYS = {
     "native_contract": "event_contract",
     # A deployed contract with its creator; whether any creator is native-owned is asked later.
     "evm_deploy": ("contract", "creator"),
+    # An address on either chain.
+    "account": "address",
 }
+# Kinds of values that are counted per bucket, and those that only daily sketches are asked for.
+BUCKET_KEYS = ("native_tx", "evm_tx", "native_active", "evm_active")
+DISTINCT_KEYS = (*BUCKET_KEYS, "native_first_actor")
 
 
 class Sources(ABC):
@@ -59,6 +69,9 @@ class Sources(ABC):
                 return between(self.native_events(), ts, lower, upper).select("event_contract", ts)
             case "evm_deploy":
                 return deploy_contracts(self, lower, upper)
+            case "account":
+                native = self.dated_keys("native_address", lower, upper)
+                return native.unionByName(self.dated_keys("evm_address", lower, upper))
         raise ValueError(f"unknown kind of key {name!r}; expected one of {tuple(FIRST_SEEN_KEYS)}")
 
     def first_seen(self, name: str, upper: date | None) -> DataFrame:
@@ -66,6 +79,53 @@ class Sources(ABC):
         rows = self.dated_keys(name, None, upper)
         return first_seen(rows, FIRST_SEEN_KEYS[name], "block_timestamp")
 
+    def debuts(self, name: str, period: Period) -> DataFrame:
+        """``bucket, n``: keys of a kind that are first seen in a complete bucket of the period."""
+        rows = self.dated_keys(name, period.start, period.cutoff)
+        key = FIRST_SEEN_KEYS[name]
+        return debuts_per_bucket(rows, key, "block_timestamp", period, "n", "bucket")
+
+    def counted_rows(self, name: str, lower: date | None, upper: date | None) -> DataFrame:
+        """``block_timestamp, key``: the values of a kind that is counted."""
+        ts = "block_timestamp"
+        match name:
+            case "native_tx":
+                rows, key = between(self.native_tx(), ts, lower, upper), F.col("tx_id")
+            case "evm_tx":
+                rows, key = between(self.evm_tx(), ts, lower, upper), F.col("tx_hash")
+            case "native_active":
+                rows, key = self.dated_keys("native_address", lower, upper), F.col("address")
+            case "evm_active":
+                rows, key = self.dated_keys("evm_address", lower, upper), F.col("address")
+            case "native_first_actor":
+                rows = between(self.native_actors(), ts, lower, upper)
+                key = first_element("actors")
+            case _:
+                raise ValueError(f"unknown kind {name!r}; expected one of {DISTINCT_KEYS}")
+        return rows.select(ts, key.alias("key"))
+
+    def grain_counts(
+        self, name: str, grain: str, lower: date | None, upper: date | None
+    ) -> DataFrame:
+        """``bucket, n``: exact distinct values per bucket, of the rows inside the bounds."""
+        rows = self.counted_rows(name, lower, upper)
+        bucket = grain_bucket(grain, "block_timestamp").alias("bucket")
+        return rows.groupBy(bucket).agg(F.countDistinct("key").alias("n"))
+
+    def bucket_counts(
+        self, name: str, period: Period, lower: date | None, upper: date | None
+    ) -> DataFrame:
+        """`grain_counts` at the grain of a period."""
+        return self.grain_counts(name, period.grain, lower, upper)
+
+    def daily_sketches(self, name: str, lower: date | None, upper: date | None) -> DataFrame:
+        """``day, sketch`` of the distinct values of each day inside the bounds."""
+        return sketches_per_day(self.counted_rows(name, lower, upper), "block_timestamp", "key")
+
+    def version(self) -> str | None:
+        """Changes whenever data is landed; None if the source cannot tell."""
+        return None
+
     @abstractmethod
     def native_actors(self) -> DataFrame: ...
 
@@ -96,6 +156,17 @@ class ParquetSources(Sources):
         # A block_date partition column is found from the folder names.
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
 
+    def version(self) -> str | None:
+        """Tells all landings so far from any others."""
+        try:
+            landings = self.spark.read.parquet(f"{self.root}/{LANDINGS}")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+        n, runs = landings.agg(F.count("run"), F.bit_xor(F.xxhash64("run"))).first()
+        return f"{n}:{runs}"
+
     def native_tx(self) -> DataFrame:
         return self._table("native_tx")
 
@@ -139,10 +210,18 @@ class ParquetSources(Sources):
 # Tables whose rows belong to a transaction, and the column that names it.
 DEPENDENT = {"native_events": "tx_id", "native_actors": "tx_id", "evm_logs": "tx_hash"}
 DEPLOY_FLAG = "is_deploy"
+#: Folder beside the tables with a row for each landing.
+LANDINGS = "landings"
+#: Bytes of a row group of landed logs: small enough that few hold rows of both flags.
+LOG_ROW_GROUP = 16 << 20
 
 
 def land_table(
-    df: DataFrame, root: str, name: str, transactions: DataFrame | None = None
+    df: DataFrame,
+    root: str,
+    name: str,
+    transactions: DataFrame | None = None,
+    row_group: int = LOG_ROW_GROUP,
 ) -> None:
     """Write rows of a source table into the day folders of their blocks.
 
@@ -150,7 +229,8 @@ def land_table(
     one, and landed again.  A table of ``DEPENDENT`` takes the day of each row's transaction
     from ``transactions`` (its key and ``block_timestamp``), unless ``df`` has ``block_date``
     already; a row whose own time lies more than a day from it is refused.  EVM logs also get
-    a flag for the deploy topic.
+    a flag for the deploy topic and are sorted by it inside their day, so the flagged ones share few
+    row groups (and pages) and scans skip the others.  Each landing is noted beside the tables.
 
     The rebalance hint groups rows by day and splits the days that are too big for
     one task, so a busy day neither makes one huge file nor one slow task.
@@ -168,13 +248,23 @@ def land_table(
         df = df.withColumn(PARTITION_DATE, _checked_day())
     if name == "evm_logs":
         df = df.withColumn(DEPLOY_FLAG, F.coalesce(has_topic("topics"), F.lit(False)))
+    rows = df.hint("rebalance", F.col(PARTITION_DATE))
+    options = {}
+    if name == "evm_logs":
+        rows = rows.sortWithinPartitions(PARTITION_DATE, DEPLOY_FLAG)
+        options = {"parquet.block.size": str(row_group)}
+    root = root.rstrip("/")
     (
-        df.hint("rebalance", F.col(PARTITION_DATE))
-        .write.partitionBy(PARTITION_DATE)
+        rows.write.partitionBy(PARTITION_DATE)
+        .options(**options)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
-        .parquet(f"{root.rstrip('/')}/{name}")
+        .parquet(f"{root}/{name}")
+    )
+    noted = df.sparkSession.range(1).select(
+        F.lit(uuid.uuid4().hex).alias("run"), F.lit(name).alias("table")
     )
+    noted.coalesce(1).write.mode("append").parquet(f"{root}/{LANDINGS}")
 
 
 def _with_transaction_day(df: DataFrame, transactions: DataFrame, key: str) -> DataFrame:

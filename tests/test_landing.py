@@ -4,6 +4,7 @@ import re
 from datetime import date
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from inline import InlineSources, actors, event, evm_tx, fee_event, native_tx, rows
 from pyspark.errors import PySparkException
@@ -14,7 +15,6 @@ from tallychain.constants import DEPLOY_TOPIC
 from tallychain.functions import scalars as fn
 from tallychain.metrics import METRICS
 from tallychain.period import Period
-from tallychain.sinks.prepared import PreparedSources
 from tallychain.sources.schemas import NATIVE_AMOUNT
 from tallychain.sources.tables import ParquetSources, land_table
 
@@ -152,18 +152,50 @@ def test_a_null_hash_is_not_excluded_by_chance(spark):
     assert [r.tx_hash for r in join_anti_not_in(source).collect()] == ["b"]
 
 
-def test_kept_tables_write_new_keys_only(spark, tmp_path):
-    base = InlineSources(
-        spark,
-        native_actors=[actors("a", "2024-06-01", "u"), actors("b", "2024-06-05", "u", "v"), actors("c", "2024-06-09", "v", "w")],
-        evm_tx=[evm_tx("e", "2024-06-01", "0x1", "0", "0x60806040"), evm_tx("e", "2024-06-05", None, "0", "0x60806040")],
-    )
-    kept = PreparedSources(base, str(tmp_path))
-    for day in (date(2024, 6, 3), date(2024, 6, 6), date(2024, 6, 10)):
-        kept = kept.advance(day)
-    taken = spark.read.parquet(f"{tmp_path}/first_seen/native_address")
-    assert {(r.address, r.taken.day) for r in taken.collect()} == {("u", 3), ("v", 6), ("w", 10)}
-    for name in ("native_address", "evm_address", "evm_deploy"):
-        for upper in (date(2024, 6, 4), date(2024, 6, 20)):
-            want = sorted(map(str, base.first_seen(name, upper).collect()))
-            assert sorted(map(str, kept.first_seen(name, upper).collect())) == want
+def test_landed_logs_share_few_row_groups_with_the_flag(spark, tmp_path):
+    """A row in a hundred has the topic: most row groups of a landed day are known to have none."""
+    logs = spark.range(200_000).select(
+        F.concat(F.lit("0x"), F.sha2(F.col("id").cast("string"), 256)).alias("tx_hash"),
+        F.concat(F.lit("0xc"), F.col("id")).alias("contract_address"),
+        F.array(F.when(F.col("id") % 100 == 0, DEPLOY_TOPIC).otherwise("0xddf252ad")).alias("topics"),
+        F.lit(date(2024, 6, 6)).alias("block_date"),
+    )
+    land_table(logs, str(tmp_path), "evm_logs", row_group=1 << 20)
+    flags = []
+    for file in (tmp_path / "evm_logs").rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        at = meta.schema.names.index("is_deploy")
+        for k in range(meta.num_row_groups):
+            stats = meta.row_group(k).column(at).statistics
+            flags.append((stats.min, stats.max, meta.row_group(k).num_rows))
+    without = sum(n for low, high, n in flags if not high)
+    assert len(flags) > 5 and without > 150_000
+    landed = ParquetSources(spark, str(tmp_path))
+    found = landed.deploy_logs()
+    assert found.count() == 2_000
+    assert scanned_rows(found) < 60_000
+    assert scanned_rows(landed.evm_logs()) == 200_000
+
+
+def scanned_rows(df):
+    """Rows that the scan hands on, before any filter."""
+    df.write.format("noop").mode("overwrite").save()
+    query = df._jdf.queryExecution().executedPlan()
+    list(df.collect())
+    nodes = [query]
+    while nodes:
+        node = nodes.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            node = node.executedPlan()
+        if node.nodeName().startswith("Scan"):
+            return node.metrics().get("numOutputRows").get().value()
+        nodes += [node.children().apply(k) for k in range(node.children().length())]
+    raise AssertionError("no scan")
+
+
+def test_landings_are_noted(spark, tmp_path):
+    source = around_midnight(spark)
+    assert ParquetSources(spark, str(tmp_path)).version() is None
+    versions = {land(source, tmp_path, (n,)).version() for n in ("native_tx", "evm_tx", "native_tx")}
+    assert len(versions) == 3
+    assert ParquetSources(spark, str(tmp_path)).version() in versions

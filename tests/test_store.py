@@ -9,6 +9,7 @@ from tallychain.metrics.transactions import tx_by_type
 from tallychain.period import Period
 from tallychain.session import shared_folder
 from tallychain.sinks.store import MetricStore, write_csv
+from tallychain.sources.tables import ParquetSources, land_table
 
 WEEK = Period("last_week", date(2024, 6, 13))
 
@@ -114,7 +115,7 @@ def test_a_broken_write_is_computed_again(spark, tmp_path):
     store = MetricStore(str(tmp_path))
     src = sources(spark, "10")
     # The folders of a run that broke off: no files at all, or results that no mark names.
-    for folder in ("results", "current"):
+    for folder in ("results", "marks"):
         (tmp_path / "tx_by_type" / folder / store._key(WEEK, {}) / "run=x").mkdir(parents=True)
     assert store.get("tx_by_type", src, WEEK).count() == 1
     assert store.get("tx_by_type", sources(spark, "10", "11"), WEEK).count() == 1
@@ -125,3 +126,44 @@ def test_stored_rows_equal_the_metric(spark, tmp_path):
     src = sources(spark, "09", "10", "11")
     stored = MetricStore(str(tmp_path)).refresh("tx_by_type", src, WEEK)
     assert rows(stored.orderBy("period")) == rows(tx_by_type(src, WEEK).orderBy("period"))
+
+
+def test_marks_are_added_and_never_changed(spark, tmp_path):
+    """A reader between two refreshes finds a result, and so does one after a broken refresh."""
+    store = MetricStore(str(tmp_path))
+    marks = tmp_path / "tx_by_type" / "marks" / store._key(WEEK, {})
+    store.refresh("tx_by_type", sources(spark, "10"), WEEK)
+    first = {p.name: p.read_bytes() for p in marks.glob("part-*")}
+    store.refresh("tx_by_type", sources(spark, "10", "11"), WEEK)
+    second = {p.name: p.read_bytes() for p in marks.glob("part-*")}
+    assert len(first) == 1 and len(second) == 2 and first.items() <= second.items()
+    assert store.get("tx_by_type", sources(spark), WEEK).count() == 2
+    # A refresh that broke off: rows without a mark, and a mark that was not completed.
+    broken = tmp_path / "tx_by_type" / "results" / store._key(WEEK, {}) / "run=broken"
+    sources(spark, "12").native_tx().write.parquet(str(broken))
+    (marks / "_temporary" / "0").mkdir(parents=True)
+    assert store.get("tx_by_type", sources(spark), WEEK).count() == 2
+    # Two refreshes that took the same number: all readers agree.
+    spark.createDataFrame([(2, "0", None, "{}")], "number long, run string, version string, given string"
+                          ).write.mode("append").parquet(str(marks))
+    assert store.get("tx_by_type", sources(spark), WEEK).count() == 2
+
+
+def test_new_data_is_noticed_and_options_are_refreshed(spark, tmp_path):
+    root, store = tmp_path / "chain", MetricStore(str(tmp_path / "store"))
+    landed = ParquetSources(spark, str(root))
+    for day, n in (("10", 1), ("11", 2)):
+        land_table(sources(spark, day).native_tx(), str(root), "native_tx")
+        land_table(sources(spark, day).evm_tx().limit(0), str(root), "evm_tx")
+        assert store.get("tx_kpis", landed, WEEK).collect()[0].cadence == n
+    runs = len(list((tmp_path / "store").rglob("run=*")))
+    assert store.get("tx_kpis", landed, WEEK).collect()[0].cadence == 2
+    assert len(list((tmp_path / "store").rglob("run=*"))) == runs
+    src = sources(spark, "10")
+    other = MetricStore(str(tmp_path / "other"))
+    other.get("contracts_by_type", src, WEEK, coa_prefix="0xaa")
+    other.refresh_all(src, [WEEK])
+    marks = spark.read.parquet(str(tmp_path / "other" / "contracts_by_type" / "marks"))
+    assert sorted((r.given, r.number) for r in marks.collect()) == [
+        ('{"coa_prefix": "0xaa"}', 1), ('{"coa_prefix": "0xaa"}', 2), ("{}", 1),
+    ]
