@@ -17,7 +17,7 @@ from tallychain.constants import (
 from tallychain.functions.scalars import floor_at_zero, trunc_date
 from tallychain.operators.windows import cumulative
 from tallychain.period import Period
-from tallychain.sources.payloads import market_daily, tvl_points
+from tallychain.sources.payloads import daily_points, highest_locked
 from tallychain.sources.tables import Sources
 
 
@@ -60,12 +60,12 @@ def supply_series(
     ``tvl_in_tokens`` it is divided by the day's price first.  If any part of a day is
     missing, its remainder and free circulation are NULL.
     """
-    market = market_daily(src.market_payload()).where(F.col("date") < F.lit(period.as_of))
+    market = daily_points(src.market_series()).where(F.col("date") < F.lit(period.as_of))
     locked = F.col("protocol_locked")
     if tvl_in_tokens:
         locked = locked / F.nullif(F.col("price"), F.lit(0.0))
     days = (
-        market.join(tvl_points(src.tvl_payload()), "date", "left")
+        market.join(highest_locked(src.tvl_values()), "date", "left")
         .join(staked_by_day(src, staked_base), "date", "left")
         .select(
             "date",

@@ -20,10 +20,10 @@ from tallychain.constants import (
     WITHDRAW_ACTIONS,
 )
 from tallychain.functions import scalars as fn
-from tallychain.metrics import transactions
+from tallychain.metrics import accounts, transactions
 from tallychain.metrics.supply import latest_before
 from tallychain.operators import aggregates as agg
-from tallychain.operators import deploys, joins, weeks, windows
+from tallychain.operators import deploys, joins, sketches, weeks, windows
 from tallychain.operators.accounts import explode_actors, senders
 from tallychain.operators.filters import (
     PARTITION_DATE,
@@ -37,8 +37,11 @@ from tallychain.operators.filters import (
 from tallychain.period import PERIOD_KEYS, Period, monday_of
 from tallychain.registry.base import check
 from tallychain.registry.metric_checks import ROLL, SIGNATURES, TOPIC_MATCH, _day
+from tallychain.registry.metric_checks import accounts_created_series as accounts_created_series_sql
+from tallychain.registry.metric_checks import active_accounts_series as active_accounts_series_sql
 from tallychain.registry.metric_checks import tx_by_type as tx_by_type_sql
 from tallychain.session import shared_folder
+from tallychain.sinks.prepared import PreparedSources
 from tallychain.sinks.store import MetricStore, write_csv
 from tallychain.sources import fixtures as fx
 from tallychain.sources.fixtures import EventSources, OrderSources
@@ -1031,6 +1034,56 @@ def fn_json_path(src: OrderSources) -> DataFrame:
     )
 
 
+@check(
+    "agg_distinct_sketch",
+    """SELECT date_trunc('month', block_timestamp) AS month, count(DISTINCT from_address) AS senders,
+              true AS close
+       FROM evm_tx GROUP BY 1""",
+)
+def agg_distinct_sketch(src: OrderSources) -> DataFrame:
+    """Senders per month, exactly, and whether merged daily sketches come within 2 %."""
+    exact = src.grain_counts("evm_active", "month", None, None)
+    daily = src.daily_sketches("evm_active", None, None)
+    close = sketches.approx_distinct_per_bucket(daily, ALL).withColumnRenamed("n", "about")
+    far = F.abs(F.col("about") - F.col("n")) > 0.02 * F.col("n")
+    return exact.join(close, "bucket").select(
+        F.col("bucket").alias("month"), F.col("n").alias("senders"), (~far).alias("close")
+    )
+
+
+@check(
+    "kept_series",
+    f"""WITH a AS ({tx_by_type_sql(ALL)}), b AS ({active_accounts_series_sql(ALL)}),
+             c AS ({accounts_created_series_sql(ALL)})
+        SELECT period AS bucket, 'transactions ' || type AS series, transactions AS n FROM a
+        UNION ALL SELECT day, 'active ' || type, active_users FROM b
+        UNION ALL SELECT day, 'new', daily_new_accounts FROM c""",
+)
+def kept_series(src: OrderSources) -> DataFrame:
+    """Series over kept buckets, after two steps that take in most of the history."""
+    root = f"{shared_folder(src.spark, local_fallback=True)}/kept"
+    kept = PreparedSources(src, root).advance(date(1997, 2, 11)).advance(date(2001, 6, 20))
+    active = accounts.active_accounts_series(kept, ALL)
+    new = accounts.accounts_created_series(kept, ALL)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            transactions.tx_by_type(kept, ALL).select(
+                F.col("period").alias("bucket"), F.concat(F.lit("transactions "), "type").alias("series"),
+                F.col("transactions").alias("n"),
+            ),
+            active.select(
+                F.col("day").alias("bucket"), F.concat(F.lit("active "), "type").alias("series"),
+                F.col("active_users").alias("n"),
+            ),
+            new.select(
+                F.col("day").alias("bucket"), F.lit("new").alias("series"),
+                F.col("daily_new_accounts").alias("n"),
+            ),
+        ],
+    )
+
+
 def _spelled_amounts(src: OrderSources) -> DataFrame:
     """Amounts of all lines in the spellings that JSON has; lines 5 to 7 cannot be read."""
     line = F.col("l_linenumber")

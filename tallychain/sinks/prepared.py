@@ -104,6 +104,12 @@ class PreparedSources(Sources):
     def tvl_payload(self) -> DataFrame:
         return self.base.tvl_payload()
 
+    def market_series(self) -> DataFrame:
+        return self.base.market_series()
+
+    def tvl_values(self) -> DataFrame:
+        return self.base.tvl_values()
+
     # ---- steps ---------------------------------------------------------------------------
 
     def advance(self, upto: date) -> PreparedSources:

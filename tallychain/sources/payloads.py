@@ -6,11 +6,12 @@ zone cannot move a point to another day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallychain.functions.scalars import epoch_millis_to_date, epoch_seconds_to_date
 from tallychain.sources.schemas import MARKET_PAYLOAD, TVL_PAYLOAD
+from tallychain.sources.split_json import LISTS, OBJECTS, array_items
 
 MARKET_SERIES = ("prices", "market_caps", "total_volumes")
 
@@ -40,7 +41,23 @@ def market_series(payloads: DataFrame) -> DataFrame:
     )
 
 
+def split_market_series(spark: SparkSession, path: str) -> DataFrame:
+    """`market_series` of the files below ``path``, each read by as many tasks as it has splits."""
+    items = array_items(spark, path, LISTS).where(F.col("name").isin(*MARKET_SERIES))
+    point = F.from_json("item", "array<double>", {"mode": "FAILFAST"})
+    return items.select(F.col("name").alias("series"), point.alias("point")).select(
+        "series",
+        epoch_millis_to_date(F.get("point", 0)).alias("date"),
+        F.get("point", 1).alias("value"),
+    )
+
+
 def market_daily(payloads: DataFrame) -> DataFrame:
+    """`daily_points` of whole documents."""
+    return daily_points(market_series(payloads))
+
+
+def daily_points(series: DataFrame) -> DataFrame:
     """One row per day that has a point in all three series.
 
     Columns ``date, price, market_cap, volume`` (the highest point of the day) and
@@ -55,8 +72,7 @@ def market_daily(payloads: DataFrame) -> DataFrame:
     cap = F.when(F.col("series") == "market_caps", value)
     volume = F.when(F.col("series") == "total_volumes", value)
     per_day = (
-        market_series(payloads)
-        .groupBy("date")
+        series.groupBy("date")
         .agg(
             F.max(price).alias("price"),
             F.max(cap).alias("market_cap"),
@@ -88,9 +104,23 @@ def market_points(payloads: DataFrame) -> DataFrame:
 
 def tvl_points(payloads: DataFrame) -> DataFrame:
     """``date, protocol_locked``; a day reported more than once keeps its highest value."""
+    return highest_locked(tvl_values(payloads))
+
+
+def tvl_values(payloads: DataFrame) -> DataFrame:
+    """``date`` (epoch seconds) and ``tvl`` of all points."""
+    return _parse(payloads, TVL_PAYLOAD).select(F.inline("doc.data"))
+
+
+def split_tvl_values(spark: SparkSession, path: str) -> DataFrame:
+    """`tvl_values` of the files below ``path``, each read by as many tasks as it has splits."""
+    items = array_items(spark, path, OBJECTS).where(F.col("name") == "data")
+    point = F.from_json("item", "date bigint, tvl double", {"mode": "FAILFAST"})
+    return items.select(point.alias("point")).select("point.*")
+
+
+def highest_locked(values: DataFrame) -> DataFrame:
     return (
-        _parse(payloads, TVL_PAYLOAD)
-        .select(F.inline("doc.data"))
-        .groupBy(epoch_seconds_to_date(F.col("date")).alias("date"))
+        values.groupBy(epoch_seconds_to_date(F.col("date")).alias("date"))
         .agg(F.max("tvl").alias("protocol_locked"))
     )

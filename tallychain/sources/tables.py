@@ -17,6 +17,7 @@ from tallychain.operators.aggregates import debuts_per_bucket, first_seen
 from tallychain.operators.filters import PARTITION_DATE, SLACK, between, has_topic
 from tallychain.operators.sketches import sketches_per_day
 from tallychain.period import Period, grain_bucket
+from tallychain.sources import payloads
 from tallychain.sources.schemas import SCHEMAS
 
 # Kinds of keys whose first appearance is tracked, and the column that holds them.
@@ -140,6 +141,14 @@ class Sources(ABC):
     def tvl_payload(self) -> DataFrame:
         """One JSON document per row, in the column ``payload``."""
 
+    def market_series(self) -> DataFrame:
+        """``series, date, value``: all points of the market documents."""
+        return payloads.market_series(self.market_payload())
+
+    def tvl_values(self) -> DataFrame:
+        """``date, tvl``: all points of the locked-value documents."""
+        return payloads.tvl_values(self.tvl_payload())
+
 
 class ParquetSources(Sources):
     """Tables under one root folder: ``<root>/<table>`` and ``<root>/<payload>`` (JSON files).
@@ -206,6 +215,12 @@ class ParquetSources(Sources):
     def tvl_payload(self) -> DataFrame:
         return self._documents("tvl_payload")
 
+    def market_series(self) -> DataFrame:
+        return payloads.split_market_series(self.spark, f"{self.root}/market_payload")
+
+    def tvl_values(self) -> DataFrame:
+        return payloads.split_tvl_values(self.spark, f"{self.root}/tvl_payload")
+
 
 # Tables whose rows belong to a transaction, and the column that names it.
 DEPENDENT = {"native_events": "tx_id", "native_actors": "tx_id", "evm_logs": "tx_hash"}
