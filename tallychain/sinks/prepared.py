@@ -131,7 +131,7 @@ class PreparedSources(Sources):
         for name in DISTINCT_KEYS:
             sketches = self.base.daily_sketches(name, self.upto, upto)
             sketches.write.parquet(f"{folder}/sketches/{name}")
-        self._write_deploy_logs(folder, upto)
+        self._write_deploy_logs(step, upto)
         steps = (*self.steps, step)
         entry = self.spark.createDataFrame(
             [(step.name, upto, [(s.name, s.upto) for s in steps])],
@@ -248,13 +248,17 @@ class PreparedSources(Sources):
 
     # ---- deploy logs ---------------------------------------------------------------------
 
-    def _write_deploy_logs(self, folder: str, upto: date) -> None:
+    @property
+    def _deploy_logs(self) -> str:
+        return f"{self.root}/deploy_logs"
+
+    def _write_deploy_logs(self, step: Step, upto: date) -> None:
         logs = self.base.deploy_logs()
         if PARTITION_DATE not in logs.columns:
             return
         days = between(logs, PARTITION_DATE, self.upto, upto)
         days.hint("rebalance", F.col(PARTITION_DATE)).write.partitionBy(PARTITION_DATE).parquet(
-            f"{folder}/deploy_logs"
+            f"{self._deploy_logs}/step={step.name}"
         )
 
     def deploy_logs(self) -> DataFrame:
@@ -265,5 +269,8 @@ class PreparedSources(Sources):
         logs = self.base.deploy_logs()
         if self.upto is None or PARTITION_DATE not in logs.columns:
             return logs
-        kept = self._kept("deploy_logs", logs)
+        folders = [f"{self._deploy_logs}/step={s.name}" for s in self.steps]
+        # Day folders below several steps: one table, of which only these steps are read.
+        kept = self.spark.read.schema(logs.schema).option("basePath", self._deploy_logs)
+        kept = kept.parquet(*folders).select(logs.columns)
         return kept.unionByName(between(logs, PARTITION_DATE, lower=self.upto))
