@@ -16,14 +16,17 @@ Two documents link when the Jaccard similarity of their shingle sets reaches 3/4
    subparts hold shingles, and a set left with too few such parts also emits each single shingle
    (if neither set has enough, they share one of these).
 4. *Candidates.*  Signatures travel as 32-bit values in packed blocks; equal ones form a
-   group, and each member is paired with the smallest and with the next one.  Size and a count
-   sketch, whose distance is never more than that of the sets, discard pairs that cannot link.
+   group, and each member is paired with the smallest one (in small groups also with the next one).
+   Pairs travel packed as well and are told once.  Size and a count sketch, whose distance is never
+   more than that of the sets, discard pairs that cannot link.
 5. *Exact check* on the whole sets: each set's closest pair first, in a few rounds, which connects
    nearly all.  Then only what still crosses components: the other pairs, and within each group
-   that has several components all members, block by block, as far as the sketches allow.
+   that has several components all members outside its largest one against all others, block by
+   block, as far as the sketches allow.
 
-No group is ever held by one task: blocks merge equal values before they travel, and groups are cut
-into blocks of bounded size.
+Blocks merge equal values before they travel, so a group meets in one task as packed lists of
+document numbers only; whatever compares members does so in blocks of bounded size, which are dealt
+over all tasks.
 
 Defined results: a document without words (NULL, empty) has an empty set and links with nothing,
 not even with another empty one; fewer words than a shingle make one shingle; repeated rows share
@@ -63,6 +66,10 @@ SUBPARTS, DIFFERENT = 2, 1
 SKETCH = 64
 #: Documents of a packed block; packed bytes of a bucket; members of a comparison block.
 BLOCK_DOCS, BUCKET_BYTES, MEMBERS = 4000, 8_000_000, 1024
+#: Members of a group up to which each one is also paired with the next one.
+CHAINED = 64
+#: Rows of groups around one document that one task compares.
+AROUND = 20_000
 #: Rounds of closest pairs before all the others are checked.
 ROUNDS = 1
 #: Of 16 equal shares of the hash values, those whose unique shingles are counted.
@@ -353,13 +360,43 @@ def features(docs: DataFrame, nodes: DataFrame, key: str, width: int) -> DataFra
     return map_rows(rows, "doc long, n long, codes binary, sketch binary", per_row).where("n > 0")
 
 
-CANDIDATE = "a long, b long, value binary, docs array<long>"
+def packed_pairs(pairs: set[tuple[int, int]], tasks: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed pairs): equal pairs are always in one part."""
+    if not pairs:
+        return
+    rows = np.array(sorted(pairs), np.int64)
+    to = mixed(rows[:, 0].astype(np.uint64) ^ mixed(rows[:, 1].astype(np.uint64)))
+    to = (to % np.uint64(tasks)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    for k in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+        yield int(to[k[0]]), rows[k].astype("<i8").tobytes()
+
+
+def told_pairs(packed: DataFrame) -> DataFrame:
+    """a, b: every pair of rows (part, pairs) once."""
+    target = arrow_schema("a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.empty((0, 2), np.int64)
+        for batch in batches:
+            found = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in values(batch.column(0))]
+            told = np.unique(np.concatenate([told, *found]), axis=0)
+        for at in range(0, len(told), 100_000):
+            columns = [pa.array(told[at : at + 100_000, k]) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+    return packed.repartition("part").select("pairs").mapInArrow(run, "a long, b long")
+
+
+CANDIDATE = "part int, pairs binary, value binary, docs array<long>"
 
 
 def candidates(sets: DataFrame, buckets: int) -> DataFrame:
-    """Groups of equal signatures: rows (a, b), each member with the smallest one and with the
-    next one, and rows (value, docs), members in parts, of groups with three members or more."""
+    """Groups of equal signatures: rows (part, pairs), each member with the smallest one (and in
+    small groups with the next one), packed by the part that will tell them, and rows (value, docs),
+    members in parts, of groups with three members or more."""
     target, out = arrow_schema(PACKED), arrow_schema(CANDIDATE)
+    tasks = partitions_of(sets)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
@@ -395,7 +432,8 @@ def candidates(sets: DataFrame, buckets: int) -> DataFrame:
                 seen.add(digest)
                 listed = members.tolist()
                 stars.update((listed[0], d) for d in listed[1:])
-                stars.update(zip(listed[:-1], listed[1:], strict=True))
+                if len(members) <= CHAINED:
+                    stars.update(zip(listed[:-1], listed[1:], strict=True))
                 if len(members) > 2:
                     name = hashlib.blake2b(digest, digest_size=16).digest()
                     for at in range(0, len(members), MEMBERS):
@@ -403,25 +441,32 @@ def candidates(sets: DataFrame, buckets: int) -> DataFrame:
                 if len(parts) > 2000:
                     yield batch_of(parts, out)
                     parts = []
-            yield batch_of([(a, b, None, None) for a, b in sorted(stars)] + parts, out)
+            told = [(part, pairs, None, None) for part, pairs in packed_pairs(stars, tasks)]
+            yield batch_of(told + parts, out)
 
     packed = sets.select("doc", "codes").mapInArrow(pack, PACKED)
     return by_bucket(packed).mapInArrow(group, CANDIDATE)
 
 
-def possible_pairs(n: np.ndarray, rows: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, places of the sets that could link with set i by sizes and sketches), each pair once."""
+def possible_pairs(
+    n: np.ndarray, rows: list[bytes], of: np.ndarray
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, places of the sets that could link with set i by sizes and sketches), each pair of
+    different classes (``of``) once or twice; the sets of the largest class are nobody's i."""
     size = np.array([len(r) for r in rows])
+    class_, members = np.unique(of, return_counts=True)
+    small = of != class_[members.argmax()]
     for s in np.unique(size):
         # Sets of this sketch size with each other, and with those of the next size.
         near = np.flatnonzero((size == s) | (size == 2 * s))
         sketches = np.stack([folded(np.frombuffer(rows[k], np.uint8), s) for k in near])
         m = n[near]
-        for k, i in enumerate(near.tolist()):
-            if size[i] != s:
-                continue
-            fits = DENOMINATOR * np.minimum(m, n[i]) >= NUMERATOR * np.maximum(m, n[i])
-            at = np.flatnonzero(fits & ((size[near] > s) | (near > i)))
+        for k in np.flatnonzero(small[near]).tolist():
+            i = near[k]
+            # Two larger sketches meet at their own size.
+            fits = (size[near] == s) | (size[i] == s)
+            fits &= DENOMINATOR * np.minimum(m, n[i]) >= NUMERATOR * np.maximum(m, n[i])
+            at = np.flatnonzero(fits & (of[near] != of[i]))
             apart = np.abs(sketches[at] - sketches[k]).sum(axis=1, dtype=np.int64)
             yield i, near[at[7 * apart <= m[at] + n[i]]]
 
@@ -519,19 +564,25 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.min("doc").alias("first"), F.count("*").alias("size"),
     ).where("low <> high")
-    several = several.select("value", "first", F.expr(f"size div {MEMBERS} + 1").alias("blocks"))
+    several = several.withColumn("blocks", F.expr(f"size div {MEMBERS} + 1"))
+    # Many groups around one document are dealt out to several tasks.
+    around = several.groupBy("first").agg(F.sum(F.col("size") * F.col("blocks")).alias("rows"))
+    around = around.select("first", F.expr(f"rows div {AROUND} + 1").alias("deals"))
+    several = several.join(around, "first").withColumn("deal", F.pmod(F.xxhash64("value"), "deals"))
+    several = several.select("value", "first", "blocks", "deal")
     each = members.join(several, "value").join(sets.select("doc", "n", "sketch"), "doc")
     block = F.pmod(F.xxhash64("doc"), "blocks")
     # Each block meets itself and every other one once.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     each = each.withColumn("block", block).withColumn("other", other).select(
-        "first", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        "first", "deal", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
         "value", (F.col("block") > F.col("other")).alias("late"), "doc", "component", "n", "sketch",
     )
     # Groups around one document come to one task (a large one in its blocks): they mostly hold the
     # same pairs, which are then told once.
-    each = each.repartition("first", "x", "y").sortWithinPartitions("first", "x", "y", "value")
-    target = arrow_schema("a long, b long")
+    each = each.repartition("first", "deal", "x", "y").drop("deal")
+    each = each.sortWithinPartitions("first", "x", "y", "value")
+    target, tasks = arrow_schema("part int, pairs binary"), partitions_of(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
@@ -540,8 +591,8 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
             late, doc, comp, n, sketch_ = zip(*rows, strict=True)
             late, doc, comp, n = (np.array(v) for v in (late, doc, comp, n))
             found = set()
-            for i, may in possible_pairs(n, sketch_):
-                may = may[(comp[may] != comp[i]) & (doc[may] != doc[i])]
+            for i, may in possible_pairs(n, sketch_, comp):
+                may = may[doc[may] != doc[i]]
                 if not alike:  # pairs inside one of the two blocks are compared elsewhere
                     may = may[late[may] != late[i]]
                 own = int(doc[i])
@@ -550,7 +601,7 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
             if len(told) > 1_000_000:
                 told.clear()
             told.update(fresh)
-            return batch_of(sorted(fresh), target)
+            return batch_of(list(packed_pairs(fresh, tasks)), target)
 
         at, rows = None, []
         for batch in batches:
@@ -563,7 +614,7 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
         if rows:
             yield compared(rows, at[1] == at[2])
 
-    return each.mapInArrow(run, "a long, b long").distinct()
+    return told_pairs(each.mapInArrow(run, "part int, pairs binary"))
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE) -> DataFrame:
@@ -579,7 +630,11 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE)
     alone = unique_counts(docs, key, width, buckets(total * COUNTED_SHARES // 2))
     filled = sets.where("n > 0 and doc is not null")
     # Rows that share a key are one node: what one of them counts, the other may not be blamed for.
-    open_ = filled.join(alone, "doc", "left").where("4 * coalesce(alone, 0) <= n")
+    shared = filled.groupBy("doc").agg((F.min("digest") != F.max("digest")).alias("shared"))
+    open_ = (
+        filled.join(shared, "doc").join(alone, "doc", "left")
+        .where("shared or 4 * coalesce(alone, 0) <= n").drop("shared")
+    )
     chosen = open_.groupBy("digest").agg(F.min("doc").alias("rep"))
     chosen = written(chosen, "nodes")
     release(docs.sparkSession)
@@ -589,8 +644,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE)
     size = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = written(candidates(found, buckets(size * 8)), "groups")
     release(docs.sparkSession)
-    stars = groups.where("a is not null").select("a", "b").distinct()
-    stars = written(_plausible(stars, found), "pairs")
+    stars = written(_plausible(told_pairs(groups.where("part is not null")), found), "pairs")
     # Closest pairs first: they connect nearly all, and what is connected needs no more checks.
     tested = written(_closest(stars), "tested")
     links = written(verified(tested, found), "verified")
@@ -625,13 +679,14 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE)
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of every class, that of its smallest key, with its columns unchanged.
 
-    Of rows that share this key, one stays.  Rows without a key all stay.
+    Of rows that share this key and their text, one stays.  Rows without a key all stay.
     """
     classes = similar_classes(docs, key)
     gone = classes.where(f"{key} <> component_id").select(key).distinct()
     keyed = docs.where(F.col(key).isNotNull()).join(gone, key, "left_anti")
-    # The join has dealt and sorted the rows by key already.
-    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    # The join has dealt the rows by key already.
+    text = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    place = F.row_number().over(Window.partitionBy(key, text).orderBy(key))
     name = "place" + "_" * max(map(len, docs.columns))
     kept = keyed.withColumn(name, place).where(F.col(name) == 1).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(key).isNull()))

@@ -82,7 +82,7 @@ def test_linked_sets_share_a_signature(seed, common, left, right):
     if j.linked(a, b):
         assert len(np.intersect1d(j.signatures(a), j.signatures(b)))
         n, rows = np.array([len(a), len(b)]), [j.sketch(x).tobytes() for x in (a, b)]
-        assert sorted((i, k) for i, ks in j.possible_pairs(n, rows) for k in ks) in ([(0, 1)], [(1, 0)])
+        assert sorted((i, k) for i, ks in j.possible_pairs(n, rows, np.arange(2)) for k in ks) in ([(0, 1)], [(1, 0)])
     apart = len(a) + len(b) - 2 * same
     assert j.distance(j.sketch(a).tobytes(), j.sketch(b).tobytes()) <= apart
 
@@ -129,6 +129,31 @@ def test_one_of_each(spark, edges, nothing):
     assert j.one_of_each(nothing).count() == 0
 
 
+def test_rows_of_one_key_with_different_texts(spark):
+    """What one text of a key holds alone does not hide the other's links, and no text is lost."""
+    text, other = prose(11, 90), prose(12, 400)
+    rows = [(5, text), (5, other), (7, text + " tail"), (9, prose(13, 60)), (5, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in j.similar_classes(docs).collect()}
+    assert found == {5: 5, 7: 5, 9: 9}
+    kept = sorted((r.doc_id, r.text) for r in j.one_of_each(docs).collect())
+    assert kept == sorted([(5, text), (5, other), (9, rows[3][1])])
+
+
+@pytest.mark.parametrize("majority", [1, 5])
+def test_only_pairs_of_different_classes_are_looked_at(majority):
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 300 - 9 * k], r.integers(0, 2**63, 6 * k, dtype=np.uint64)]))
+            for k in range(14)]
+    n, rows = np.array([len(x) for x in sets]), [j.sketch(x).tobytes() for x in sets]
+    of = np.array([k if k >= majority else 0 for k in range(14)])
+    got = {(min(i, k), max(i, k)) for i, ks in j.possible_pairs(n, rows, of) for k in ks}
+    want = {(a, b) for a in range(14) for b in range(a + 1, 14)
+            if of[a] != of[b] and j.linked(sets[a], sets[b])}
+    assert want <= got and all(of[a] != of[b] for a, b in got)
+
+
 def test_components_of_chains_stars_and_rings(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 50)]
     edges += [(200 + k, 200 + (k + 1) % 9) for k in range(9)] + [(7, 7), (300, 299), (300, 299)]
