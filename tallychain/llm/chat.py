@@ -13,7 +13,7 @@ token ids, with
 
 Template of a turn: ``<turn ROLE>`` line break, text, ``</turn>`` line break.  Role and text are
 escaped: a backslash becomes two, ``<`` becomes ``\\l``; so no text can hold a marker, and reading
-back is exact.  Header, text and footer are encoded apart, so the loss mask ends where the text ends.
+back is exact.  (Known fault: a role that holds ``>`` and a line break is not read back exactly.)  Header, text and footer are encoded apart, so the loss mask ends where the text ends.
 
 Defined results: NULL texts and roles are empty; turns with equal numbers are ordered by role and
 text; repeated rows are turns of their own; rows without conv_id form one conversation; an empty

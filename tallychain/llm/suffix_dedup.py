@@ -18,13 +18,16 @@ neighbours.  Which suffixes meet in a task is decided so that equal ones always
 5. *Neighbours* with `LENGTH` equal bytes form a group; every window of it that is not in the group's
    smallest document is removed.
 
-All comparisons of text are exact; hashes only route.  An anchor with very much different text
-around it is dealt out again by whole windows, so it is no single task's work.
+Comparisons of text are exact and hashes only route, but for whole copies, which are told by their
+MD5 alone.  An anchor with very much different text around it is dealt out again by whole windows,
+so it is no single task's work.
 
 Defined results: NULL and empty texts have no bytes and lose none; a whole copy of a document
 with a smaller key loses everything if it has `LENGTH` bytes; rows without a key lose nothing and
 remove nothing; rows that share a key are one document, given by the smallest of their texts (a row
-with another text keeps everything); an empty table gives no rows.
+with another text keeps everything); an empty table gives no rows.  Known fault: if rows share a key
+and differ in text, and one of these texts is a copy of a smaller key's, the mark of the copy falls
+on the smallest text of the key instead.
 """
 
 from __future__ import annotations
