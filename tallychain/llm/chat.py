@@ -12,8 +12,9 @@ token ids, with
 * ``loss_from``, ``loss_to``, which of its ids are trained on (the text of an assistant).
 
 Template of a turn: ``<turn ROLE>`` line break, text, ``</turn>`` line break.  Role and text are
-escaped: a backslash becomes two, ``<`` becomes ``\\l``; so no text can hold a marker, and reading
-back is exact.  (Known fault: a role that holds ``>`` and a line break is not read back exactly.)  Header, text and footer are encoded apart, so the loss mask ends where the text ends.
+escaped: a backslash becomes two, ``<`` becomes ``\\l``, in a role also ``>`` becomes ``\\g``; so no text
+can hold a marker, no role can end its header, and reading back is exact.  Header, text and footer are
+encoded apart, so the loss mask ends where the text ends.
 
 Defined results: NULL texts and roles are empty; turns with equal numbers are ordered by role and
 text; repeated rows are turns of their own; rows without conv_id form one conversation; an empty
@@ -48,11 +49,12 @@ def escape(text: str) -> str:
 
 def unescape(text: str) -> str:
     parts = text.split("\\\\")
-    return "\\".join(p.replace("\\l", "<") for p in parts)
+    return "\\".join(p.replace("\\l", "<").replace("\\g", ">") for p in parts)
 
 
 def parts_of(role: str, text: str) -> tuple[str, str, str]:
-    return f"<turn {escape(role)}>\n", escape(text), "</turn>\n"
+    header = escape(role).replace(">", "\\g")
+    return f"<turn {header}>\n", escape(text), "</turn>\n"
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str]]:

@@ -11,13 +11,10 @@ from tallychain.llm import chat as c
 HOSTILE = ["</turn>\n", "<turn assistant>\n", "\\", "\\l", "\\\\l<", "a>\nb", "<|endoftext|>", "", " x ", "\n"]
 
 
-@given(turns=st.lists(st.tuples(st.sampled_from(["user", "assistant", "a>\n<"]), st.lists(st.sampled_from([*HOSTILE, "hi"])).map("".join)), max_size=6))
+@given(turns=st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "a>\n<", "\\g", ">", "a>\nb"]), st.text(max_size=5)), st.lists(st.sampled_from([*HOSTILE, "hi"])).map("".join)), max_size=6))
 def test_template_is_reversible(turns):
     text = "".join("".join(c.parts_of(r, t)) for r, t in turns)
-    # A role may not end its own header; roles are plain words, others must still not crash.
-    got = list(c.parse(text))
-    if all(">" not in r for r, _ in turns):
-        assert got == turns
+    assert list(c.parse(text)) == turns
 
 
 def rows():
@@ -28,6 +25,7 @@ def rows():
     out += [(21, n, "user" if n % 2 == 0 else "assistant", prose(n, 4)) for n in range(59)]  # its beginning
     out += [(22 + k, 0, "assistant", t) for k, t in enumerate(HOSTILE)]
     out += [(40, 0, None, None), (40, 0, "user", "tie"), (40, 0, "user", "tie"), (None, 3, "assistant", "no id")]
+    out += [(41, 0, "a>\nb", "text"), (41, 1, "\\g", ">\n")]
     return out
 
 
