@@ -18,16 +18,14 @@ neighbours.  Which suffixes meet in a task is decided so that equal ones always
 5. *Neighbours* with `LENGTH` equal bytes form a group; every window of it that is not in the group's
    smallest document is removed.
 
-Comparisons of text are exact and hashes only route, but for whole copies, which are told by their
-MD5 alone.  An anchor with very much different text around it is dealt out again by whole windows,
+Comparisons of text are exact and hashes only route, but for whole copies, which are told by length
+and SHA-256.  An anchor with very much different text around it is dealt out again by whole windows,
 so it is no single task's work.
 
 Defined results: NULL and empty texts have no bytes and lose none; a whole copy of a document
 with a smaller key loses everything if it has `LENGTH` bytes; rows without a key lose nothing and
 remove nothing; rows that share a key are one document, given by the smallest of their texts (a row
-with another text keeps everything); an empty table gives no rows.  Known fault: if rows share a key
-and differ in text, and one of these texts is a copy of a smaller key's, the mark of the copy falls
-on the smallest text of the key instead.
+with another text keeps everything and removes nothing); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,6 +61,8 @@ SORT_CHARS = 1_900_000
 TOGETHER_CHARS = 300_000
 #: Packed bytes of a bucket, and those of text beyond which a bucket is dealt out by windows.
 BUCKET_BYTES, LIMIT_BYTES = 16_000_000, 96_000_000
+#: Places of windows that are held at once when a bucket is dealt out by windows.
+PORTION_WINDOWS = 500_000
 
 
 # --- the difference cover ------------------------------------------------------------------
@@ -284,7 +284,7 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
 
 def repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
     """doc, kind (`FOUND`), data: 32 bits of each anchor that several documents have."""
-    target, meet, tasks = arrow_schema(PACKED), arrow_schema(MEET), partitions_of(texts)
+    target, tasks = arrow_schema(PACKED), partitions_of(texts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, block in _text_blocks(batches):
@@ -342,11 +342,22 @@ def repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
             # Packed for the tasks that gather them: no row for each document and bucket.
             to: dict[int, list[bytes]] = {}
             for doc, _, data in out:
-                head = doc.to_bytes(8, "little", signed=True) + len(data).to_bytes(4, "little")
-                to.setdefault(doc % tasks, []).append(head + data)
+                to.setdefault(doc % tasks, []).append(_entry(doc, data))
             rows = [(k, KNOWN, b"".join(parts)) for k, parts in to.items()]
             yield batch_of(rows, target)
 
+    return _gathered(_by_bucket(texts.mapInArrow(pack, PACKED)).mapInArrow(count, PACKED))
+
+
+def _entry(doc: int, data: bytes) -> bytes:
+    """What was found for a document, as one of many in a packed row."""
+    return doc.to_bytes(8, "little", signed=True) + len(data).to_bytes(4, "little") + data
+
+
+def _gathered(packed: DataFrame) -> DataFrame:
+    """doc, kind (`FOUND`), data: the entries of rows of `PACKED`, joined by document in blocks."""
+    target = arrow_schema(MEET)
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[bytes]] = {}
         size = 0
@@ -360,12 +371,11 @@ def repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
                     at += 12 + n
                 size += len(data)
                 if size > BLOCK_BYTES:
-                    yield batch_of([(d, FOUND, b"".join(p)) for d, p in found.items()], meet)
+                    yield batch_of([(d, FOUND, b"".join(p)) for d, p in found.items()], target)
                     found, size = {}, 0
-        yield batch_of([(d, FOUND, b"".join(p)) for d, p in found.items()], meet)
+        yield batch_of([(d, FOUND, b"".join(p)) for d, p in found.items()], target)
 
-    counted = _by_bucket(texts.mapInArrow(pack, PACKED)).mapInArrow(count, PACKED)
-    return counted.repartition("bucket").mapInArrow(gather, MEET)
+    return packed.repartition("bucket").mapInArrow(gather, MEET)
 
 
 def _rows_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -384,9 +394,33 @@ def _rows_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 # --- 3: pieces ------------------------------------------------------------------------------
 
 
-def _packed_pieces(pieces: dict[bytes, list[tuple[int, int]]], codes: dict[bytes, int], buckets: int):
-    """Rows of `PACKED`; every piece with the places of its smallest document, and rows of spans
-    (bucket -1) for all others."""
+class _Spans:
+    """Spans that go, as rows of `PACKED` for the tasks that gather them (buckets below zero).
+
+    A row holds the spans of many documents, so there is none for each document and bucket.
+    """
+
+    def __init__(self, tasks: int) -> None:
+        self.tasks, self.parts, self.size = tasks, {}, 0
+
+    def add(self, gone: list[tuple[int, int, int]]) -> Iterator[tuple]:
+        for doc, data in _packed_spans(gone):
+            entry = _entry(doc, data)
+            self.parts.setdefault(doc % self.tasks, []).append(entry)
+            self.size += len(entry)
+        if self.size > BLOCK_BYTES:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[tuple]:
+        rows = [(-1 - k, FOUND, b"".join(parts)) for k, parts in self.parts.items()]
+        self.parts, self.size = {}, 0
+        yield from rows
+
+
+def _packed_pieces(
+    pieces: dict[bytes, list[tuple[int, int]]], codes: dict[bytes, int], buckets: int, spans: _Spans
+) -> Iterator[tuple]:
+    """Rows of `PACKED`: every piece with the places of its smallest document; all others go."""
     gone, kept = [], []
     for piece, places in pieces.items():
         smallest = min(d for d, _ in places)
@@ -405,17 +439,17 @@ def _packed_pieces(pieces: dict[bytes, list[tuple[int, int]]], codes: dict[bytes
             text = np.frombuffer(b"".join(kept[k][0] for k in at), np.uint8)
             data = _packed(_bytes(docs, starts, sizes, _short(code[at]), text))
             yield bucket, TEXT, data
-    yield from ((-1, FOUND, x) for x in _packed_spans(gone))
+    yield from spans.add(gone)
 
 
-def _packed_spans(spans: list[tuple[int, int, int]]) -> Iterator[bytes]:
-    """Per document: its key, then starts and stops, merged where they touch."""
+def _packed_spans(spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, bytes]]:
+    """Per document: its key; pairs of start and stop, merged where they touch."""
     spans.sort()
     doc, starts, stops = None, [], []
     for d, a, b in [*spans, (None, 0, 0)]:
         if d != doc:
             if starts:
-                yield doc.to_bytes(8, "little", signed=True) + _bytes(np.array(starts, "<i8"), np.array(stops, "<i8"))
+                yield doc, np.array([starts, stops], "<i8").T.tobytes()
             doc, starts, stops = d, [], []
         if starts and a <= stops[-1]:
             stops[-1] = max(stops[-1], b)
@@ -443,9 +477,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes],
 
 def pieces_of(met: DataFrame, buckets: int) -> DataFrame:
     """Rows of `PACKED`: the windows with repeated anchors as pieces of text."""
-    target = arrow_schema(PACKED)
+    target, tasks = arrow_schema(PACKED), partitions_of(met)
 
-    def search(ids: list[int], texts: list[bytes], known: list[np.ndarray]) -> list[tuple]:
+    def search(ids: list[int], texts: list[bytes], known: list[np.ndarray], spans: _Spans) -> list[tuple]:
         text, start, count, codes = anchors(texts)
         owner = np.repeat(np.arange(len(known)), [len(k) for k in known])
         wanted = np.unique(owner.astype(np.uint64) << np.uint64(32) | np.concatenate(known).astype(np.uint64))
@@ -455,10 +489,10 @@ def pieces_of(met: DataFrame, buckets: int) -> DataFrame:
             piece = texts[t][a : a + n - 1 + LENGTH]
             pieces.setdefault(piece, []).append((ids[t], a))
             values_[piece] = code
-        return list(_packed_pieces(pieces, values_, buckets))
+        return list(_packed_pieces(pieces, values_, buckets, spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, known, size, last = [], [], [], 0, None
+        ids, texts, known, size, last, spans = [], [], [], 0, None, _Spans(tasks)
         for doc, found, text, copy in _met(batches):
             if copy or not found or doc == last:
                 continue
@@ -468,10 +502,11 @@ def pieces_of(met: DataFrame, buckets: int) -> DataFrame:
             known.append(np.unique(np.frombuffer(b"".join(found), "<u4")))
             size += len(text)
             if size > BLOCK_BYTES // 2:
-                yield batch_of(search(ids, texts, known), target)
+                yield batch_of(search(ids, texts, known, spans), target)
                 ids, texts, known, size = [], [], [], 0
         if ids:
-            yield batch_of(search(ids, texts, known), target)
+            yield batch_of(search(ids, texts, known, spans), target)
+        yield batch_of(list(spans.rest()), target)
 
     return met.mapInArrow(run, PACKED)
 
@@ -522,10 +557,9 @@ def _sorted_spans(pieces: dict[bytes, list[tuple[int, int]]], codes: dict[bytes,
     return gone, left
 
 
-def _windows(pieces: dict[bytes, list[tuple[int, int]]]) -> Iterator[tuple[bytes, list]]:
-    for piece, places in pieces.items():
-        for k in range(len(piece) - LENGTH + 1):
-            yield piece[k : k + LENGTH], [(d, a + k) for d, a in places]
+def _windows(piece: bytes, places: list[tuple[int, int]]) -> Iterator[tuple[bytes, list]]:
+    for k in range(len(piece) - LENGTH + 1):
+        yield piece[k : k + LENGTH], [(d, a + k) for d, a in places]
 
 
 def _window_code(window: bytes) -> int:
@@ -533,31 +567,37 @@ def _window_code(window: bytes) -> int:
 
 
 def resolve(pieces: DataFrame, buckets: int, limit_bytes: int, limit_chars: int) -> DataFrame:
-    """Rows of `PACKED`: spans that go (bucket -1), and windows of what was too much for a task."""
-    target = arrow_schema(PACKED)
-
-    def again(pieces: dict) -> Iterator[tuple]:
-        windows, codes = {}, {}
-        for window, places in _windows(pieces):
-            windows.setdefault(window, []).extend(places)
-            codes[window] = _window_code(window)
-        yield from _packed_pieces(windows, codes, buckets)
+    """Rows of `PACKED`: spans that go (below zero), and windows of what was too much for a task."""
+    target, tasks = arrow_schema(PACKED), partitions_of(pieces)
+
+    def again(pieces: dict, spans: _Spans) -> Iterator[list[tuple]]:
+        """By whole windows, in portions: equal windows of two portions meet where they are sent."""
+        windows, codes, size = {}, {}, 0
+        for piece, places in pieces.items():
+            for window, at in _windows(piece, places):
+                windows.setdefault(window, []).extend(at)
+                codes[window] = _window_code(window)
+                size += len(at)
+            if size > PORTION_WINDOWS:
+                yield list(_packed_pieces(windows, codes, buckets, spans))
+                windows, codes, size = {}, {}, 0
+        yield list(_packed_pieces(windows, codes, buckets, spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pieces, codes, size, over = None, {}, {}, 0, False
+        last, pieces, codes, size, over, spans = None, {}, {}, 0, False, _Spans(tasks)
 
         def finish() -> Iterator[pa.RecordBatch]:
-            if over:
-                yield batch_of(list(again(pieces)), target)
-            elif pieces:
+            left = pieces
+            if not over and pieces:
                 gone, left = _sorted_spans(pieces, codes, limit_chars)
-                rows = [(-1, FOUND, x) for x in _packed_spans(gone)]
-                yield batch_of(rows + list(again(left)), target)
+                yield batch_of(list(spans.add(gone)), target)
+            for rows in again(left, spans):
+                yield batch_of(rows, target)
 
         for batch in batches:
             for bucket, kind, data in zip(*map(values, batch.columns), strict=True):
                 if kind == FOUND:  # spans pass
-                    yield batch_of([(-1, FOUND, data)], target)
+                    yield batch_of([(bucket, FOUND, data)], target)
                     continue
                 if bucket != last:
                     yield from finish()
@@ -572,9 +612,11 @@ def resolve(pieces: DataFrame, buckets: int, limit_bytes: int, limit_chars: int)
                     codes[piece] = c
                 if size > limit_bytes:
                     over = True
-                    yield batch_of(list(again(pieces)), target)
+                    for rows in again(pieces, spans):
+                        yield batch_of(rows, target)
                     pieces, codes, size = {}, {}, 0
         yield from finish()
+        yield batch_of(list(spans.rest()), target)
 
     return pieces.mapInArrow(run, PACKED)
 
@@ -587,8 +629,7 @@ RESULT = "doc long, n_bytes long, spans array<struct<start: long, stop: long>>,
 def _spans(found: list[bytes], n: int) -> list[tuple[int, int]]:
     spans = []
     for data in found:
-        starts, stops = _arrays(data, "<i8", "<i8")
-        spans += zip(starts.tolist(), stops.tolist(), strict=True)
+        spans += np.frombuffer(data, "<i8").reshape(-1, 2).tolist()
     out: list[list[int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -638,7 +679,8 @@ def remove_repeats(
     """doc, n_bytes, spans (removed byte runs), kept (remaining bytes), one row per row of ``docs``."""
     spark = docs.sparkSession
     raw = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    digests = raw.where("doc is not null").select("doc", F.octet_length("data").alias("n"), F.md5("data").alias("md5"))
+    digest = F.sha2("data", 256).alias("sha")
+    digests = raw.where("doc is not null").select("doc", F.octet_length("data").alias("n"), digest)
     digests = written(digests, "digests")
     whole = digests.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = partitions_of(docs)
@@ -646,8 +688,16 @@ def remove_repeats(
     def buckets(packed_bytes: int) -> int:
         return max(tasks, packed_bytes // BUCKET_BYTES + 1)
 
-    smallest = digests.groupBy("md5").agg(F.min("doc").alias("rep"))
-    copies = digests.join(smallest, "md5").where("doc > rep").select("doc").distinct()
+    # A key with several texts stands for the smallest of them.
+    per_key = digests.groupBy("doc").agg(F.min("sha").alias("sha"), F.max("sha").alias("other"), F.min("n").alias("n"))
+    per_key = written(per_key, "keys")
+    several = written(per_key.where("sha <> other").select("doc"), "several-texts")
+    smallest = raw.join(several, "doc", "left_semi").groupBy("doc").agg(F.min("data").alias("data"))
+    alone = per_key.where("sha = other").select("doc", "n", "sha")
+    own = alone.unionByName(smallest.select("doc", F.octet_length("data").alias("n"), digest))
+    own = written(own, "texts-of-keys")
+    first_of = own.groupBy("n", "sha").agg(F.min("doc").alias("rep"), F.count("*").alias("times"))
+    copies = own.join(first_of.where("times > 1"), ["n", "sha"]).where("doc > rep").select("doc")
     copies = written(copies.select("doc", F.lit(COPY).alias("kind"), F.lit(b"").alias("data")), "copies")
     texts = raw.where("doc is not null").select("doc", F.lit(TEXT).alias("kind"), "data")
     known = written(repeated_anchors(texts.select("doc", "data"), buckets(whole * 2 // 3)), "anchors")
@@ -655,13 +705,11 @@ def remove_repeats(
     found = pieces_of(_meeting(copies, known, texts), buckets(whole // 8))
     first = written(resolve(_by_bucket(found), buckets(whole // 8), limit_bytes, limit_chars), "spans")
     release(spark)
-    spans = first.where("bucket = -1")
+    spans = first.where("bucket < 0")
     # Windows of overfull anchors: equal ones meet, and there is nothing left to sort among them.
     rest = first.where("bucket >= 0")
-    second = resolve(_by_bucket(rest), 1, 1 << 62, 1 << 62).where("bucket = -1")
-    found = spans.unionByName(second).select(
-        _key_of("data").alias("doc"), F.lit(FOUND).alias("kind"), F.expr("substring(data, 9)").alias("data")
-    )
+    second = resolve(_by_bucket(rest), 1, 1 << 62, 1 << 62).where("bucket < 0")
+    found = _gathered(spans.unionByName(second))
     without = raw.where("doc is null").select(
         "doc", F.octet_length("data").cast("long").alias("n_bytes"),
         F.array().cast("array<struct<start: bigint, stop: bigint>>").alias("spans"), F.col("data").alias("kept"),
@@ -669,14 +717,6 @@ def remove_repeats(
     return _removed(_meeting(copies, found, texts)).unionByName(without)
 
 
-def _key_of(column: str):
-    """The 64-bit key in front of packed spans (little-endian, signed)."""
-    big = F.concat(*(F.expr(f"substring({column}, {k}, 1)") for k in range(8, 0, -1)))
-    high = F.conv(F.hex(F.substring(big, 1, 4)), 16, 10).cast("long")
-    low = F.conv(F.hex(F.substring(big, 5, 4)), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low)
-
-
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = remove_repeats(table(spark, folder, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])

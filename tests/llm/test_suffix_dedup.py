@@ -34,13 +34,14 @@ def test_anchors_belong_to_their_windows():
 
 
 def brute(rows):
-    first, out = {}, []
+    first, out, own = {}, [], {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1])):
-        for k in range(len(t) - 49):
+        own.setdefault(i, t)
+        for k in range(len(t) - 49) if own[i] == t else ():
             first.setdefault(t[k : k + 50], i)
     for i, t in rows:
         gone = bytearray(len(t))
-        for k in range(len(t) - 49) if i is not None else ():
+        for k in range(len(t) - 49) if i is not None and own[i] == t else ():
             if first[t[k : k + 50]] < i:
                 gone[k : k + 50] = b"\1" * 50
         runs = sum(1 for k in range(len(t)) if gone[k] and (not k or not gone[k - 1]))
@@ -56,6 +57,9 @@ def documents():
     rows += [(200 + k, prose(7, 90).replace("ta", "to", k).encode()) for k in range(12)]
     rows += [(-5, passage[:50].encode()), (300, passage[:49].encode()), (301, (passage[:50] * 3).encode())]
     rows += [(302, LONG[100:9000].encode()), (303, b"q" * 80), (304, b"q" * 50 + b"r" + b"q" * 49)]
+    # Keys with several texts: the copy of a smaller key's text is or is not the key's smallest one.
+    a, b, c = (x + prose(60 + k, 20).encode() for k, x in enumerate([b"a", b"b", b"c"]))
+    rows += [(400, b), (401, a), (401, b), (402, b), (402, b), (402, c), (410, a), (410, c), (411, c), (411, c + b"d")]
     return rows
 
 
@@ -63,7 +67,7 @@ def documents():
 def test_against_brute_force(spark, limits, small_limits):
     """In one block and one sort, and with blocks, buckets and sorts that overflow."""
     if limits:
-        small_limits(d, BLOCK_BYTES=4000, BUCKET_BYTES=2000)
+        small_limits(d, BLOCK_BYTES=4000, BUCKET_BYTES=2000, PORTION_WINDOWS=500)
     docs = spark.createDataFrame([(i, t.decode()) for i, t in documents()], "doc_id long, text string")
     found = d.remove_repeats(docs.repartition(3), **limits).collect()
     got = sorted(
