@@ -2,9 +2,10 @@
 
 Both vocabularies cut a text at white space before any merge, so the ids of a text are the ids of
 its words in a row, and words repeat.  Each distinct word goes through the library once per
-process: words of Latin letters, a mark behind them or not, through its merge model alone, all
-others through the whole tokenizer.  A text whose white space could make a cut inexact is encoded
-whole.  A test holds the ids against plain calls.
+process: Latin letters, which are one unit for the merges whatever marks follow them, through its
+merge model alone, all other words through the whole tokenizer.  Marks behind letters are a unit
+too, so such a word is put together from two known ones.  A text whose white space could make a cut
+inexact is encoded whole.  A test holds the ids against plain calls.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ import numpy as np
 
 END = 0
 #: Words that a process remembers; the memory starts anew beyond it.
-MOST_WORDS = 600_000
+MOST_WORDS = 1_200_000
+#: Different marks that a process remembers, likewise.
+MOST_MARKS = 10_000
 #: Texts that are encoded together are at most this many characters, or a single one.
 TOGETHER = 2_000_000
 
@@ -27,8 +30,8 @@ TOGETHER = 2_000_000
 ODD_SPACE = re.compile(r"[^\S \n\r\t]")
 #: For vocabularies that keep white space: anything but single blanks and single line breaks.
 ODD_RUNS = re.compile(r"[^\S \n]")
-#: Marks that are words of their own behind letters.
-MARKS = frozenset(".,;:!?")
+#: A line break or none, Latin letters, ASCII marks or none (no apostrophe): units for every vocabulary here.
+PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -63,11 +66,11 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.keeps_spaces = keeps_spaces
-        self.marks = {m: self.library.encode(m, add_special_tokens=False).ids for m in MARKS}
         self._forget()
 
     def _forget(self) -> None:
         self.words = _Words()
+        self.marks: dict[str, list[int]] = {}
         self.starts = np.zeros(1024, np.int64)
         self.lengths = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
@@ -86,42 +89,74 @@ class Encoder:
         # Each word keeps the white space before it; a blank stands for itself in the key.
         return (" " + text.replace("\n", " \n")).split(" ")[1:]
 
-    def _letters(self, word: str) -> list[int] | None:
-        """Ids of a word of Latin letters, which is one unit for the merges; else None."""
-        if not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
-            return None
-        if self.keeps_spaces:
-            word = " " + word
-        else:
-            word = word.lower()
-        unit = word.encode().decode("latin-1").translate(LETTERS)
-        return [t.id for t in self.model.tokenize(unit)]
-
-    def _word(self, word: str) -> list[int]:
-        ids = self._letters(word)
-        if ids is None and word[-1] in MARKS:
-            ids = self._letters(word[:-1])
-            ids = ids and ids + self.marks[word[-1]]
-        if ids is None:
-            # A key without a line break in front stands behind a blank.
-            text = " " + word if self.keeps_spaces and word[0] != "\n" else word
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        return ids
+    def _letters(self, letters: str, blank: bool) -> list[int]:
+        """Ids of Latin letters, in lower case already where the vocabulary wants that."""
+        unit = " " + letters if blank else letters
+        return [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(LETTERS))]
+
+    def _marks(self, marks: str) -> list[int]:
+        """Ids of what stands before or behind letters; few differ."""
+        if marks not in self.marks:
+            if len(self.marks) > MOST_MARKS:
+                self.marks = {}
+            self.marks[marks] = self.library.encode(marks, add_special_tokens=False).ids
+        return self.marks[marks]
+
+    def _first(self, word: str) -> np.ndarray:
+        """Ids of the first word of a text that keeps its white space: no blank stands before it."""
+        plain = PLAIN.fullmatch(word)
+        if plain is None or plain[1]:
+            return self.whole(word)
+        return np.array(self._letters(plain[2], False) + self._marks(plain[3]), np.uint32)
 
     def _learn(self) -> None:
-        fresh, self.words.fresh = self.words.fresh, []
+        fresh, blank, known = self.words.fresh, self.keeps_spaces, self.known
         if not fresh:
             return
-        ids = list(map(self._word, fresh))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        known, used = self.known + len(ids), self.used + len(flat)
-        self.starts, self.lengths = (_room(x, known) for x in (self.starts, self.lengths))
-        self.flat = _room(self.flat, used)
-        self.starts[self.known : known] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[self.known : known] = lengths
-        self.flat[self.used : used] = flat
-        self.known, self.used = known, used
+        # Flat lists of numbers only: lists of lists would keep the garbage collector busy.
+        flat, starts, lengths = [], [], []
+        joined, letters_of, marks_of = [], [], []
+        # Letters in front of marks are words too: unknown ones join the list while it is read.
+        for word in fresh:
+            starts.append(self.used + len(flat))
+            before = len(flat)
+            plain = PLAIN.fullmatch(word)
+            if plain is None:
+                # A key without a line break in front stands behind a blank.
+                text = " " + word if blank and word[0] != "\n" else word
+                flat += self.library.encode(text, add_special_tokens=False).ids
+            else:
+                line, letters, marks = plain.groups()
+                letters = letters if blank else letters.lower()
+                if line:
+                    flat += self._marks(line)
+                    flat += self._letters(letters, False)
+                    flat += self._marks(marks)
+                elif letters == word:
+                    flat += self._letters(letters, blank)
+                else:
+                    joined.append(len(starts) - 1)
+                    letters_of.append(self.words[letters])
+                    marks_of.append(marks)
+            lengths.append(len(flat) - before)
+        self.words.fresh = []
+        for at, number, marks in zip(joined, letters_of, marks_of, strict=True):
+            if number < known:
+                start, stop = self.starts[number], self.starts[number] + self.lengths[number]
+                ids = self.flat[start:stop].tolist()
+            else:
+                start = starts[number - known] - self.used
+                ids = flat[start : start + lengths[number - known]]
+            starts[at], before = self.used + len(flat), len(flat)
+            flat += ids
+            flat += self._marks(marks)
+            lengths[at] = len(flat) - before
+        self.known, self.used = known + len(starts), self.used + len(flat)
+        self.starts, self.lengths = (_room(x, self.known) for x in (self.starts, self.lengths))
+        self.flat = _room(self.flat, self.used)
+        self.starts[known : self.known] = starts
+        self.lengths[known : self.known] = lengths
+        self.flat[self.used - len(flat) : self.used] = flat
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         lengths = self.lengths[numbers]
@@ -147,7 +182,7 @@ class Encoder:
                 continue
             head = None
             if self.keeps_spaces:  # the first word has no blank before it
-                head, words = self.whole(words[0]), words[1:]
+                head, words = self._first(words[0]), words[1:]
             numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
             pending.append((head, numbers))
         self._learn()

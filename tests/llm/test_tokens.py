@@ -14,7 +14,7 @@ from tallychain.llm import token_files as f
 from tallychain.llm import tokens as t
 
 FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
-WORDS = ["the", "Foo's", "it's", "ÉCOLE", "straße", "½", "文字", "á", "İ", "ŉ", "ª", "...", ",", "x,", "12", "don't", "\x1f", "<|endoftext|>"]
+WORDS = ["the", "Foo's", "it's", "ÉCOLE", "straße", "½", "文字", "á", "İ", "ŉ", "ª", "...", ",", "x,", "12", "don't", "\x1f", "<|endoftext|>", "Foo$$$", "foo_", "Été).", "a's.", "\\x", "µ,", "end."]
 SPACES = [" ", "  ", "\n", "\n\n", "\t", " ", " \n", "\x1c", ""]
 
 
