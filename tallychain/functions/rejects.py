@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -17,12 +19,14 @@ class Rejects:
 
     def __init__(self, table: str = "native_events") -> None:
         self.table = table
-        self._observed = Observation()
+        # One for each part of the table.
+        self._observed: list[Observation] = []
 
     def watch(self, df: DataFrame, text: Column, bad: Column) -> DataFrame:
         """``df``, counting the rows that have a ``text`` and those whose text is ``bad``."""
+        self._observed.append(Observation())
         return df.observe(
-            self._observed,
+            self._observed[-1],
             F.count(text).alias("read"),
             F.count_if(bad).alias("rejected"),
             F.call_function(
@@ -32,14 +36,18 @@ class Rejects:
 
     @property
     def read(self) -> int:
-        return self._observed.get["read"]
+        return sum(o.get["read"] for o in self._observed)
 
     @property
     def rejected(self) -> int:
-        return self._observed.get["rejected"]
+        return sum(o.get["rejected"] for o in self._observed)
 
     @property
     def samples(self) -> list[str]:
         """Up to `SAMPLES` rejected values, frequent ones first."""
-        found = self._observed.get["samples"] or []
-        return [x["item"] for x in found if x["item"] is not None][: self.SAMPLES]
+        found = Counter()
+        for o in self._observed:
+            for x in o.get["samples"] or []:
+                if x["item"] is not None:
+                    found[x["item"]] += x["count"]
+        return [item for item, _ in found.most_common(self.SAMPLES)]

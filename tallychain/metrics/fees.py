@@ -10,6 +10,8 @@ one row per transaction and bucket.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +57,8 @@ def _mean(total: str, count: str) -> Column:
     return F.col(total).cast("double") / F.nullif(F.col(count), F.lit(0))
 
 
-def _native_fees(events: DataFrame, transactions: DataFrame, *by: Column) -> DataFrame:
-    """Fee sum and count of events joined to the rows of their transaction, per ``by``."""
+def _fees_of_transactions(events: DataFrame, transactions: DataFrame, *by: Column) -> DataFrame:
+    """Fee sum and count of events joined to the rows of their transaction, per it and ``by``."""
     per_tx = events.groupBy("tx_id", *by).agg(
         strict_sum("amount").alias("amount"), F.count("amount").alias("n")
     )
@@ -64,12 +66,20 @@ def _native_fees(events: DataFrame, transactions: DataFrame, *by: Column) -> Dat
     keys = [c for c in per_tx.columns if c not in ("tx_id", "amount", "n")]
     # decimal(29,12) x decimal(8,0) is exact in decimal(38,12); anything larger raises.
     fees = strict_cast(F.col("amount"), PER_TX) * strict_cast(F.col("copies"), COPIES)
+    return per_tx.join(copies, "tx_id").select(
+        *keys, fees.alias("tx_fees"), (F.col("n") * F.col("copies")).alias("tx_count")
+    )
+
+
+def _native_fees(parts: list[tuple[DataFrame, DataFrame]], *by: Column) -> DataFrame:
+    """Fee sum and count per ``by``; ``parts`` are events and transactions that share no transaction."""
+    each = reduce(DataFrame.unionByName, [_fees_of_transactions(e, t, *by) for e, t in parts])
+    keys = [c for c in each.columns if c not in ("tx_fees", "tx_count")]
     return (
-        per_tx.join(copies, "tx_id")
-        .groupBy(*keys)
+        each.groupBy(*keys)
         .agg(
-            strict_cast(strict_sum(fees), EVM_AMOUNT).alias("fees"),
-            F.sum(F.col("n") * F.col("copies")).alias("fee_count"),
+            strict_cast(strict_sum("tx_fees"), EVM_AMOUNT).alias("fees"),
+            F.sum("tx_count").alias("fee_count"),
         )
         .select(*keys, "fees", _mean("fees", "fee_count").alias("avg_tx_fee"))
     )
@@ -94,9 +104,12 @@ def fees_summary(
     all fee events that the period's days hold.
     """
     evm = _evm_fees(in_period(src.evm_tx(), TS, period))
-    events = same_days(src.native_events(), lower=period.start)
-    events = fee_events(events, strict and rejects is None, rejects)
-    native = _native_fees(events, in_period(src.native_tx(), TS, period))
+    parts = []
+    for part in src.parts():
+        events = same_days(part.native_events(), lower=period.start)
+        events = fee_events(events, strict and rejects is None, rejects)
+        parts.append((events, in_period(part.native_tx(), TS, period)))
+    native = _native_fees(parts)
     return evm.unionByName(native).agg(
         strict_sum("fees").alias("total_fees"), F.avg("avg_tx_fee").alias("avg_tx_fee")
     )
@@ -112,10 +125,12 @@ def fees_series(
     """
     bucket = period.bucket(TS).alias("date")
     evm = _evm_fees(in_complete_buckets(src.evm_tx(), TS, period), bucket)
-    events = in_complete_buckets(src.native_events(), TS, period)
-    events = fee_events(events, strict and rejects is None, rejects)
-    transactions = same_days(src.native_tx(), period.start, period.cutoff)
-    native = _native_fees(events, transactions, bucket)
+    parts = []
+    for part in src.parts():
+        events = in_complete_buckets(part.native_events(), TS, period)
+        events = fee_events(events, strict and rejects is None, rejects)
+        parts.append((events, same_days(part.native_tx(), period.start, period.cutoff)))
+    native = _native_fees(parts, bucket)
     per_bucket = (
         evm.unionByName(native)
         .distinct()

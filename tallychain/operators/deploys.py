@@ -9,7 +9,9 @@ join, which adaptive execution may split on either side.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,17 @@ def _transactions(src: Sources, lower: date | None, upper: date | None) -> DataF
     return between(src.evm_tx(), "block_timestamp", lower, upper)
 
 
+def _part_by_part(deploys: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A deployment is a matter of one transaction: parts that share none are asked apart."""
+
+    @wraps(deploys)
+    def of_all(src: Sources, lower: date | None = None, upper: date | None = None) -> DataFrame:
+        return reduce(DataFrame.unionByName, [deploys(p, lower, upper) for p in src.parts()])
+
+    return of_all
+
+
+@_part_by_part
 def deploy_transactions(
     src: Sources, lower: date | None = None, upper: date | None = None
 ) -> DataFrame:
@@ -58,6 +71,7 @@ def deploy_transactions(
     return both.select("tx_hash", "block_timestamp", F.col("from_address").alias("creator"))
 
 
+@_part_by_part
 def deploy_contracts(
     src: Sources, lower: date | None = None, upper: date | None = None
 ) -> DataFrame:
@@ -84,6 +98,7 @@ def deploy_contracts(
     return by_topic.unionByName(by_signature)
 
 
+@_part_by_part
 def deploy_ids(src: Sources, lower: date | None = None, upper: date | None = None) -> DataFrame:
     """``block_timestamp, contract`` of the log-level view of deployments.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 from functools import reduce
 
@@ -20,7 +21,7 @@ from tallychain.constants import (
     WITHDRAW_ACTIONS,
 )
 from tallychain.functions import scalars as fn
-from tallychain.metrics import accounts, transactions
+from tallychain.metrics import accounts, contracts, fees, transactions
 from tallychain.metrics.supply import latest_before
 from tallychain.operators import aggregates as agg
 from tallychain.operators import deploys, joins, sketches, weeks, windows
@@ -39,11 +40,14 @@ from tallychain.registry.base import check
 from tallychain.registry.metric_checks import ROLL, SIGNATURES, TOPIC_MATCH, _day
 from tallychain.registry.metric_checks import accounts_created_series as accounts_created_series_sql
 from tallychain.registry.metric_checks import active_accounts_series as active_accounts_series_sql
+from tallychain.registry.metric_checks import contracts_by_chain as contracts_by_chain_sql
+from tallychain.registry.metric_checks import fees_series as fees_series_sql
 from tallychain.registry.metric_checks import tx_by_type as tx_by_type_sql
 from tallychain.session import shared_folder
 from tallychain.sinks.prepared import PreparedSources
 from tallychain.sinks.store import MetricStore, write_csv
 from tallychain.sources import fixtures as fx
+from tallychain.sources.buckets import BucketedSources, land_buckets
 from tallychain.sources.fixtures import EventSources, OrderSources
 from tallychain.sources.payloads import market_points, tvl_points
 from tallychain.sources.schemas import NATIVE_AMOUNT
@@ -1084,6 +1088,25 @@ def kept_series(src: OrderSources) -> DataFrame:
     )
 
 
+def _in_buckets(src: OrderSources) -> BucketedSources:
+    """A copy in which transactions of more than four rows in a table count as hot."""
+    path = f"{shared_folder(src.spark, local_fallback=True)}/buckets"
+    buckets = int(src.spark.conf.get("spark.sql.shuffle.partitions"))
+    return land_buckets(src, f"copy_{uuid.uuid4().hex}", path, buckets, hot_rows=4)
+
+
+@check("join_tx_events_buckets", fees_series_sql(ALL))
+def join_tx_events_buckets(src: OrderSources) -> DataFrame:
+    """Fees per bucket of time, from transactions and events kept in buckets by transaction."""
+    return fees.fees_series(_in_buckets(src), ALL)
+
+
+@check("join_tx_logs_buckets", contracts_by_chain_sql(ALL))
+def join_tx_logs_buckets(src: OrderSources) -> DataFrame:
+    """Contracts per chain, from transactions and logs kept in buckets by transaction."""
+    return contracts.contracts_by_chain(_in_buckets(src), ALL)
+
+
 def _spelled_amounts(src: OrderSources) -> DataFrame:
     """Amounts of all lines in the spellings that JSON has; lines 5 to 7 cannot be read."""
     line = F.col("l_linenumber")

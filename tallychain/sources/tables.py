@@ -52,6 +52,10 @@ class Sources(ABC):
     @abstractmethod
     def evm_logs(self) -> DataFrame: ...
 
+    def parts(self) -> list[Sources]:
+        """Sources that share no transaction and together hold all rows of the tables of transactions."""
+        return [self]
+
     def deploy_logs(self) -> DataFrame:
         """The EVM logs that carry the deploy topic."""
         return self.evm_logs().where(has_topic("topics"))
