@@ -118,3 +118,37 @@ def test_keys_that_reach_beyond_an_exact_match_go_whole(spark, monkeypatch):
     monkeypatch.setattr(s, "fit", lambda findings: All())
     clean = {r.doc_id: r.text for r in s.redacted(docs).collect()}
     assert clean == {1: "key [secret] end", 2: "[secret] x", 3: "[secret]"}
+
+
+def test_all_findings_train_and_set_the_thresholds(spark, monkeypatch):
+    lines = [(f"{prose(k, 3)} password={hexes(k, 18)}", f"{prose(k, 3)} mail{k}.example.com/x1") for k in range(3300)]
+    rows = [(at, "\n".join(x[at % 2] for x in lines[at // 2 * 100 :][:100])) for at in range(66)]
+    scanned = s.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = set()
+    for _, text in rows:
+        exact = s.exact_spans(text)
+        for a, b in s.candidates(text):
+            left = max(0, a - s.CONTEXT)
+            want.add((text[left : b + s.CONTEXT], a - left, b - a, s.overlaps(exact, a, b)))
+    assert min(sum(f[3] for f in want), sum(not f[3] for f in want)) > 3000
+    table = s.labelled_findings(scanned)
+    assert {tuple(r) for r in table.collect()} == want
+    # All held-out findings are counted, all others train, in whatever partitions they come.
+    monkeypatch.setattr(s, "SHARD_ROWS", 1000)
+    data = s.TableFindings(table)
+    data.split({False}, {True})
+    held = [f for f in want if s.is_held_out(f[0])]
+    assert data.total == len(want) - len(held) and data.shards.count() > 3
+    assert data.tally(s.CharNet()) == s.tally(s.CharNet(), held)
+    one, two = (s.fit(t) for t in (table.coalesce(1), table.repartition(7)))
+    assert (one.net.state() == two.net.state()).all()
+    assert (one.slope, one.shift, one.thresholds) == (two.slope, two.shift, two.thresholds)
+    accepted = one.accepts([f[:3] for f in held])
+    truth = np.array([f[3] for f in held])
+    assert accepted[truth].mean() >= s.RECALL and accepted[~truth].mean() < 0.05
+
+
+def test_windows_of_a_long_candidate_go_to_different_shards(spark):
+    rows = s.training_rows([("ab1" * 3000, 0, 9000, True)])
+    keys = [r[0] for r in rows]
+    assert len(rows) == 188 and len({k % 16 for k in keys}) == 16
