@@ -633,8 +633,10 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE)
     shared = filled.groupBy("doc").agg((F.min("digest") != F.max("digest")).alias("shared"))
     open_ = (
         filled.join(shared, "doc").join(alone, "doc", "left")
-        .where("shared or 4 * coalesce(alone, 0) <= n").drop("shared")
+        .where("shared or 4 * coalesce(alone, 0) <= n").select("doc", "digest")
     )
+    # Needed again at the end, where the shingles must not be counted a second time.
+    open_ = written(open_, "open")
     chosen = open_.groupBy("digest").agg(F.min("doc").alias("rep"))
     chosen = written(chosen, "nodes")
     release(docs.sparkSession)

@@ -162,3 +162,22 @@ def test_components_of_chains_stars_and_rings(spark):
     got = {r.node: r.component for r in found}
     want = {k: 0 for k in range(41)} | {100 + k: 100 for k in range(50)}
     assert got == want | {200 + k: 200 for k in range(9)} | {300: 299, 299: 299}
+
+
+def test_shingles_are_counted_once(spark, monkeypatch):
+    rows = [(k, prose(k, 60)) for k in range(30)] + [(100 + k, prose(k % 3, 60)) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted, real = spark.sparkContext.accumulator(0), j.unique_counts
+    alone = real(docs, "doc_id", j.SHINGLE, 4).count()
+
+    def watched(*args):
+        def count(batches):
+            for batch in batches:
+                counted.add(batch.num_rows)
+                yield batch
+
+        return real(*args).mapInArrow(count, "doc long, alone long")
+
+    monkeypatch.setattr(j, "unique_counts", watched)
+    assert sorted(tuple(r) for r in j.similar_classes(docs).collect()) == brute(rows)
+    assert counted.value == alone > 0
