@@ -80,3 +80,14 @@ def test_sequences(outputs):
     for places in sequences.values():
         ends = np.cumsum([n for _, n in sorted(places)])
         assert [o for o, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 2048
+
+
+def test_masking_trains_on_all_findings(spark, monkeypatch):
+    lines = [f"w{k} password=Ab{k:012d}" for k in range(3100)] + [f"w{k} mail{k}.example.com/x1" for k in range(3100)]
+    rows = [(k, "\n".join(lines[k * 100 : k * 100 + 100]), "en", "s", 0) for k in range(62)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = []
+    monkeypatch.setattr(secret_scan, "fit", lambda findings: seen.append(findings))
+    masked = corpus_pipeline.secrets(spark, docs, SMALL)
+    assert {r["secret"]: r["count"] for r in seen[0].groupBy("secret").count().collect()} == {True: 3100, False: 3100}
+    assert not any("password" in r.text for r in masked.collect())
