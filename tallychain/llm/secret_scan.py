@@ -3,7 +3,8 @@
 Every run of 12 or more characters of the secret alphabet that has a digit or mixed case is a
 candidate.  The network reads the whole candidate with `CONTEXT` characters on either side:
 learned character vectors and an inside/outside channel, one convolution, ReLU, maximum over all
-places, one output.  It is written in numpy and trained on all labelled findings: they are dealt by
+places, one output.  It is written in numpy and trained on all labelled findings but the held-out
+fifth, which sets calibration and thresholds (of a scan, equal findings count once).  They are dealt by
 digest into shards of about `SHARD_ROWS` windows, each shard takes the common weights through one
 epoch of its own, and the mean of the shards, weighted by their windows, is where the next epoch
 starts.  Platt scaling on the held-out fifth of all findings turns the output into a probability,

@@ -91,3 +91,30 @@ def test_masking_trains_on_all_findings(spark, monkeypatch):
     masked = corpus_pipeline.secrets(spark, docs, SMALL)
     assert {r["secret"]: r["count"] for r in seen[0].groupBy("secret").count().collect()} == {True: 3100, False: 3100}
     assert not any("password" in r.text for r in masked.collect())
+
+
+def test_masking_leaves_no_finding_out_of_weights_and_thresholds(spark, monkeypatch):
+    lines = [f"v{k} token=Cd{k:012d}" for k in range(3200)] + [f"v{k} host{k}.example.org/y2" for k in range(3200)]
+    rows = [(k, "\n".join(lines[k * 100 : k * 100 + 100]), "en", "s", 0) for k in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    used = {}
+
+    class Watched(secret_scan.TableFindings):
+        def tally(self, net):
+            counted = super().tally(net)
+            used.update(trained=self.total, shards=self.shards.agg({"*": "count"}).first()[0])
+            used["counted"] = [sum(n for (_, label, _), n in counted.items() if label == x) for x in (True, False)]
+            return counted
+
+    monkeypatch.setattr(secret_scan, "TableFindings", Watched)
+    monkeypatch.setattr(secret_scan, "SHARD_ROWS", 1000)
+    masked = corpus_pipeline.secrets(spark, docs, SMALL)
+    held = [0, 0]
+    for _, text, *_ in rows:
+        for a, b in secret_scan.candidates(text):
+            window = text[max(0, a - secret_scan.CONTEXT) : b + secret_scan.CONTEXT]
+            held["token=" not in text[a:b]] += secret_scan.is_held_out(window)
+    # Each of the 6,400 findings, one window each, either trains or sets the thresholds.
+    assert used["counted"] == held and min(held) > 0
+    assert used["trained"] == 6400 - sum(held) and used["shards"] > 3
+    assert not any("token=" in r.text for r in masked.collect())
