@@ -35,8 +35,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and its place there."""
-    return packing.pack_documents(docs)
+    """Every piece of every document with its sequence and its place there.
+
+    The workers have served other stages and will serve more: known words are not kept in them.
+    """
+    return packing.pack_documents(docs, keep_words=False)
 
 
 STAGES = [

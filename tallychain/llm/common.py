@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,10 +53,30 @@ def values(column: pa.Array) -> Iterator:
         yield column[i].as_py()
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, which at its end gives freed memory back to the system.
+
+    Python workers live on for later tasks and stages, and allocators keep what was freed.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            # The heap of the C library, which numpy uses; only glibc has this call.
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def map_rows(df: DataFrame, schema: str, per_row: Callable[..., tuple]) -> DataFrame:
     """One output row per input row, computed in Python over Arrow batches, without a shuffle."""
     target = arrow_schema(schema)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [per_row(*row) for row in zip(*map(values, batch.columns), strict=True)]

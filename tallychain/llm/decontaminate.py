@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallychain.llm.common import arrow_schema, batch_of, table, values
+from tallychain.llm.common import arrow_schema, batch_of, table, tidied, values
 
 WINDOW = 10
 BLOCK_BYTES = 8_000_000
@@ -334,6 +334,7 @@ def find_matches(
 
 
 def _finder(block: Block, target: pa.Schema, last: bool):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, docs in _shards(batches, 1, block):
             rows = []
@@ -359,6 +360,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     for items in blocks(benchmark):
         block = Block(items, window)
 
+        @tidied
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch, found in _shards(batches, at, block):
                 clean = [not spans for spans, _, _ in search(found, block, longest=False)]

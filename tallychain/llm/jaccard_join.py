@@ -53,6 +53,7 @@ from tallychain.llm.common import (
     partitions_of,
     release,
     table,
+    tidied,
     values,
     window_codes,
     written,
@@ -305,6 +306,7 @@ def unique_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFr
     """doc, alone: counted shingles that certainly occur in no other document."""
     codes, target = WordCodes(), arrow_schema(PACKED)
 
+    @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             found = []
@@ -318,6 +320,7 @@ def unique_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFr
     tasks = partitions_of(docs)
     part, counted = arrow_schema("part int, counts binary"), arrow_schema("doc long, alone long")
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buckets(batches):
             values_, ids, many = _joined_pairs(rows)
@@ -331,6 +334,7 @@ def unique_counts(docs: DataFrame, key: str, width: int, buckets: int) -> DataFr
                 pair = np.stack([doc[to == k], n[to == k]])
                 yield batch_of([(k, pair.astype("<i8").tobytes())], part)
 
+    @tidied
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = n = np.empty(0, np.int64)
         for batch in batches:
@@ -376,6 +380,7 @@ def told_pairs(packed: DataFrame) -> DataFrame:
     """a, b: every pair of rows (part, pairs) once."""
     target = arrow_schema("a long, b long")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = np.empty((0, 2), np.int64)
         for batch in batches:
@@ -398,11 +403,13 @@ def candidates(sets: DataFrame, buckets: int) -> DataFrame:
     target, out = arrow_schema(PACKED), arrow_schema(CANDIDATE)
     tasks = partitions_of(sets)
 
+    @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             found = [(d, signatures(np.frombuffer(c, "<u8").astype(np.uint64))) for d, c in block]
             yield batch_of(list(pack_block(found, buckets, groups=True)), target)
 
+    @tidied
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buckets(batches):
             stars, parts, seen = set(), [], set()
@@ -493,6 +500,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
     target = arrow_schema("a long, b long")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
         for batch in batches:
@@ -521,6 +529,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         each = each.join(own, [c, f"n{c}"])
     target = arrow_schema("a long, b long, apart long")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -584,6 +593,7 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     each = each.sortWithinPartitions("first", "x", "y", "value")
     target, tasks = arrow_schema("part int, pairs binary"), partitions_of(sets)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
 

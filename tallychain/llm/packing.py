@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallychain.llm.common import arrow_schema, batch_of, table, values, written
-from tallychain.llm.tokens import documents_ids, little_endian, public_path
+from tallychain.llm.common import arrow_schema, batch_of, table, tidied, values, written
+from tallychain.llm.tokens import documents_ids, encoder, little_endian, public_path
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -201,31 +201,38 @@ def pieces(
     capacity: int = CAPACITY,
     key: str = "doc_id",
     keep_ids: bool = False,
+    keep_words: bool = True,
 ) -> DataFrame:
     """Pieces of every row of ``docs``: key, piece, start, length, ids_crc32, with ids on request.
 
-    ``task`` and ``rank`` number the pieces of a length within each task.
+    ``task`` and ``rank`` number the pieces of a length within each task.  With ``keep_words`` a
+    Python worker remembers words for its next task, without it the memory is free again.
     """
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, "
     schema += "piece int, start long, length long, ids_crc32 long, task int, rank long"
     schema += ", ids binary" if keep_ids else ""
     target = arrow_schema(schema)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, counts = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            rows = []
-            texts = zip(*map(values, batch.columns), strict=True)
-            for doc_id, ids in documents_ids(texts, vocabulary, keeps_spaces=False):
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    data = little_endian(ids[start : start + capacity])
-                    n = len(data) // 4
-                    row = (doc_id, piece, start, n, zlib.crc32(data), task, int(counts[n]))
-                    rows.append((*row, data) if keep_ids else row)
-                    counts[n] += 1
-            yield batch_of(rows, target)
+        try:
+            for batch in batches:
+                rows = []
+                texts = zip(*map(values, batch.columns), strict=True)
+                for doc_id, ids in documents_ids(texts, vocabulary, keeps_spaces=False):
+                    for piece, start in enumerate(range(0, len(ids), capacity)):
+                        data = little_endian(ids[start : start + capacity])
+                        n = len(data) // 4
+                        row = (doc_id, piece, start, n, zlib.crc32(data), task, int(counts[n]))
+                        rows.append((*row, data) if keep_ids else row)
+                        counts[n] += 1
+                yield batch_of(rows, target)
+        finally:
+            if not keep_words:
+                encoder(vocabulary, False).forget()
 
     return docs.select(key, "text").mapInArrow(run, schema)
 
@@ -274,10 +281,11 @@ def pack_documents(
     capacity: int = CAPACITY,
     key: str = "doc_id",
     keep_ids: bool = False,
+    keep_words: bool = True,
 ) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
     vocabulary = vocabulary or public_path(VOCABULARY)
-    found = written(pieces(docs, vocabulary, capacity, key, keep_ids), "pieces")
+    found = written(pieces(docs, vocabulary, capacity, key, keep_ids, keep_words), "pieces")
     return pack(found, capacity)
 
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallychain.llm.common import map_rows, table, values
+from tallychain.llm.common import map_rows, table, tidied, values
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -162,6 +162,7 @@ def filter_documents(docs: DataFrame, rules=None) -> DataFrame:
     order = rules or plan_cascade(docs)
     at = docs.columns.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [first_rejection(Statistics(t), order) is None for t in values(batch.column(at))]

@@ -40,6 +40,7 @@ from tallychain.llm.common import (
     map_rows,
     partitions_of,
     table,
+    tidied,
     values,
     written,
 )
@@ -390,6 +391,7 @@ class TableFindings:
         schema = "key long, classes binary, n int, secret boolean"
         target = arrow_schema(schema)
 
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
@@ -410,6 +412,7 @@ class TableFindings:
     def epoch(self, state: np.ndarray, number: int) -> np.ndarray:
         target = arrow_schema("state array<double>")
 
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for shard, rows in zip(*map(values, batch.columns), strict=True):
@@ -428,6 +431,7 @@ class TableFindings:
         schema = "shape string, secret boolean, step long, n long"
         target = arrow_schema(schema)
 
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = tally(net, list(zip(*map(values, batch.columns), strict=True)))
@@ -487,6 +491,7 @@ def find_secrets(scanned: DataFrame, detector: Detector | None, key: str = "doc_
     target = arrow_schema(schema)
     rank = {kind: k for k, kind in enumerate(KINDS)}
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             exact = batch.column(1).to_pylist()
@@ -539,6 +544,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             done = max(done, b)
         return "".join([*out, text[done:]])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.array([clean(t) for t in values(batch.column(at))], pa.string())

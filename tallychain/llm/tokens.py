@@ -66,9 +66,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.keeps_spaces = keeps_spaces
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Lets go of all known words; they are looked up again when they come."""
         self.words = _Words()
         self.marks: dict[str, list[int]] = {}
         self.starts = np.zeros(1024, np.int64)
@@ -173,7 +174,7 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text; what is new in any of them is looked up at once."""
         if len(self.words) > MOST_WORDS:
-            self._forget()
+            self.forget()
         pending = []
         for text in texts:
             words = self._split(text)

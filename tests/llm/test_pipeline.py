@@ -1,17 +1,21 @@
 """Stages of the pipeline on the smallest tables, each against brute force on its own input."""
 
+import os
 import re
+import sys
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_decontaminate import brute as benchmark_hits
 from test_jaccard_join import shingles
 from test_quality_rules import brute as counts
 from tokenizers import Tokenizer
 
-from tallychain.llm import packing, secret_scan
-from tallychain.llm.common import table, written
+from tallychain.llm import packing, secret_scan, tokens
+from tallychain.llm.common import map_rows, table, written
 from tallychain.llm.tokens import public_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -118,3 +122,30 @@ def test_masking_leaves_no_finding_out_of_weights_and_thresholds(spark, monkeypa
     assert used["counted"] == held and min(held) > 0
     assert used["trained"] == 6400 - sum(held) and used["shards"] > 3
     assert not any("token=" in r.text for r in masked.collect())
+
+
+def test_packing_leaves_no_words_in_the_workers(spark):
+    rows = [(k, f"word{k} and other{k} words") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert corpus_pipeline.sequences(spark, docs, "").count() == 400
+    path = public_path(packing.VOCABULARY)
+
+    def known(batches):
+        for batch in batches:
+            n = len(tokens.encoder(path, False).words)
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
+
+    # As many tasks at once as the session has cores: every worker is asked.
+    left = spark.range(64).repartition(16).mapInArrow(known, "n long")
+    assert {r.n for r in left.collect()} == {0}
+
+
+def test_a_task_gives_freed_memory_back(spark):
+    def churned(key) -> tuple:
+        blocks = [np.ones(100_000, np.uint8) for _ in range(2000)]
+        sys.last_block = blocks[-1]  # stays: the heap cannot shrink from its end
+        return (os.getpid(),)
+
+    (row,) = map_rows(spark.range(1).coalesce(1), "pid long", churned).collect()
+    pages, shared = map(int, Path(f"/proc/{row.pid}/statm").read_text().split()[1:3])
+    assert (pages - shared) * os.sysconf("SC_PAGE_SIZE") < 200_000_000
