@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallychain.llm.common import arrow_schema, batch_of, fresh_folder, table, texts, values
+from tallychain.llm.common import arrow_schema, batch_of, fresh_folder, table, texts, tidied, values
 from tallychain.llm.tokens import documents_ids, little_endian, public_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -77,6 +77,7 @@ CHUNK = (
 
 
 def _chunks(vocabulary: str, bits: bool, target: pa.Schema):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -27,6 +27,77 @@ def test_ids_equal_plain_calls(name, keeps, parts):
     assert t.encoder(t.public_path(name), keeps).encode(text).tolist() == plain
 
 
+@pytest.mark.parametrize(("name", "keeps"), FILES)
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.lists(st.tuples(st.sampled_from(WORDS), st.sampled_from(SPACES)), max_size=9), max_size=6))
+def test_ids_of_many_texts_equal_plain_calls(name, keeps, texts):
+    texts = ["".join(w + s for w, s in parts) for parts in texts]
+    coder = t.encoder(t.public_path(name), keeps)
+    coder.forget()
+    texts = texts + texts[::-1]
+    plain = [coder.library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [ids.tolist() for ids in coder.encode_all(texts)] == plain
+
+
+@pytest.mark.parametrize(("name", "keeps"), FILES)
+def test_every_white_space_is_treated_alike_alone_and_among_others(name, keeps):
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    texts = [x for c in spaces for x in (f"a{c}b.", f"{c}Foo", f"foo{c}", f"a {c}b", c)] + [""]
+    coder, library = t.Encoder(t.public_path(name), keeps), Tokenizer.from_file(t.public_path(name))
+    plain = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [ids.tolist() for ids in coder.encode_all(texts)] == plain
+    assert [coder.encode(x).tolist() for x in texts] == plain
+
+
+@pytest.mark.parametrize(("name", "keeps"), FILES)
+def test_library_calls_depend_on_no_number_of_words(name, keeps):
+    """The cost of op3 is its calls: words of letters go through the merge model many at a time."""
+    coder = t.Encoder(t.public_path(name), keeps)
+    calls = []
+
+    class Counted:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, what):
+            calls.append(what)
+            return getattr(self.real, what)
+
+    coder.library, coder.merges = Counted(coder.library), Counted(coder.merges)
+    texts = [prose(k, 300) + "." for k in range(10)]
+    assert sum(len(ids) for ids in coder.encode_all(texts))
+    assert len(coder.words) > 1_000
+    assert len(calls) <= 2 + len(coder.words) // t.UNITS
+    calls.clear()
+    list(coder.encode_all(texts))
+    assert not calls
+
+
+@pytest.mark.parametrize(("name", "keeps"), FILES)
+def test_words_that_came_again_stay(name, keeps, small_limits):
+    small_limits(t, MOST_WORDS=300)
+    coder, library = t.Encoder(t.public_path(name), keeps), Tokenizer.from_file(t.public_path(name))
+    often = "x foo bar, Foo."
+    texts = [[often, prose(k, 100)] for k in range(8)]
+    sizes = []
+    for some in texts:
+        found = [ids.tolist() for ids in coder.encode_all(some)]
+        assert found == [library.encode(x, add_special_tokens=False).ids for x in some]
+        assert "bar," in coder.words
+        sizes.append(len(coder.words))
+    assert any(b < a for a, b in zip(sizes, sizes[1:], strict=False))
+    assert coder.seen[coder.words["bar,"]] < len(texts)
+
+
+@pytest.mark.parametrize(("name", "keeps"), FILES)
+def test_few_words_in_a_row_at_once(name, keeps, small_limits):
+    small_limits(t, GATHERED=7, UNITS=3)
+    coder, library = t.Encoder(t.public_path(name), keeps), Tokenizer.from_file(t.public_path(name))
+    texts = [prose(k, n) for k, n in enumerate([1, 3, 3, 1, 9, 7, 0, 6, 2, 30, 1])] + ["a  b", "Foo."]
+    plain = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [ids.tolist() for ids in coder.encode_all(texts)] == plain
+
+
 @pytest.mark.parametrize(("name", "keeps"), FILES)
 def test_memory_starts_anew(name, keeps, small_limits):
     small_limits(t, MOST_WORDS=50, TOGETHER=300)
