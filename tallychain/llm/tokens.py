@@ -30,12 +30,15 @@ TOGETHER = 3_000_000
 GATHERED = 100_000
 #: Units of letters that go through the merge model in one call.
 UNITS = 400
+#: Fewer go through it one at a time.
+FEW_UNITS = 200
 
 #: White space other than the four that every vocabulary here treats alike.
 ODD_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: For vocabularies that keep white space: anything but single blanks and single line breaks.
 ODD_RUNS = rf"  |\n\n| \n|\n |\A[ \n]|[ \n]\z|[\t\r]|{ODD_SPACE}"
-FIND_SPACE, FIND_RUNS = re.compile(ODD_SPACE), re.compile(ODD_RUNS.replace(r"\z", r"\Z"))
+#: The same for single texts.
+FIND_SPACE, FIND_RUNS = re.compile(ODD_SPACE), re.compile(r"[^\S \n]")
 #: What stands in front, Latin letters, ASCII marks or none (no apostrophe): units for every vocabulary here.
 PLAIN = re.compile(r"([\n ]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -77,9 +80,10 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         # The merge model alone, over units between blanks.
-        self.merges = Tokenizer(self.library.model)
+        self.model = self.library.model
+        self.merges = Tokenizer(self.model)
         self.merges.pre_tokenizer = CharDelimiterSplit(" ")
-        suffix = self.library.model.end_of_word_suffix or ""
+        suffix = self.model.end_of_word_suffix or ""
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         #: Bytes that an id stands for.
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -127,7 +131,8 @@ class Encoder:
         """Words whose ids in a row are those of the text; None if that is not certain."""
         if not self.keeps_spaces:
             return None if FIND_SPACE.search(text) else text.split()
-        if not text or FIND_RUNS.search(text):
+        runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+        if runs or not text or text[0] in " \n" or text[-1] in " \n" or FIND_RUNS.search(text):
             return None
         words = text.replace("\n", " \n").split(" ")
         words[0] = " " + words[0]
@@ -165,6 +170,12 @@ class Encoder:
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units of Latin letters, all in a row, and how many each has."""
         ids, counts = [], []
+        if len(units) < FEW_UNITS:
+            for unit in units:
+                found = self.model.tokenize(unit.encode().decode("latin-1").translate(LETTERS))
+                ids += [x.id for x in found]
+                counts.append(len(found))
+            return np.array(ids, np.uint32), np.array(counts)
         for k in range(0, len(units), UNITS):
             data = "\n".join(units[k : k + UNITS]).encode()
             line = data.decode("latin-1").translate(LETTERS)

@@ -91,7 +91,7 @@ def test_words_that_came_again_stay(name, keeps, small_limits):
 
 @pytest.mark.parametrize(("name", "keeps"), FILES)
 def test_few_words_in_a_row_at_once(name, keeps, small_limits):
-    small_limits(t, GATHERED=7, UNITS=3)
+    small_limits(t, GATHERED=7, UNITS=3, FEW_UNITS=2)
     coder, library = t.Encoder(t.public_path(name), keeps), Tokenizer.from_file(t.public_path(name))
     texts = [prose(k, n) for k, n in enumerate([1, 3, 3, 1, 9, 7, 0, 6, 2, 30, 1])] + ["a  b", "Foo."]
     plain = [library.encode(x, add_special_tokens=False).ids for x in texts]
