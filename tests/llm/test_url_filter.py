@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from tallychain.llm import url_filter as u
+from tallychain.llm.common import written
 
 CASES = [
     ("http://example.com/en/1", "example.com", "/en/1", "example.com/en/", "block"),
@@ -90,3 +91,27 @@ def test_repeated_rows_clashing_names_and_empty_tables(spark):
     assert u.judge(pages.limit(0)).count() == 0
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_nothing_but_few_ratios_is_broadcast(spark, settings, monkeypatch):
+    settings("spark.sql.autoBroadcastJoinThreshold", "10m")
+    rows = [(k, f"http{'s' * (k % 2)}://a{k % 9}.{('com', 'net')[k % 2]}/es/{k}") for k in range(400)]
+    pages = written(spark.createDataFrame(rows + [(400, "x://new")], "page_id long, url string"), "pages")
+    plans = []
+
+    def noted(df, name):
+        plans.append(df)
+        return written(df, name)
+
+    def judged():
+        plans.clear()
+        plans.append(u.judge(pages))
+        found = [df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") for df in plans]
+        return sum(found), sorted(plans[-1].collect())
+
+    monkeypatch.setattr(u, "written", noted)
+    n, few = judged()
+    assert n <= 1
+    monkeypatch.setattr(u, "MOST_BROADCAST", 0)
+    n, many = judged()
+    assert n == 0 and many == few
